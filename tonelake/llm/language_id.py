@@ -109,7 +109,8 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
         for frame in sliced(frames, "text"):
             for lang, part in frame.groupby("lang"):
                 total[lang] = total.get(lang, 0) + profiles.bundles(part["text"].tolist()).sum(axis=0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
     parts = chosen.mapInPandas(bundle, "lang string, vector array<double>")
     sums = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))

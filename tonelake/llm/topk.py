@@ -125,18 +125,18 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
     kind = df.schema[id_col].dataType.simpleString()
     one = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-    asking = rows.filter("is_query").select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
+    asking = rows.filter("is_query").select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
 
     def task(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": [], "exact": []}
         if len(mine) and len(theirs):
             widths = mine["v"].map(len)
-            for width, asked_here in theirs.groupby(theirs["v"].map(len)):
+            for width, asked_here in theirs.groupby(theirs["asked"].map(len)):
                 same = mine[widths == width]
                 if not len(same):
                     continue
-                q, x = np.array(asked_here["v"].tolist(), float), np.array(same["v"].tolist(), float)
-                qi, xi = asked_here["id"].to_numpy(), same["id"].to_numpy()
+                q, x = np.array(asked_here["asked"].tolist(), float), np.array(same["v"].tolist(), float)
+                qi, xi = asked_here["asker"].to_numpy(), same["id"].to_numpy()
                 if np.abs(q).max() * np.abs(x).max() * width < EXACT:
                     found = search(BallTree(x, xi), q, qi, k, asked_here["floor"].to_numpy(float, na_value=-np.inf))
                 else:
@@ -161,7 +161,7 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         # A k-th score that at least k rows reach; big scores leave the exact range of doubles and give no floor.
         kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
         kth = kth.withColumn("floor", F.when(F.abs("floor") < EXACT, F.col("floor")))
-        led = asking.join(kth.withColumnRenamed("query_id", "id"), "id", "left")
+        led = asking.join(kth.withColumnRenamed("query_id", "asker"), "asker", "left")
         found = first.unionByName(searched(one.filter("shard > 0"), led, _numbers(1, shards - 1)))
     whole = F.col("exact").cast("decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(whole.desc(), "vec_id")
