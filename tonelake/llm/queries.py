@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pieces, token_count, topk
-from .common import table
+from . import exact_dedup, language_id, mixing, pieces, token_count, topk, url_rules, warc
+from .common import shared_dir, table
 
 #: Where the public vocabulary files lie; a parameter of the queries, never part of this repository.
 TOKENIZER_DIR: str | None = None
@@ -22,6 +22,37 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rules of the url query: (verdict, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+#: Target shares of the mixing query; the sources not named share the rest equally.
+MIX_WEIGHTS, MIX_SEED = {"src0": 0.1, "src1": 0.1}, "mix-1"
+
+
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, url_rules.rule_frame(pages, URL_RULES))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
+    return mixed.select("row.*", "copy", "mix_key")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.round_trip(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"), min_bytes=0)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
     prototypes = language_id.fit(docs, ~F.col("held_out"))
@@ -40,6 +71,65 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, scale=1024)
 
 
+OP1_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP4_SQL = """
+WITH rules(says, h, p) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), urls AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages
+), fits AS (
+  SELECT page_id, host, path, h || p AS rule, says,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC) AS place
+  FROM urls LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM fits WHERE place = 1
+"""
+
+OP5_SQL = """
+WITH RECURSIVE counts AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), named AS (
+  SELECT source, n, CASE WHEN source IN ('src0', 'src1') THEN 0.1e0 END AS share FROM counts
+), raw AS (
+  SELECT source, n, coalesce(share, (1e0 - (0.1e0 + 0.1e0)) / (SELECT count(*) FROM named WHERE share IS NULL)) AS raw FROM named
+), rates AS (
+  SELECT source, raw / (SELECT sum(raw) FROM raw) * (SELECT sum(n) FROM raw) / n AS mean FROM raw
+), steps AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS total FROM rates
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) FROM steps WHERE k < ceil(mean + 12 * sqrt(mean) + 20)
+), draws AS (
+  SELECT d.*, CAST('0x' || substr(md5('mix-1|' || doc_id), 1, 13) AS BIGINT) / 4503599627370496e0 AS u FROM documents d
+), copies AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(s.k) AS c
+  FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.total <= d.u GROUP BY ALL
+)
+SELECT doc_id, text, lang, source, n_chars, copy, md5('mix-1|order|' || doc_id || '|' || copy) AS mix_key
+FROM (SELECT *, unnest(range(1, c + 1)) AS copy FROM copies)
+"""
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages
+)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to, true AS complete
+FROM p
+"""
+
 OP10_SQL = """
 WITH x AS (
   SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
@@ -58,8 +148,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_language_id, op8_token_counts, op9_sentencepiece, op10_top_k)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_url_rules, op5_mixing, op6_language_id, op7_warc, op8_token_counts, op9_sentencepiece, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_url_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op7_warc": OP7_SQL, "op10_top_k": OP10_SQL}
