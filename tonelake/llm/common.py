@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonelake.session import shared_dir, stored  # noqa: F401  the operators take them from here
+
 #: Texts handled together inside one Arrow batch, in characters; bounds the Python worker's memory.
 SLICE_CHARS = 4_000_000
 
@@ -23,26 +23,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Only where the setting is absent (a plain local session) is a local folder made for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tonelake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written to the shared folder and read back: lineage ends there, losses don't matter."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of texts holding about ``limit`` characters; one text is never cut."""
     start = size = 0
