@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, pieces, token_count, topk, url_rules, warc
+from . import exact_dedup, language_id, mixing, ngram_join, pieces, repeats, token_count, topk, url_rules, warc
 from .common import shared_dir, table
 
 #: Where the public vocabulary files lie; a parameter of the queries, never part of this repository.
@@ -38,6 +38,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200, keep_bytes=False)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -152,7 +156,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_ngram_join, op4_url_rules, op5_mixing, op6_language_id, op7_warc, op8_token_counts, op9_sentencepiece, op10_top_k)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_ngram_join, op4_url_rules, op5_mixing, op6_language_id, op7_warc, op8_token_counts, op9_sentencepiece, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
