@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, slices
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -150,6 +150,23 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     return slim.mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is given a language, in their columns; nothing is shuffled."""
+    matrix = np.array(list(prototypes.values()), np.float32)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        profiles, values = Profiles(), texts.tolist()
+        out = np.zeros(len(values), bool)
+        for a, b in slices(values):
+            for k in range(a, b, BLOCK):
+                vectors = profiles.bundles(values[k : min(b, k + BLOCK)])
+                out[k : k + len(vectors)] = np.isfinite(vectors @ matrix.T).all(axis=1) & (np.linalg.norm(vectors, axis=1) > 0)
+        return pd.Series(out)
+
+    return docs.filter(known(docs[text_col]))
+
+
 def held_out(id_col: Column) -> Column:
     """A third of all ids, by checksum: these are never learned from."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
