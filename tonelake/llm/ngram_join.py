@@ -8,10 +8,12 @@
    common to all (here: rare tokens first, as seen in a bounded sample, which only affects speed). Classes that share
    such a token and lie in different clusters are indexed by an R-tree over their count vectors, and pairs whose overlap
    bound reaches what is needed are compared by their whole sets. A token whose classes all lie in one cluster is dropped:
-   its links would join nothing. Token groups beyond ``BLOCK`` classes are cut into blocks, and every two blocks meet.
+   its links would join nothing. Of tokens with the same classes one is kept. Token groups beyond ``BLOCK`` classes are cut into
+   blocks, and every two blocks meet.
 4. Components of all links.
 
-Pairs are compared by texts sent to the task of the pair's first member; members of a large family are spread by a salt.
+Pairs are first held against each other by finer count vectors (a quarter of a byte or more for each shingle), which settles most that are not similar
+enough; the others by their texts. Either is sent to the task of the pair's first member; members of a large family are spread by a salt.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing. Texts with fewer words
 than a shingle have one shingle of all their words. Hashes have 64 bits. Repeated rows (same id) are one node with the larger set. Rows without
@@ -24,13 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.operators.components import connected_components
 
 from .common import shuffle_partitions, sliced, stored
-from .rtree import CountTree, count_vector
+from .rtree import CountTree, count_vector, most_shared, packed_counts, unpacked
 from .shingles import mix, shingle_sets
 
 #: Groups that tokens are hashed into: the R-tree's dimensions.
@@ -39,6 +41,8 @@ GROUPS = 64
 SKETCHES = 3
 #: Rows of the sample that tells frequent tokens, and how often a token must be seen in it.
 SAMPLE_ROWS, SEEN = 2000, 3
+#: Token groups up to this size are one leaf: their pairs are bounded directly, those of many groups at once.
+LEAF = 24
 #: Classes of one token group in one tree, and members compared with one first member in one task.
 BLOCK, FAMILY = 4000, 64
 #: Tables of ids up to this many rows are sent to all tasks instead of shuffling texts.
@@ -67,7 +71,7 @@ def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.nda
     return token[order], found["n"].to_numpy(np.int64)[order]
 
 
-SKETCH = "id bigint, n_shingles bigint, digest binary, sketch array<bigint>, tokens array<bigint>, counts binary"
+SKETCH = "id bigint, n_shingles bigint, digest binary, sketch array<bigint>, tokens array<bigint>, counts binary, fine binary"
 
 
 def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -82,7 +86,7 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray
                 n = len(s)
                 digest = np.array([n, mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(77)))], np.uint64).tobytes()
                 if not n:
-                    rows.append((0, digest, [], [], b""))
+                    rows.append((0, digest, [], [], b"", b""))
                     continue
                 mins = [int(mix(s ^ salt).min().astype(np.int64)) for salt in salts]
                 rank = np.zeros(n, np.int64)
@@ -91,25 +95,50 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray
                     hit = known[at] == s
                     rank[hit] = seen[at[hit]]
                 first = np.lexsort((s, rank))[: prefix_length(n, percent)]  # rare first
-                rows.append((n, digest, mins, s[first].astype(np.int64).tolist(), count_vector(s, GROUPS).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch", "tokens", "counts"])
+                rows.append((n, digest, mins, s[first].astype(np.int64).tolist(), count_vector(s, GROUPS).tobytes(), packed_counts(s)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch", "tokens", "counts", "fine"])
             out.insert(0, "id", frame["id"].to_numpy())
             yield out
 
     return docs.mapInPandas(run, SKETCH)
 
 
-def compare(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole texts."""
-    # Families: all pairs with the same first member, in parts of about FAMILY pairs.
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("pairs_of_a"))
-    big = sizes.filter(F.col("pairs_of_a") > FAMILY)
-    parts = pairs.join(big, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("pairs_of_a") / FAMILY), F.lit(1))))
-    parts = stored(parts.select("a", "b", "part"), "pairs")
+def meet(rows: DataFrame, pairs: DataFrame, columns: list[str], partitions: int) -> DataFrame:
+    """Each pair's two rows in one task, the first member's before all its partners': a, part, is_first, id and ``columns``.
+
+    Families, that is pairs with the same first member, are cut into parts of about FAMILY pairs."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("pairs_of_a")).filter(F.col("pairs_of_a") > FAMILY)
+    parts = pairs.join(sizes, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("pairs_of_a") / FAMILY), F.lit(1))))
+    parts = stored(parts.select("a", "b", "part"), "parts")
     asks = parts.select("a", "part", F.lit(True).alias("is_first"), F.col("a").alias("id")).distinct().unionByName(parts.select("a", "part", F.lit(False).alias("is_first"), F.col("b").alias("id")))
     small = asks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sent = docs.join(F.broadcast(asks) if small else asks, "id").select("a", "part", "is_first", "id", "text")
-    dealt = sent.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", F.col("is_first").desc())
+    sent = rows.join(F.broadcast(asks) if small else asks, "id").select("a", "part", "is_first", "id", *columns)
+    return sent.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", F.col("is_first").desc())
+
+
+def bounded(reps: DataFrame, pairs: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """The pairs (a, b) whose finer count vectors do not rule them out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, size, mine = None, 0, None
+        for frame in frames:
+            found = []
+            for a, part, is_first, ident, n, fine in zip(*[frame[c].tolist() for c in ("a", "part", "is_first", "id", "n_shingles", "fine")], strict=True):
+                if is_first:
+                    first, size, mine = (a, part), n, unpacked(fine)
+                elif first == (a, part):
+                    most = min(size, n) if not (len(mine) and fine) else min(size, n, most_shared(mine, unpacked(fine)))
+                    if (100 + percent) * most >= percent * (size + n):
+                        found.append((a, ident))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    return meet(reps, pairs, ["n_shingles", "fine"], partitions).mapInPandas(run, "a bigint, b bigint")
+
+
+def compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by their whole texts."""
+    left = stored(bounded(reps, pairs, percent, partitions), "bounded")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, mine = None, None
@@ -126,13 +155,32 @@ def compare(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int,
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.mapInPandas(run, "a bigint, b bigint")
+    return meet(docs, left, ["text"], partitions).mapInPandas(run, "a bigint, b bigint")
 
 
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different clusters that share a token and whose overlap bound suffices. ``rows``: token, block,
     turn (0: indexed, 1: also asked against the index), id, n_shingles, cluster, counts; sorted by token and block."""
 
+    def leaves(cuts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+        """The same for many small groups, given by their bounds: all pairs of all groups of one size in one go."""
+        out = []
+        for n in np.unique(cuts[:, 1] - cuts[:, 0]).tolist():
+            i, j = np.triu_indices(n, 1)
+            starts = cuts[cuts[:, 1] - cuts[:, 0] == n, 0]
+            for a in range(0, len(starts), max(1, 200_000 // len(i))):
+                at = starts[a : a + max(1, 200_000 // len(i)), None]
+                x, y = (at + i).ravel(), (at + j).ravel()
+                keep = (clusters[x] != clusters[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (ids[x] != ids[y])
+                x, y = x[keep], y[keep]
+                both = sizes[x] + sizes[y]
+                fits = (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+                x, y, both = x[fits], y[fits], both[fits]
+                most = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64)
+                fits = (100 + percent) * most >= percent * both
+                out += list(zip(np.minimum(ids[x[fits]], ids[y[fits]]).tolist(), np.maximum(ids[x[fits]], ids[y[fits]]).tolist(), strict=True))
+        return out
+
     def group(ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
         if clusters.min() == clusters.max():
             return []
@@ -155,9 +203,11 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             points = np.frombuffer(b"".join(part["counts"]), np.int32).reshape(-1, GROUPS)
             columns = [part[c].to_numpy() for c in ("id", "n_shingles", "cluster")]
             side = part["side"].to_numpy()
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-                if b - a > 1:
-                    pairs.update(group(*[c[a:b] for c in columns], points[a:b], side[a:b]))
+            bounds = np.column_stack([np.r_[0, cuts], np.r_[cuts, len(part)]])
+            many = bounds[:, 1] - bounds[:, 0]
+            pairs.update(leaves(bounds[(many > 1) & (many <= LEAF)], *columns, points, side))
+            for a, b in bounds[many > LEAF].tolist():
+                pairs.update(group(*[c[a:b] for c in columns], points[a:b], side[a:b]))
             if pairs:
                 yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
@@ -187,20 +237,21 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     filled = sketches.filter("n_shingles > 0")
     classes = stored(filled.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
     reps = filled.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = stored(reps.select("id", "n_shingles", "sketch", "tokens", "counts"), "reps")
+    reps = stored(reps.select("id", "n_shingles", "sketch", "tokens", "counts", "fine"), "reps")
 
     # First round: one comparison with the smallest class of each shared minimum hash.
     mins = reps.select("id", F.posexplode("sketch").alias("which", "low"))
     leaders = mins.groupBy("which", "low").agg(F.min("id").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    easy = mins.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = stored(compare(spark, docs, easy, width, percent, n), "links")
+    easy = stored(mins.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "easy")
+    links = stored(compare(docs, reps, easy, width, percent, n), "links")
     clusters = connected_components(links, "a", "b")
     clustered = reps.select("id", "n_shingles", "tokens", "counts").join(clusters.withColumnRenamed("node", "id"), "id", "left")
     clustered = stored(clustered.withColumn("cluster", F.coalesce("component", "id")).drop("component"), "clustered")
 
     # Second round: tokens shared across clusters.
     tokens = clustered.select("id", "cluster", F.explode("tokens").alias("token"))
-    across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low < high")
+    across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id")).alias("members"))
+    across = across.filter("low < high").groupBy("many", "least", "most", "members").agg(F.min("token").alias("token"))
     across = stored(across.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "across")
     small = across.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = tokens.join(F.broadcast(across) if small else across, "token").select("id", "cluster", "token", "blocks")
@@ -211,8 +262,8 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = met.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1))
     sized = met.join(clustered.select("id", "n_shingles", "counts"), "id")
     dealt = sized.select("token", "block", "side", "id", "n_shingles", "cluster", "counts").repartition(n, "token", "block").sortWithinPartitions("token", "block")
-    hard = tree_pairs(dealt, percent).distinct()
-    more = stored(compare(spark, docs, hard, width, percent, n), "links")
+    hard = stored(tree_pairs(dealt, percent).distinct(), "hard")
+    more = stored(compare(docs, reps, hard, width, percent, n), "links")
     joined = connected_components(links.unionByName(more), "a", "b")
 
     # Back to rows: a class's component, then the smallest member of the component over all its classes (a class has its smallest id).

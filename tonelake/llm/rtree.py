@@ -16,6 +16,36 @@ def count_vector(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(32)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
 
 
+def packed_counts(hashes: np.ndarray) -> bytes:
+    """Counts in so many groups that most hold at most one element, four bits each; empty if a group overflows.
+
+    The number of groups is a power of two, about half the set's size or more, so vectors of unlike sets fold onto each other."""
+    groups = 64
+    while groups * 2 < len(hashes):
+        groups *= 2
+    counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    if counts.max(initial=0) > 15:
+        return b""
+    return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    both = np.frombuffer(data, np.uint8)
+    out = np.empty(2 * len(both), np.uint8)
+    out[::2], out[1::2] = both & 15, both >> 4
+    return out
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """At most so many elements are in both sets, by unpacked counts; the finer vector is folded to the coarser."""
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] + a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 class CountTree:
     """Points with sizes and labels. A query finds the points of other labels that may be similar to it."""
 
