@@ -55,22 +55,34 @@ def directly_sorted(positions: np.ndarray, word: np.ndarray, depth: int) -> np.n
     return order
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of all suffixes of a byte array, in order of their first ``depth`` bytes at least."""
+def needed(wanted: np.ndarray, b_type: np.ndarray) -> np.ndarray:
+    """``wanted`` suffixes and those that they are induced from: on to the next one of type B."""
+    n = len(wanted)
+    last_b = np.maximum.accumulate(np.where(b_type, np.arange(n), -1))
+    run = np.r_[0, last_b[:-1] + 1]  # first place of the run of type A that ends here
+    count = np.r_[0, np.cumsum(wanted)]
+    return count[1:] > count[run]
+
+
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the suffixes of a byte array, in order of their first ``depth`` bytes at least. With ``wanted`` only these
+    suffixes are sure to be in the array."""
     if not len(data):
         return np.zeros(0, np.int64)
     b_type = ascending(data)
-    sorted_b = directly_sorted(np.flatnonzero(b_type), words(data), depth)
+    use = np.ones(len(data), bool) if wanted is None else needed(wanted, b_type)
+    sorted_b = directly_sorted(np.flatnonzero(b_type & use), words(data), depth)
     first_byte = data[sorted_b]
     cuts = np.searchsorted(first_byte, np.arange(257))
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     # The last suffix has no successor that could induce it: it is the smallest of its byte.
-    buckets[data[-1]].append(np.array([len(data) - 1]))
-    out = []
+    if use[-1]:
+        buckets[data[-1]].append(np.array([len(data) - 1]))
+    out = [np.zeros(0, np.int64)]
 
     def scan(found: np.ndarray) -> None:
         before = found[found > 0] - 1
-        before = before[~b_type[before]]
+        before = before[~b_type[before] & use[before]]
         if not len(before):
             return
         chars = data[before]
@@ -96,11 +108,10 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 def repeated(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
     """Which ``valid`` positions begin a string of ``length`` bytes (a multiple of 8) that begins at another position too: those whose
     common prefix with a neighbour in the suffix array is that long."""
-    order = suffix_array(data, length)
+    order = suffix_array(data, length, valid)
+    order = order[valid[order]]
     padded = np.r_[words(data), np.zeros(length + 8, np.uint64)]
     a, b = order[:-1], order[1:]
-    both = valid[a] & valid[b]
-    a, b = a[both], b[both]
     for at in range(0, length, 8):
         same = padded[a + at] == padded[b + at]
         a, b = a[same], b[same]
