@@ -40,7 +40,7 @@ GRAM = 48
 PART_BYTES = 1_000_000
 POSITION = np.uint64(2**21 - 1)
 #: Bytes in one suffix array, about, and contexts of one anchor beyond which its windows are counted by hash.
-ARRAY_BYTES, MOST_CONTEXTS = 1_500_000, 4000
+ARRAY_BYTES, MOST_CONTEXTS = 1_500_000, 2000
 #: Tables up to this many rows are sent to all tasks instead of shuffling the larger side.
 BROADCAST_ROWS = 1_000_000
 _BASE = 0xD1342543DE82EF95
@@ -207,8 +207,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(df[id_col].cast("bigint").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).filter("id is not null")
     ranges = stored(repeated_ranges(docs, length), "ranges")
     lists = stored(ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "lists")
-    small = ranges.count() <= 2 * BROADCAST_ROWS
-    joined = docs.join(F.broadcast(lists) if small else lists, "id", "left")
+    joined = docs.join(lists, "id", "left")
     return cut_out(joined.select("id", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi")), id_col, length, keep_bytes)
 
 
