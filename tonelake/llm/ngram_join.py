@@ -7,12 +7,12 @@
 3. The second round finds every other link. Two sets similar enough share one of the first tokens of each, in any order
    common to all (here: rare tokens first, as seen in a bounded sample, which only affects speed). Classes that share
    such a token and lie in different clusters are indexed by an R-tree over their count vectors, and pairs whose overlap
-   bound reaches what is needed are compared by their whole sets. A token whose classes all lie in one cluster is dropped:
+   bound reaches what is needed, also by a finer vector (a quarter of a byte or more for each shingle), are compared by their whole sets. A token whose classes all lie in one cluster is dropped:
    its links would join nothing. Of tokens with the same classes one is kept. Token groups beyond ``BLOCK`` classes are cut into
    blocks, and every two blocks meet.
 4. Components of all links.
 
-Pairs are first held against each other by finer count vectors (a quarter of a byte or more for each shingle), which settles most that are not similar
+Pairs of the first round are held against each other by finer count vectors too, which settles most that are not similar
 enough; the others by their texts. Either is sent to the task of the pair's first member; members of a large family are spread by a salt.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing. Texts with fewer words
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from tonelake.operators.components import connected_components
 
 from .common import shuffle_partitions, sliced, stored
-from .rtree import CountTree, count_vector, most_shared, packed_counts, unpacked
+from .rtree import CountTree, count_vector, folded, most_shared, packed_counts, unpacked
 from .shingles import mix, shingle_sets
 
-#: Groups that tokens are hashed into: the R-tree's dimensions.
+#: Groups that tokens are hashed into: the R-tree's dimensions, a power of two of 64 at most.
 GROUPS = 64
+#: Pairs that a task remembers as checked, as they come up again with other tokens.
+CHECKED = 500_000
 #: Minimum hashes of the first round.
 SKETCHES = 3
 #: Rows of the sample that tells frequent tokens, and how often a token must be seen in it.
@@ -136,9 +138,8 @@ def bounded(reps: DataFrame, pairs: DataFrame, percent: int, partitions: int) ->
     return meet(reps, pairs, ["n_shingles", "fine"], partitions).mapInPandas(run, "a bigint, b bigint")
 
 
-def compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
+def compare(docs: DataFrame, pairs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their whole texts."""
-    left = stored(bounded(reps, pairs, percent, partitions), "bounded")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, mine = None, None
@@ -155,64 +156,68 @@ def compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, perc
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return meet(docs, left, ["text"], partitions).mapInPandas(run, "a bigint, b bigint")
+    return meet(docs, pairs, ["text"], partitions).mapInPandas(run, "a bigint, b bigint")
 
 
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different clusters that share a token and whose overlap bound suffices. ``rows``: token, block,
-    turn (0: indexed, 1: also asked against the index), id, n_shingles, cluster, counts; sorted by token and block."""
+    """Pairs of classes in different clusters that share a token and whose overlap bounds suffice. ``rows``: token, block, side (0 and 1: only
+    across, 2: within one block), id, n_shingles, cluster, fine, and counts where fine is empty; sorted by token and block."""
 
-    def leaves(cuts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-        """The same for many small groups, given by their bounds: all pairs of all groups of one size in one go."""
-        out = []
+    def small(cuts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Rows of possible pairs in groups of one leaf, given by their bounds: all pairs of all groups of one size in one go."""
         for n in np.unique(cuts[:, 1] - cuts[:, 0]).tolist():
             i, j = np.triu_indices(n, 1)
             starts = cuts[cuts[:, 1] - cuts[:, 0] == n, 0]
-            for a in range(0, len(starts), max(1, 200_000 // len(i))):
-                at = starts[a : a + max(1, 200_000 // len(i)), None]
+            step = max(1, 200_000 // len(i))
+            for a in range(0, len(starts), step):
+                at = starts[a : a + step, None]
                 x, y = (at + i).ravel(), (at + j).ravel()
-                keep = (clusters[x] != clusters[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (ids[x] != ids[y])
+                keep = (clusters[x] != clusters[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
                 x, y = x[keep], y[keep]
-                both = sizes[x] + sizes[y]
-                fits = (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
-                x, y, both = x[fits], y[fits], both[fits]
                 most = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64)
-                fits = (100 + percent) * most >= percent * both
-                out += list(zip(np.minimum(ids[x[fits]], ids[y[fits]]).tolist(), np.maximum(ids[x[fits]], ids[y[fits]]).tolist(), strict=True))
-        return out
-
-    def group(ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-        if clusters.min() == clusters.max():
-            return []
-        tree = CountTree(points, sizes, clusters, percent)
-        out = []
-        for i in range(len(ids)):
-            for j in tree.candidates(points[i], int(sizes[i]), int(clusters[i])).tolist():
-                # Within one block each pair once; between two blocks only across.
+                fits = (100 + percent) * most >= percent * (sizes[x] + sizes[y])
+                yield from zip(x[fits].tolist(), y[fits].tolist(), strict=True)
+
+    def large(a: int, b: int, ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The same for one group by its tree."""
+        if clusters[a:b].min() == clusters[a:b].max():
+            return
+        tree = CountTree(points[a:b], sizes[a:b], clusters[a:b], percent)
+        for i in range(a, b):
+            for j in (tree.candidates(points[i], int(sizes[i]), int(clusters[i])) + a).tolist():
                 if side[i] != side[j] or (ids[i] < ids[j] and side[i] == 2):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return out
+                    yield i, j
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        checked: set[tuple[int, int]] = set()
 
         def done(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            pairs: set[tuple[int, int]] = set()
-            keys = part["token"].to_numpy().astype(np.int64), part["block"].to_numpy().astype(np.int64)
-            cuts = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0)) + 1
-            points = np.frombuffer(b"".join(part["counts"]), np.int32).reshape(-1, GROUPS)
-            columns = [part[c].to_numpy() for c in ("id", "n_shingles", "cluster")]
-            side = part["side"].to_numpy()
+            token, block = part["token"].to_numpy(np.int64), part["block"].to_numpy(np.int64)
+            cuts = np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1
             bounds = np.column_stack([np.r_[0, cuts], np.r_[cuts, len(part)]])
+            fine = [unpacked(f) for f in part["fine"]]
+            points = np.array([folded(f, GROUPS) if len(f) else np.frombuffer(c, np.int32) for f, c in zip(fine, part["counts"], strict=True)], np.int32)
+            columns = [part[c].to_numpy() for c in ("id", "n_shingles", "cluster")] + [points, part["side"].to_numpy()]
+            ids, sizes = columns[0].tolist(), columns[1].tolist()
             many = bounds[:, 1] - bounds[:, 0]
-            pairs.update(leaves(bounds[(many > 1) & (many <= LEAF)], *columns, points, side))
-            for a, b in bounds[many > LEAF].tolist():
-                pairs.update(group(*[c[a:b] for c in columns], points[a:b], side[a:b]))
+            pairs: set[tuple[int, int]] = set()
+            found = [small(bounds[(many > 1) & (many <= LEAF)], *columns), *(large(a, b, *columns) for a, b in bounds[many > LEAF].tolist())]
+            for i, j in (x for part_found in found for x in part_found):
+                pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+                if pair in checked:
+                    continue
+                checked.add(pair)
+                most = min(sizes[i], sizes[j]) if not (len(fine[i]) and len(fine[j])) else min(sizes[i], sizes[j], most_shared(fine[i], fine[j]))
+                if (100 + percent) * most >= percent * (sizes[i] + sizes[j]):
+                    pairs.add(pair)
+            if len(checked) > CHECKED:
+                checked.clear()
             if pairs:
                 yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
         for frame in frames:
-            # The last token of a batch may go on in the next one.
+            # The last group of a batch may go on in the next one.
             same = (frame["token"] == frame["token"].iloc[-1]) & (frame["block"] == frame["block"].iloc[-1])
             if same.all():
                 if held and (held[-1]["token"].iloc[-1], held[-1]["block"].iloc[-1]) != (frame["token"].iloc[-1], frame["block"].iloc[-1]):
@@ -243,9 +248,10 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mins = reps.select("id", F.posexplode("sketch").alias("which", "low"))
     leaders = mins.groupBy("which", "low").agg(F.min("id").alias("a"), F.count("*").alias("many")).filter("many > 1")
     easy = stored(mins.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "easy")
-    links = stored(compare(docs, reps, easy, width, percent, n), "links")
+    easy = stored(bounded(reps, easy, percent, n), "bounded")
+    links = stored(compare(docs, easy, width, percent, n), "links")
     clusters = connected_components(links, "a", "b")
-    clustered = reps.select("id", "n_shingles", "tokens", "counts").join(clusters.withColumnRenamed("node", "id"), "id", "left")
+    clustered = reps.select("id", "n_shingles", "tokens", "fine", F.when(F.octet_length("fine") == 0, F.col("counts")).alias("counts")).join(clusters.withColumnRenamed("node", "id"), "id", "left")
     clustered = stored(clustered.withColumn("cluster", F.coalesce("component", "id")).drop("component"), "clustered")
 
     # Second round: tokens shared across clusters.
@@ -260,10 +266,10 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("blocks") - 1).cast("bigint")))
     met = hits.withColumn("other", others).withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
     met = met.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1))
-    sized = met.join(clustered.select("id", "n_shingles", "counts"), "id")
-    dealt = sized.select("token", "block", "side", "id", "n_shingles", "cluster", "counts").repartition(n, "token", "block").sortWithinPartitions("token", "block")
+    sized = met.join(clustered.select("id", "n_shingles", "fine", "counts"), "id")
+    dealt = sized.select("token", "block", "side", "id", "n_shingles", "cluster", "fine", "counts").repartition(n, "token", "block").sortWithinPartitions("token", "block")
     hard = stored(tree_pairs(dealt, percent).distinct(), "hard")
-    more = stored(compare(docs, reps, hard, width, percent, n), "links")
+    more = stored(compare(docs, hard, width, percent, n), "links")
     joined = connected_components(links.unionByName(more), "a", "b")
 
     # Back to rows: a class's component, then the smallest member of the component over all its classes (a class has its smallest id).

@@ -13,7 +13,13 @@ FAN_OUT = 16
 
 
 def count_vector(hashes: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(32)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
+    """Counts in a power of two of groups, by the hashes' low bits."""
+    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A finer count vector brought down to fewer groups."""
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def packed_counts(hashes: np.ndarray) -> bytes:
