@@ -120,10 +120,10 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     query leave it. Rows are copied once for each block of queries, queries once for each shard.
     """
     query = F.pmod(F.col("id"), F.lit(100)) == 0 if query is None else query
-    rows = df.select(df[id_col].alias("id"), quantised(df[vector_col], scale).alias("v")).filter("id is not null and v is not null").withColumn("is_query", query)
+    rows = df.select(df[id_col].cast("bigint").alias("id"), quantised(df[vector_col], scale).alias("v")).filter("id is not null and v is not null").withColumn("is_query", query)
     n, asked = rows.agg(F.count("*"), F.count_if("is_query")).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    kind = df.schema[id_col].dataType.simpleString()
+    kind = "bigint"
     one = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
     asking = rows.filter("is_query").select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
 
@@ -146,7 +146,8 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
                     out["vec_id"] += ids.tolist()
                     out["score"] += [float(s) for s in scores]
                     out["exact"] += [str(max(-LARGEST, min(LARGEST, int(s)))) for s in scores]
-        return pd.DataFrame(out)
+        ids = {n: pd.Series(out[n], dtype="int64") for n in ("query_id", "vec_id")}
+        return pd.DataFrame(ids | {"score": pd.Series(out["score"], dtype="float64"), "exact": pd.Series(out["exact"], dtype=object)})
 
     shape = f"query_id {kind}, vec_id {kind}, score double, exact string"
 
