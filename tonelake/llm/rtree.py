@@ -7,6 +7,8 @@ prune boxes and points alike. Nothing that could reach the required overlap is e
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 FAN_OUT = 16
@@ -23,7 +25,7 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 def packed_counts(hashes: np.ndarray) -> bytes:
-    """Counts in so many groups that most hold at most one element, four bits each; empty if a group overflows.
+    """Counts in so many groups that most hold at most one element, four bits each, compressed; empty if a group overflows.
 
     The number of groups is a power of two, about half the set's size or more, so vectors of unlike sets fold onto each other."""
     groups = 64
@@ -32,11 +34,11 @@ def packed_counts(hashes: np.ndarray) -> bytes:
     counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     if counts.max(initial=0) > 15:
         return b""
-    return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return zlib.compress((counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    both = np.frombuffer(data, np.uint8)
+    both = np.frombuffer(zlib.decompress(data) if data else b"", np.uint8)
     out = np.empty(2 * len(both), np.uint8)
     out[::2], out[1::2] = both & 15, both >> 4
     return out
