@@ -241,8 +241,12 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = stored(sketch(docs, width, percent, sampled_frequencies(docs, width)), "sketch")
     filled = sketches.filter("n_shingles > 0")
     classes = stored(filled.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
-    reps = filled.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    heads = classes.select(F.col("class_id").alias("id"))
+    few = heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    reps = filled.join(F.broadcast(heads) if few else heads, "id", "left_semi")
     reps = stored(reps.select("id", "n_shingles", "sketch", "tokens", "counts", "fine"), "reps")
+    if reps.count() > classes.count():  # rows that repeat an id; else the wide rows need no shuffle
+        reps = stored(reps.dropDuplicates(["id"]), "reps")
 
     # First round: one comparison with the smallest class of each shared minimum hash.
     mins = reps.select("id", F.posexplode("sketch").alias("which", "low"))
@@ -256,8 +260,8 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # Second round: tokens shared across clusters.
     tokens = clustered.select("id", "cluster", F.explode("tokens").alias("token"))
-    across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id")).alias("members"))
-    across = across.filter("low < high").groupBy("many", "least", "most", "members").agg(F.min("token").alias("token"))
+    across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.bit_xor(F.xxhash64("id")).alias("members"))
+    across = across.filter("low < high").groupBy("many", "low", "high", "members").agg(F.min("token").alias("token"))
     across = stored(across.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "across")
     small = across.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = tokens.join(F.broadcast(across) if small else across, "token").select("id", "cluster", "token", "blocks")
