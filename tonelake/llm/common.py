@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tonelake.session import shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: Texts handled together inside one Arrow batch, in characters; bounds the Python worker's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +47,27 @@ def sliced(frames: Iterable[pd.DataFrame], column: str) -> Iterator[pd.DataFrame
             yield frame.iloc[a:b]
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, column: str = "text") -> DataFrame:
+    """``mapInPandas`` whose frames hold a bounded amount of text each: a batch becomes Python strings a slice at a time."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            start = size = 0
+            for i, n in enumerate(sizes.tolist()):
+                size += n
+                if size >= SLICE_CHARS or i == len(sizes) - 1:
+                    yield batch.slice(start, i + 1 - start).to_pandas()
+                    start, size = i + 1, 0
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(cut(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(mapped, schema)
+
+
 def text_sha256(text: Column) -> Column:
     """Lower-case hex SHA-256 of the UTF-8 bytes; null counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")), 256)

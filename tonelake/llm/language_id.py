@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, slices
+from .common import map_texts, sliced, slices
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -82,7 +82,7 @@ class Profiles:
         row = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
         codes, at = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.int64), return_inverse=True)
         out = np.zeros((len(texts), self.letters.shape[1]), np.float32)
-        step = 8192  # n-grams in one product, so that its matrices stay small
+        step = 4096  # n-grams in one product, so that its matrices stay small
         for a in range(0, len(codes), step):
             here = (at >= a) & (at < a + step)
             width = min(step, len(codes) - a)
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
         if total:
             yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
-    parts = chosen.mapInPandas(bundle, "lang string, vector array<double>")
+    parts = map_texts(chosen, bundle, "lang string, vector array<double>")
     sums = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for r in sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).collect():
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row, from the whole text alone."""
     langs = list(prototypes)
-    matrix = np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), -1)
+    matrix = np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), -1) if langs else np.zeros((0, DIMENSIONS), np.float32)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = Profiles()
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return slim.mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return map_texts(slim, run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tonelake.operators.components import connected_components
 
-from .common import shuffle_partitions, sliced, stored
+from .common import map_texts, shuffle_partitions, sliced, stored
 from .rtree import CountTree, count_vector, folded, most_shared, packed_counts, unpacked
 from .shingles import mix, shingle_sets
 
@@ -66,7 +66,7 @@ def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.nda
             sets = shingle_sets(frame["text"].tolist(), width)
             yield pd.DataFrame({"token": np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64)})
 
-    seen = part.select("text").mapInPandas(tokens, "token bigint").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
+    seen = map_texts(part.select("text"), tokens, "token bigint").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
     found = seen.toPandas()
     token = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray
             out.insert(0, "id", frame["id"].to_numpy())
             yield out
 
-    return docs.mapInPandas(run, SKETCH)
+    return map_texts(docs, run, SKETCH)
 
 
 def meet(rows: DataFrame, pairs: DataFrame, columns: list[str], partitions: int) -> DataFrame:
@@ -156,7 +156,7 @@ def compare(docs: DataFrame, pairs: DataFrame, width: int, percent: int, partiti
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return meet(docs, pairs, ["text"], partitions).mapInPandas(run, "a bigint, b bigint")
+    return map_texts(meet(docs, pairs, ["text"], partitions), run, "a bigint, b bigint")
 
 
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:

@@ -25,14 +25,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import map_texts, sliced
 
 MARK = "▁"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: A word: marks and letters, or marks and what is neither, or a line feed.
 WORD = re.compile(f"{MARK}*{LETTER}+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|{MARK}+|\n")
 #: Distinct words whose ids a worker keeps, in each of two generations; the older one goes when the newer is full.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 #: Words longer than this are encoded but not kept.
 MEMO_CHARS = 64
 
@@ -45,6 +45,7 @@ class PieceCoder:
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bos, self.eos, self.unk = lib.bos_id(), lib.eos_id(), lib.unk_id()
+        self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.bos, self.eos))
         names = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(len(names)) if lib.is_byte(i)}
         plain = [i for i in range(len(names)) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
@@ -143,13 +144,13 @@ def encode_decode(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col
             test = set(np.linspace(0, len(texts) - 1, min(checked, len(texts))).astype(int).tolist())
             rows = []
             for k, text in enumerate(texts):
-                ids = [coder.bos, *np.frombuffer(coder.encode_bytes(text), "<u4").tolist(), coder.eos]
-                decoded = coder.decode(ids)
+                raw = coder.begin + coder.encode_bytes(text) + coder.end
+                ids = np.frombuffer(raw, "<u4")
+                decoded = coder.decode(ids.tolist())
                 if k in test:
-                    coder.verify(text, ids, decoded)
-                raw = np.array(ids, "<u4").tobytes()
+                    coder.verify(text, ids.tolist(), decoded)
                 row = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, ids, decoded) if keep_ids else row)
+                rows.append((*row, ids.astype(np.int32), decoded) if keep_ids else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if keep_ids else ())]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, id_col, frame["id"].to_numpy())
@@ -158,4 +159,4 @@ def encode_decode(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col
     kind = df.schema[id_col].dataType.simpleString()
     slim = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     more = ", ids array<int>, decoded string" if keep_ids else ""
-    return slim.mapInPandas(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return map_texts(slim, run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, sliced, stored
+from .common import map_texts, shuffle_partitions, sliced, stored
 from .shingles import mix, powers
 from .suffix_sort import repeated, words
 
@@ -117,7 +117,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
             if parts:
                 yield flush()
 
-    return docs.mapInPandas(run, "id bigint, key bigint, digest bigint, lo int, hi int")
+    return map_texts(docs, run, "id bigint, key bigint, digest bigint, lo int, hi int")
 
 
 def sorted_ranges(rows: DataFrame, length: int) -> DataFrame:
@@ -235,4 +235,4 @@ def cut_out(rows: DataFrame, id_col: str, length: int, keep_bytes: bool) -> Data
             yield result
 
     more = ", spans array<array<int>>, kept binary" if keep_bytes else ""
-    return rows.mapInPandas(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
+    return map_texts(rows, run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")

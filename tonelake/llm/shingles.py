@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes hashed together; longer texts go alone.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 _rng = np.random.default_rng(7)
 _LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1

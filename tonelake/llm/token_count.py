@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import map_texts, sliced
 
 #: The published splitting pattern of this vocabulary family, with white space spelt out.
 PRE_TOKEN = (
@@ -28,7 +28,7 @@ PRE_TOKEN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Distinct pre-tokens whose counts a worker keeps, in each of two generations; the older one goes when the newer is full.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 #: Pre-tokens merged together in one ragged array.
 MERGE_BATCH = 60_000
 NO_RANK = np.int32(2**31 - 1)
@@ -133,4 +133,4 @@ def token_counts(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
 
     kind = df.schema[id_col].dataType.simpleString()
     slim = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    return slim.mapInPandas(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_texts(slim, run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
