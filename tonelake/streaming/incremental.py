@@ -31,10 +31,14 @@ def collected(messages: DataFrame) -> DataFrame:
     return conform(rows, ITEMS)
 
 
+def timed(rows: DataFrame, lateness: str) -> DataFrame:
+    """Rows with ``event_time`` and a watermark on it; a stream has one watermark, so the first one set stays."""
+    return rows if "event_time" in rows.columns else rows.withColumn("event_time", F.to_timestamp("date")).withWatermark("event_time", lateness)
+
+
 def without_repeats(messages: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """A stream without messages seen before, as far back as the watermark reaches."""
-    timed = messages.withColumn("event_time", F.to_timestamp("date")).withWatermark("event_time", lateness)
-    return timed.dropDuplicatesWithinWatermark([*ITEM_KEY]).drop("event_time")
+    """A stream without messages seen before, as far back as the watermark reaches; adds ``event_time``."""
+    return timed(messages, lateness).dropDuplicatesWithinWatermark([*ITEM_KEY])
 
 
 def collect_into(messages: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -45,5 +49,4 @@ def collect_into(messages: DataFrame, path: str, checkpoint: str, then: Callable
 
 def daily_counts(items: DataFrame, lateness: str = "2 days") -> DataFrame:
     """(day window, chat_id, n): items by day and channel from a stream, closed by the watermark."""
-    timed = items.withColumn("event_time", F.to_timestamp("date")).withWatermark("event_time", lateness)
-    return timed.groupBy(F.window("event_time", "1 day").alias("day"), "chat_id").agg(F.count("*").alias("n"))
+    return timed(items, lateness).groupBy(F.window("event_time", "1 day").alias("day"), "chat_id").agg(F.count("*").alias("n"))
