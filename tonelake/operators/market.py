@@ -58,6 +58,11 @@ def proxy_summary(prices: DataFrame, min_coverage: float = MIN_COVERAGE) -> Data
     return proxy.crossJoin(calendar)  # one row each
 
 
+def last_rows(proxy: DataFrame, n: int = 10) -> DataFrame:
+    """The last rows by date, in order."""
+    return proxy.orderBy(F.desc("date")).limit(n).orderBy("date")
+
+
 def duplicate_prices(prices: DataFrame) -> DataFrame:
     """(date, ticker) with more than one price, which the other functions assume away."""
     return prices.groupBy("date", "ticker").agg(F.count("*").alias("n")).filter("n > 1")

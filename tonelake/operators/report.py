@@ -82,6 +82,11 @@ def extraction_counts(items: DataFrame) -> DataFrame:
     return sets.agg(F.grouping("chat_name").cast("int").alias("is_total"), F.count("*").alias("n"))
 
 
+def scored_per_day(items: DataFrame, scores: DataFrame) -> DataFrame:
+    """(day, rubric_version, n): how many items of each day have been scored."""
+    return scores.join(items.select(*ITEM_KEY, F.substring("date", 1, 10).alias("day")), list(ITEM_KEY)).groupBy("day", "rubric_version").agg(F.count("*").alias("n"))
+
+
 def write_page(datasets: dict[str, DataFrame], paths: list[str], title: str = "Report", most_rows: int = 500) -> None:
     """One HTML page of small tables, written to each path on the driver. Datasets are report-sized; rows beyond ``most_rows`` stay out of the page."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]

@@ -396,6 +396,17 @@ def a35_proxy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.proxy_summary(data.prices(spark, sf_dir))
 
 
+@query(f", {PROXY} SELECT date, {cut('market_return')} AS market_return, n_tickers FROM proxy ORDER BY date DESC LIMIT 10")
+def o7_last_proxy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(market.last_rows(market.market_proxy(data.prices(spark, sf_dir))), "market_return").select("date", "market_return", "n_tickers")
+
+
+@query("SELECT date, ticker, n FROM (SELECT date, ticker, count(*) AS n FROM prices GROUP BY ALL UNION ALL SELECT DATE '2000-01-01', 'x', 2) WHERE n > 1")
+def t20_duplicate_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = spark.createDataFrame([("x", 1.0), ("x", 2.0)], "ticker string, close double").withColumn("date", F.lit("2000-01-01").cast("date"))
+    return market.duplicate_prices(data.prices(spark, sf_dir).unionByName(twice))
+
+
 # Validation
 
 
@@ -558,6 +569,19 @@ def f10_searched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.searched(report.recent_items(*both(spark, sf_dir)), level="stock", date_part="1998-06")
 
 
+@query("SELECT substr(i.date, 1, 10) AS day, s.rubric_version, count(*) AS n FROM scores s JOIN items i ON i.chat_id = s.chat_id AND i.message_id = s.message_id GROUP BY ALL")
+def a30_scored_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.scored_per_day(*both(spark, sf_dir))
+
+
+@query("""SELECT i.chat_id, i.message_id, CASE WHEN message_id % 2 = 0 THEN 'c' ELSE NULL END AS dup_cluster_id, CASE WHEN message_id % 2 = 0 THEN 1 ELSE is_cluster_head END AS is_cluster_head,
+  CASE WHEN message_id % 2 = 0 THEN 5 ELSE mention_channels END AS mention_channels FROM items i""")
+def s11_update_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = data.items(spark, sf_dir)
+    new = items.filter("message_id % 2 = 0").select("chat_id", "message_id", F.lit("c").alias("dup_cluster_id"), F.lit(1).alias("is_cluster_head"), F.lit(5).alias("mention_channels"))
+    return tables.update_clusters(items, new).select("chat_id", "message_id", "dup_cluster_id", "is_cluster_head", "mention_channels")
+
+
 # Texts and scorers
 
 

@@ -119,6 +119,12 @@ def new_messages(messages: DataFrame, items: DataFrame, *, now: Column | None =
     return joined.filter(fresh).filter(has_content()).drop("last_id")
 
 
+def media_path(root: str) -> Column:
+    """Where a message's media are kept: by channel and month of the message, photos by message id, documents by their own name."""
+    name = F.when(F.coalesce("has_photo", F.lit(False)), F.concat(F.col("message_id").cast("string"), F.lit(".jpg"))).otherwise(F.col("file_name"))
+    return F.concat_ws("/", F.lit(root), F.col("chat_name"), F.substring("date", 1, 7), name)
+
+
 def has_content() -> Column:
     """Whether a message has text, a photo or a document."""
     return (F.coalesce(F.length("text"), F.lit(0)) > 0) | F.coalesce("has_photo", F.lit(False)) | F.coalesce("has_document", F.lit(False))
@@ -166,13 +172,17 @@ def gold_template(scores: DataFrame, sample_size: int = 60, seed: int = 42) -> D
     return drawn.select("chat_id", "message_id", blank.alias("direction"), blank.alias("magnitude"), blank.alias("level")).orderBy("chat_id", "message_id")
 
 
+def labelled_path(path: str, label: str) -> str:
+    """The path with a label behind its name's stem."""
+    head, dot, suffix = path.rpartition(".")
+    return f"{head}_{label}{dot}{suffix}" if dot and "/" not in suffix else f"{path}_{label}"
+
+
 def write_csv(df: DataFrame, path: str, label: str | None = None) -> str:
     """One CSV file with a header in a folder; a label goes behind the name's stem. For results of report size."""
-    target = Path(path)
-    if label:
-        target = target.with_name(f"{target.stem}_{label}{target.suffix}")
-    df.coalesce(1).write.mode("overwrite").csv(str(target), header=True)
-    return str(target)
+    target = labelled_path(path, label) if label else path
+    df.coalesce(1).write.mode("overwrite").csv(target, header=True)
+    return target
 
 
 def json_records(df: DataFrame) -> DataFrame:
