@@ -1,9 +1,9 @@
 """N-gram Jaccard join: near-duplicate documents by word shingles, exactly, with a count-vector R-tree.
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class from here on, with its smallest id.
-2. A first round links what is easy: classes that share a minimum hash are compared with the smallest class of that hash.
-   Links found are kept, and families of near copies fall into clusters; a comparison per class and hash, however
-   large the family.
+2. A first round links what is easy: classes that share a minimum hash are compared with the most central class of that hash,
+   the one whose bin minima agree with most others (the text that copies were made from, if it is there). Links found are
+   kept, and families of near copies fall into clusters; a comparison per class and hash, however large the family.
 3. The second round finds every other link. Two sets similar enough share one of the first tokens of each, in any order
    common to all (here: rare tokens first, as seen in a bounded sample, which only affects speed). Classes that share
    such a token and lie in different clusters are indexed by an R-tree over their count vectors, and pairs whose overlap
@@ -38,9 +38,9 @@ from .shingles import mix, shingle_sets
 #: Groups that tokens are hashed into: the R-tree's dimensions, a power of two of 64 at most.
 GROUPS = 64
 #: Pairs that a task remembers as checked, as they come up again with other tokens.
-CHECKED = 500_000
-#: Minimum hashes of the first round.
-SKETCHES = 3
+CHECKED = 100_000
+#: Minimum hashes of the first round, and bins whose minima tell central classes.
+SKETCHES, BINS = 3, 32
 #: Rows of the sample that tells frequent tokens, and how often a token must be seen in it.
 SAMPLE_ROWS, SEEN = 2000, 3
 #: Token groups up to this size are one leaf: their pairs are bounded directly, those of many groups at once.
@@ -73,7 +73,14 @@ def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.nda
     return token[order], found["n"].to_numpy(np.int64)[order]
 
 
-SKETCH = "id bigint, n_shingles bigint, digest binary, sketch array<bigint>, tokens array<bigint>, counts binary, fine binary"
+def bin_minima(hashes: np.ndarray) -> list[int]:
+    """The smallest hash in each bin of the hash range, as 32 bits; empty bins have 0. ``hashes`` are sorted."""
+    at = np.searchsorted(hashes, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
+    low = hashes[np.minimum(at, len(hashes) - 1)]
+    return np.where(np.r_[at[1:], len(hashes)] > at, low & np.uint64(0x7FFFFFFF), 0).astype(np.int64).tolist()
+
+
+SKETCH = "id bigint, n_shingles bigint, digest binary, sketch array<bigint>, bins array<int>, tokens array<bigint>, counts binary, fine binary"
 
 
 def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -88,7 +95,7 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray
                 n = len(s)
                 digest = np.array([n, mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(77)))], np.uint64).tobytes()
                 if not n:
-                    rows.append((0, digest, [], [], b"", b""))
+                    rows.append((0, digest, [], [], [], b"", b""))
                     continue
                 mins = [int(mix(s ^ salt).min().astype(np.int64)) for salt in salts]
                 rank = np.zeros(n, np.int64)
@@ -97,8 +104,8 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray
                     hit = known[at] == s
                     rank[hit] = seen[at[hit]]
                 first = np.lexsort((s, rank))[: prefix_length(n, percent)]  # rare first
-                rows.append((n, digest, mins, s[first].astype(np.int64).tolist(), count_vector(s, GROUPS).tobytes(), packed_counts(s)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch", "tokens", "counts", "fine"])
+                rows.append((n, digest, mins, bin_minima(s), s[first].astype(np.int64).tolist(), count_vector(s, GROUPS).tobytes(), packed_counts(s)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch", "bins", "tokens", "counts", "fine"])
             out.insert(0, "id", frame["id"].to_numpy())
             yield out
 
@@ -244,14 +251,21 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = classes.select(F.col("class_id").alias("id"))
     few = heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     reps = filled.join(F.broadcast(heads) if few else heads, "id", "left_semi")
-    reps = stored(reps.select("id", "n_shingles", "sketch", "tokens", "counts", "fine"), "reps")
+    reps = stored(reps.select("id", "n_shingles", "sketch", "bins", "tokens", "counts", "fine"), "reps")
     if reps.count() > classes.count():  # rows that repeat an id; else the wide rows need no shuffle
         reps = stored(reps.dropDuplicates(["id"]), "reps")
 
     # First round: one comparison with the smallest class of each shared minimum hash.
     mins = reps.select("id", F.posexplode("sketch").alias("which", "low"))
-    leaders = mins.groupBy("which", "low").agg(F.min("id").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    easy = stored(mins.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "easy")
+    shared = mins.groupBy("which", "low").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
+    grouped = stored(mins.join(shared, ["which", "low"]), "grouped")
+    ids = grouped.select("id").distinct()
+    bins = reps.join(ids, "id", "left_semi").select("id", F.posexplode("bins").alias("bin", "value")).filter("value <> 0")
+    common = bins.groupBy("bin", "value").agg(F.count("*").alias("agree"))
+    central = bins.join(common, ["bin", "value"]).groupBy("id").agg(F.sum("agree").alias("agree"))
+    ranked = grouped.join(central, "id", "left").select("which", "low", "id", F.struct(F.coalesce("agree", F.lit(0)).alias("agree"), (-F.col("id")).alias("i")).alias("rank"))
+    leaders = ranked.groupBy("which", "low").agg(F.max_by("id", "rank").alias("a"))
+    easy = stored(grouped.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "easy")
     easy = stored(bounded(reps, easy, percent, n), "bounded")
     links = stored(compare(docs, easy, width, percent, n), "links")
     clusters = connected_components(links, "a", "b")
