@@ -22,14 +22,14 @@ def pick(values: tuple[str, ...], salt: int) -> str:
 TYPE = f"CASE {h(1, 4)} WHEN 0 THEN 'document' WHEN 1 THEN 'photo' WHEN 2 THEN 'link' ELSE 'text' END"
 LEVEL = pick(LEVELS, 8)
 CHANNEL = "CAST(substr(source, 4) AS BIGINT)"
-EXTRACTED = f"CASE WHEN {h(1, 4)} = 0 AND {h(13, 5)} <> 0 THEN substr(text, 1, 3000) END"
+EXTRACTED = f"CASE WHEN {h(1, 4)} = 0 AND {h(13, 5)} <> 0 THEN text END"
 ITEM_COLUMNS = {
     "chat_id": CHANNEL,
     "chat_name": "source",
     "message_id": "doc_id",
     "date": f"concat(CAST(DATE '1998-01-01' + CAST({h(11, 181)} AS INT) AS STRING), 'T00:00:00+00:00')",
     "type": TYPE,
-    "text": f"CASE WHEN {h(14, 19)} <> 0 THEN substr(text, 1, 3000) END",
+    "text": f"CASE WHEN {h(14, 19)} <> 0 THEN text END",
     "url": f"CASE WHEN {h(1, 4)} = 2 THEN concat('https://example.org/', CAST(doc_id AS STRING)) END",
     "summary": f"CASE WHEN {h(28, 3)} = 0 THEN concat('s', CAST(doc_id AS STRING)) END",
     "sentiment_score": f"CASE WHEN {h(29, 5)} <> 0 THEN ({h(30, 21)} - 10) / 2e0 END",
@@ -79,7 +79,7 @@ GOLD_COLUMNS = {
 }
 CLOSE = "CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE)"
 TICKER = "lpad(CAST(l_suppkey % 8 AS STRING), 6, '0')"
-FIRST_DAY, LAST_DAY = "1998-01-01", "1998-06-30"
+LABELLED = "(SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
 
 def _frame(df: DataFrame, columns: dict[str, str], layout: str) -> DataFrame:
@@ -103,15 +103,15 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hand-made labels as text, as a CSV file would have them, for every third document."""
-    docs = _read(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
-    return docs.selectExpr(*[f"{v} AS {k}" for k, v in GOLD_COLUMNS.items()])
+    """Hand-made labels as text, as a CSV file would have them, for the labelled documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return docs.join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id").selectExpr(*[f"{v} AS {k}" for k, v in GOLD_COLUMNS.items()])
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily closes of eight tickers on weekdays, in cents per unit sold."""
     day = F.to_date("l_shipdate")
-    rows = _read(spark, sf_dir, "lineitem").filter(day.between(FIRST_DAY, LAST_DAY) & ~F.dayofweek(day).isin(1, 7))
+    rows = _read(spark, sf_dir, "lineitem").filter(~F.dayofweek(day).isin(1, 7))
     return conform(rows.groupBy(day.alias("date"), F.expr(TICKER).alias("ticker")).agg(F.expr(CLOSE).alias("close")), PRICES)
 
 
@@ -130,9 +130,9 @@ def sql_views(*, near: bool = False) -> str:
     return ",\n".join([
         _view("items", "documents", item_columns, ITEMS),
         _view("scores_v2", "documents", SCORE_COLUMNS, SCORES),
-        _view("scores_classifier", "(SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)", CLASSIFIER_COLUMNS, SCORES),
+        _view("scores_classifier", LABELLED, CLASSIFIER_COLUMNS, SCORES),
         "scores AS (SELECT * FROM scores_v2 UNION ALL SELECT * FROM scores_classifier)",
-        _view("gold_raw", "(SELECT * FROM documents WHERE doc_id % 3 = 0)", GOLD_COLUMNS),
+        _view("gold_raw", LABELLED, GOLD_COLUMNS),
         f"prices AS (SELECT CAST(l_shipdate AS DATE) AS date, {TICKER} AS ticker, {CLOSE} AS close FROM lineitem "
-        f"WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}' AND dayofweek(CAST(l_shipdate AS DATE)) NOT IN (0, 6) GROUP BY 1, 2)",
+        "WHERE dayofweek(CAST(l_shipdate AS DATE)) NOT IN (0, 6) GROUP BY 1, 2)",
     ])
