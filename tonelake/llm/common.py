@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -47,6 +48,15 @@ def sliced(frames: Iterable[pd.DataFrame], column: str) -> Iterator[pd.DataFrame
             yield frame.iloc[a:b]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers live on after a task, and what their allocators keep adds up beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, column: str = "text") -> DataFrame:
     """``mapInPandas`` whose frames hold a bounded amount of text each: a batch becomes Python strings a slice at a time."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -64,10 +74,6 @@ def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in run(cut(batches)):
             yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+        give_back()
 
     return df.mapInArrow(mapped, schema)
-
-
-def text_sha256(text: Column) -> Column:
-    """Lower-case hex SHA-256 of the UTF-8 bytes; null counts as empty."""
-    return F.sha2(F.coalesce(text, F.lit("")), 256)

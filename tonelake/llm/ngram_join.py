@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tonelake.operators.components import connected_components
 
-from .common import map_texts, shuffle_partitions, sliced, stored
+from .common import give_back, map_texts, shuffle_partitions, sliced, stored
 from .rtree import CountTree, count_vector, folded, most_shared, packed_counts, unpacked
 from .shingles import mix, shingle_sets
 
@@ -236,6 +236,9 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             held = [frame[same]]
         if held:
             yield from done(pd.concat(held))
+        held.clear()
+        checked.clear()
+        give_back()
 
     return rows.mapInPandas(run, "a bigint, b bigint")
 

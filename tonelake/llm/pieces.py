@@ -32,7 +32,7 @@ LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: A word: marks and letters, or marks and what is neither, or a line feed.
 WORD = re.compile(f"{MARK}*{LETTER}+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|{MARK}+|\n")
 #: Distinct words whose ids a worker keeps, in each of two generations; the older one goes when the newer is full.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 #: Words longer than this are encoded but not kept.
 MEMO_CHARS = 64
 
