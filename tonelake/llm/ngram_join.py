@@ -1,9 +1,10 @@
 """N-gram Jaccard join: near-duplicate documents by word shingles, exactly, with a count-vector R-tree.
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class from here on, with its smallest id.
-2. A first round links what is easy: classes that share a minimum hash are compared with the most central class of that hash,
-   the one whose bin minima agree with most others (the text that copies were made from, if it is there). Links found are
-   kept, and families of near copies fall into clusters; a comparison per class and hash, however large the family.
+2. A first round links what is easy: classes that share a minimum hash are compared with the smallest class of that hash and
+   with the most central one, whose bin minima agree with most others (one of them often is the text that copies were made
+   from). Links found are kept, and families of near copies fall into clusters; two comparisons per class and hash at most,
+   however large the family.
 3. The second round finds every other link. Two sets similar enough share one of the first tokens of each, in any order
    common to all (here: rare tokens first, as seen in a bounded sample, which only affects speed). Classes that share
    such a token and lie in different clusters are indexed by an R-tree over their count vectors, and pairs whose overlap
@@ -267,7 +268,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     common = bins.groupBy("bin", "value").agg(F.count("*").alias("agree"))
     central = bins.join(common, ["bin", "value"]).groupBy("id").agg(F.sum("agree").alias("agree"))
     ranked = grouped.join(central, "id", "left").select("which", "low", "id", F.struct(F.coalesce("agree", F.lit(0)).alias("agree"), (-F.col("id")).alias("i")).alias("rank"))
-    leaders = ranked.groupBy("which", "low").agg(F.max_by("id", "rank").alias("a"))
+    leaders = ranked.groupBy("which", "low").agg(F.array_distinct(F.array(F.max_by("id", "rank"), F.min("id"))).alias("leaders")).select("which", "low", F.explode("leaders").alias("a"))
     easy = stored(grouped.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "easy")
     easy = stored(bounded(reps, easy, percent, n), "bounded")
     links = stored(compare(docs, easy, width, percent, n), "links")
