@@ -224,3 +224,11 @@ def test_stream_counts_and_repeats(spark, tmp_path):
 
 def test_session_settings(spark):
     assert build_session().conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_legacy_scores_and_media_paths(spark):
+    items = schemas.conform(spark.createDataFrame([(1, 2), (1, 3)], "chat_id bigint, message_id bigint"), schemas.ITEMS)
+    answers = spark.createDataFrame([("1_2", "s", 9.0, "macro", "t"), ("9_9", "s", 1.0, "macro", "t")], "item_id string, summary string, sentiment_score double, scope string, topic string")
+    assert [(r.message_id, r.sentiment_score) for r in scoring.legacy_scores(items, answers).collect()] == [(2, 5.0)]
+    messages = spark.createDataFrame([("c", 7, "2020-03-04T00:00:00", True, None), ("c", 8, "2020-03-04T00:00:00", None, "a.pdf")], "chat_name string, message_id bigint, date string, has_photo boolean, file_name string")
+    assert [r.p for r in messages.select(tables.media_path("files").alias("p")).collect()] == ["files/c/2020-03/7.jpg", "files/c/2020-03/a.pdf"]
