@@ -87,12 +87,12 @@ def scored_per_day(items: DataFrame, scores: DataFrame) -> DataFrame:
     return scores.join(items.select(*ITEM_KEY, F.substring("date", 1, 10).alias("day")), list(ITEM_KEY)).groupBy("day", "rubric_version").agg(F.count("*").alias("n"))
 
 
-def write_page(datasets: dict[str, DataFrame], paths: list[str], title: str = "Report", most_rows: int = 500) -> None:
-    """One HTML page of small tables, written to each path on the driver. Datasets are report-sized; rows beyond ``most_rows`` stay out of the page."""
+def write_page(datasets: dict[str, DataFrame], paths: list[str], title: str = "Report") -> None:
+    """One HTML page of tables, written to each path on the driver, with every row of the datasets: these are aggregates, or limited as ``recent_items`` is."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name, df in datasets.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        rows = ["".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) for r in df.limit(most_rows).collect()]
+        rows = ["".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) for r in df.toLocalIterator()]
         parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
     for path in paths:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
