@@ -81,6 +81,19 @@ def test_repeated_rows_and_missing_ids(docs):
     assert sorted(got) == [(1, 1), (1, 1), (3, 1)]
 
 
+def test_one_id_on_different_texts(docs):
+    """Every text keeps its own links, whichever row comes first."""
+    first, second = "a b c d e f g h i j", "k l m n o p q r s t"
+    for rows in ([(1, first), (1, second)], [(1, second), (1, first)]):
+        rows += [(2, first + " x"), (3, second + " y"), (4, first + " z"), (5, "on its own here and now"), (3, "on its own here and now")]
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(rows), width=4, percent=75).collect())
+        assert got == [(1, 7, 1), (1, 7, 1), (2, 8, 1), (3, 3, 3), (3, 8, 1), (4, 8, 1), (5, 3, 3)]
+        left = sorted((r.doc_id, r.text) for r in ngram_join.near_deduplicate(docs(rows), width=4, percent=75).collect())
+        assert left == [(1, first), (1, second), (3, "on its own here and now")]
+    rows = [(1, first), (5, first), (5, second)]  # 5 goes with its first text only
+    assert sorted((r.doc_id, r.text) for r in ngram_join.near_deduplicate(docs(rows)).collect()) == [(1, first), (5, second)]
+
+
 def test_near_deduplicate(docs):
     rows = made(4)
     df = docs(rows)

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -24,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def addressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, known, spot, text): ``doc`` is the id, 0 where there is none, and (doc, spot) tells rows of different id or text apart in every scan."""
+    ident = df[id_col].cast("bigint")
+    doc = F.coalesce(ident, F.lit(0).cast("bigint"))
+    return df.select(doc.alias("doc"), ident.isNotNull().alias("known"), F.xxhash64(ident, df[text_col]).alias("spot"), df[text_col].alias("text"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -17,8 +17,9 @@ Pairs of the first round are held against each other by finer count vectors too,
 enough; the others by their texts. Either is sent to the task of the pair's first member; members of a large family are spread by a salt.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing. Texts with fewer words
-than a shingle have one shingle of all their words. Hashes have 64 bits. Repeated rows (same id) are one node with the larger set. Rows without
-an id are left out. An empty table gives an empty result; other columns are ignored.
+than a shingle have one shingle of all their words. Hashes have 64 bits. Rows are told apart by id and text, so an id may stand on
+different texts, each with its own links. Rows without an id are left out of the components unless asked for; then they link like others, and a
+component without any id has a null one. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tonelake.operators.components import connected_components
 
-from .common import give_back, map_texts, shuffle_partitions, sliced, stored
+from .common import addressed, give_back, map_texts, shuffle_partitions, sliced, stored
 from .rtree import CountTree, count_vector, folded, most_shared, packed_counts, unpacked
 from .shingles import mix, shingle_sets
 
@@ -60,7 +61,7 @@ def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
 def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens seen repeatedly in a bounded sample of rows, with their counts, sorted by token."""
     n = docs.count()
-    part = docs if n <= SAMPLE_ROWS else docs.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < F.lit(1_000_000.0 * SAMPLE_ROWS / n))
+    part = docs if n <= SAMPLE_ROWS else docs.filter(F.pmod(F.xxhash64("spot", F.lit("sample")), F.lit(1_000_000)) < F.lit(1_000_000.0 * SAMPLE_ROWS / n))
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "text"):
@@ -81,7 +82,7 @@ def bin_minima(hashes: np.ndarray) -> list[int]:
     return np.where(np.r_[at[1:], len(hashes)] > at, low & np.uint64(0x7FFFFFFF), 0).astype(np.int64).tolist()
 
 
-SKETCH = "id bigint, n_shingles bigint, digest binary, sketch array<bigint>, bins array<int>, tokens array<bigint>, counts binary, fine binary"
+SKETCH = "doc bigint, known boolean, spot bigint, n_shingles bigint, digest binary, sketch array<bigint>, bins array<int>, tokens array<bigint>, counts binary, fine binary"
 
 
 def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -107,22 +108,24 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray
                 first = np.lexsort((s, rank))[: prefix_length(n, percent)]  # rare first
                 rows.append((n, digest, mins, bin_minima(s), s[first].astype(np.int64).tolist(), count_vector(s, GROUPS).tobytes(), packed_counts(s)))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch", "bins", "tokens", "counts", "fine"])
-            out.insert(0, "id", frame["id"].to_numpy())
+            for at, name in enumerate(("doc", "known", "spot")):
+                out.insert(at, name, frame[name].to_numpy())
             yield out
 
     return map_texts(docs, run, SKETCH)
 
 
-def meet(rows: DataFrame, pairs: DataFrame, columns: list[str], partitions: int) -> DataFrame:
+def meet(rows: DataFrame, pairs: DataFrame, columns: list[str], partitions: int, heads: DataFrame | None = None) -> DataFrame:
     """Each pair's two rows in one task, the first member's before all its partners': a, part, is_first, id and ``columns``.
 
-    Families, that is pairs with the same first member, are cut into parts of about FAMILY pairs."""
+    ``rows`` have an id, or ``heads`` tells at which doc and spot the row of an id is. Families, that is pairs with the same first member, are cut into parts of about FAMILY pairs."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("pairs_of_a")).filter(F.col("pairs_of_a") > FAMILY)
     parts = pairs.join(sizes, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("pairs_of_a") / FAMILY), F.lit(1))))
     parts = stored(parts.select("a", "b", "part"), "parts")
     asks = parts.select("a", "part", F.lit(True).alias("is_first"), F.col("a").alias("id")).distinct().unionByName(parts.select("a", "part", F.lit(False).alias("is_first"), F.col("b").alias("id")))
     small = asks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sent = rows.join(F.broadcast(asks) if small else asks, "id").select("a", "part", "is_first", "id", *columns)
+    asks = asks if heads is None else heads.join(F.broadcast(asks) if small else asks, "id")
+    sent = rows.join(F.broadcast(asks) if small else asks, "id" if heads is None else ["doc", "spot"]).select("a", "part", "is_first", "id", *columns)
     return sent.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", F.col("is_first").desc())
 
 
@@ -146,7 +149,7 @@ def bounded(reps: DataFrame, pairs: DataFrame, percent: int, partitions: int) ->
     return meet(reps, pairs, ["n_shingles", "fine"], partitions).mapInPandas(run, "a bigint, b bigint")
 
 
-def compare(docs: DataFrame, pairs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
+def compare(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their whole texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +167,7 @@ def compare(docs: DataFrame, pairs: DataFrame, width: int, percent: int, partiti
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return map_texts(meet(docs, pairs, ["text"], partitions), run, "a bigint, b bigint")
+    return map_texts(meet(docs, pairs, ["text"], partitions, heads), run, "a bigint, b bigint")
 
 
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -244,22 +247,41 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "a bigint, b bigint")
 
 
-def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the smallest id reachable by links of at least ``percent`` similarity."""
-    spark = df.sparkSession
-    n = shuffle_partitions(spark)
-    docs = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].alias("text")).filter("id is not null")
+def numbered_classes(filled: DataFrame) -> tuple[DataFrame, bool]:
+    """(digest, id, label, doc, spot) of each different set: its node, its smallest doc id and the row whose text stands for it.
+
+    The node is the label where only this class has it. Classes without a label or with a shared one are numbered beside all labels, once, as
+    the table is stored; the flag tells whether there are any."""
+    first = F.min(F.struct((~F.col("known")).alias("unknown"), "doc", "spot")).alias("first")
+    classes = stored(filled.groupBy("digest").agg(first).select("digest", "first.*"), "classes")
+    shared = stored(classes.filter("not unknown").groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"), "shared")
+    label = F.when(~F.col("unknown"), F.col("doc")).alias("label")
+    if shared.isEmpty() and classes.filter("unknown").isEmpty():
+        return classes.select("digest", F.col("doc").alias("id"), label, "doc", "spot"), False
+    least, most = classes.agg(F.min("doc"), F.max("doc")).first()
+    number = F.monotonically_increasing_id()
+    number = F.lit(most + 1) + number if most < 2**62 else F.lit(least - 1) - number
+    odd = F.col("unknown") | F.col("shared").isNotNull()
+    marked = classes.join(shared.withColumn("shared", F.lit(True)), "doc", "left")
+    return stored(marked.select("digest", F.when(odd, number).otherwise(F.col("doc")).alias("id"), label, "doc", "spot"), "classes"), True
+
+
+def prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """Sketches of all rows, classes of equal sets, where the text of each class is, one sketch of each class, and whether any class is numbered."""
     sketches = stored(sketch(docs, width, percent, sampled_frequencies(docs, width)), "sketch")
     filled = sketches.filter("n_shingles > 0")
-    classes = stored(filled.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
-    heads = classes.select(F.col("class_id").alias("id"))
+    classes, odd = numbered_classes(filled)
+    heads = classes.select("id", "doc", "spot")
     few = heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    reps = filled.join(F.broadcast(heads) if few else heads, "id", "left_semi")
+    reps = filled.join(F.broadcast(heads) if few else heads, ["doc", "spot"])
     reps = stored(reps.select("id", "n_shingles", "sketch", "bins", "tokens", "counts", "fine"), "reps")
-    if reps.count() > classes.count():  # rows that repeat an id; else the wide rows need no shuffle
+    if reps.count() > classes.count():  # rows that repeat an id and its text; else the wide rows need no shuffle
         reps = stored(reps.dropDuplicates(["id"]), "reps")
+    return sketches, classes, heads, reps, odd
 
-    # First round: one comparison with the smallest class of each shared minimum hash.
+
+def first_round(docs: DataFrame, heads: DataFrame, reps: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """Links found by one comparison with the smallest and the most central class of each shared minimum hash."""
     mins = reps.select("id", F.posexplode("sketch").alias("which", "low"))
     shared = mins.groupBy("which", "low").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
     grouped = stored(mins.join(shared, ["which", "low"]), "grouped")
@@ -271,12 +293,13 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leaders = ranked.groupBy("which", "low").agg(F.array_distinct(F.array(F.max_by("id", "rank"), F.min("id"))).alias("leaders")).select("which", "low", F.explode("leaders").alias("a"))
     easy = stored(grouped.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "easy")
     easy = stored(bounded(reps, easy, percent, n), "bounded")
-    links = stored(compare(docs, easy, width, percent, n), "links")
-    clusters = connected_components(links, "a", "b")
+    return stored(compare(docs, heads, easy, width, percent, n), "links")
+
+
+def second_round(docs: DataFrame, heads: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """All links between classes in different clusters; ``clusters``: node, component, a class that is missing there is its own cluster."""
     clustered = reps.select("id", "n_shingles", "tokens", "fine", F.when(F.octet_length("fine") == 0, F.col("counts")).alias("counts")).join(clusters.withColumnRenamed("node", "id"), "id", "left")
     clustered = stored(clustered.withColumn("cluster", F.coalesce("component", "id")).drop("component"), "clustered")
-
-    # Second round: tokens shared across clusters.
     tokens = clustered.select("id", "cluster", F.explode("tokens").alias("token"))
     across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.bit_xor(F.xxhash64("id")).alias("members"))
     across = across.filter("low < high").groupBy("many", "low", "high", "members").agg(F.min("token").alias("token"))
@@ -291,19 +314,67 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sized = met.join(clustered.select("id", "n_shingles", "fine", "counts"), "id")
     dealt = sized.select("token", "block", "side", "id", "n_shingles", "cluster", "fine", "counts").repartition(n, "token", "block").sortWithinPartitions("token", "block")
     hard = stored(tree_pairs(dealt, percent).distinct(), "hard")
-    more = stored(compare(docs, hard, width, percent, n), "links")
+    return stored(compare(docs, heads, hard, width, percent, n), "links")
+
+
+def judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, bool]:
+    """(doc, known, spot, n_shingles, node, component_id) for every row, where ``node`` names the component and is null for empty sets; the flag
+    tells whether some component's node may not be its id."""
+    n = shuffle_partitions(docs.sparkSession)
+    sketches, classes, heads, reps, odd = prepared(docs, width, percent)
+    links = first_round(docs, heads, reps, width, percent, n)
+    more = second_round(docs, heads, reps, connected_components(links, "a", "b"), width, percent, n)
     joined = connected_components(links.unionByName(more), "a", "b")
 
     # Back to rows: a class's component, then the smallest member of the component over all its classes (a class has its smallest id).
-    by_class = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
-    out = sketches.select("id", "n_shingles", "digest").join(by_class, "digest", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-
-
-def near_deduplicate(df: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The input's rows without near copies: of each component the row with the smallest id stays, in the input's columns."""
-    found = jaccard_components(df, id_col=id_col, **options)
-    dropped = found.filter(found[id_col] != F.col("component_id")).select(F.col(id_col).alias("__dropped"))
-    dropped = stored(dropped, "dropped")
-    small = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(dropped) if small else dropped, df[id_col] == dropped["__dropped"], "left_anti")
+    by_class = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", "label", F.coalesce("component", "id").alias("node"))
+    if odd:
+        by_class = by_class.join(by_class.groupBy("node").agg(F.min("label").alias("component_id")), "node")
+    else:
+        by_class = by_class.withColumn("component_id", F.col("node"))
+    out = sketches.select("doc", "known", "spot", "n_shingles", "digest").join(by_class.select("digest", "node", "component_id"), "digest", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).when(F.col("known"), F.col("doc"))
+    return out.select("doc", "known", "spot", "n_shingles", "node", component.alias("component_id")), odd
+
+
+def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, missing_ids: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: the smallest id reachable by links of at least ``percent`` similarity.
+
+    With ``missing_ids`` rows without an id take part too."""
+    docs = addressed(df, id_col, text_col)
+    found, _ = judged(docs if missing_ids else docs.filter("known"), width, percent)
+    return found.select(F.when(F.col("known"), F.col("doc")).alias(id_col), "n_shingles", "component_id")
+
+
+def near_deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The input's rows without near copies: of each component the row with the smallest id stays, in the input's columns.
+
+    Where no member has an id, one row stays all the same. Rows that repeat an id and its text stay together."""
+    found, odd = judged(addressed(df, id_col, text_col), width, percent)
+    again = None
+    if odd:
+        found = stored(found.filter("n_shingles > 0"), "found")
+        stays = found.groupBy("node").agg(F.min(F.struct(~F.col("known"), "doc", "spot")).alias("stays"))
+        dropped = found.join(stays, "node").filter(F.struct(~F.col("known"), "doc", "spot") != F.col("stays"))
+        again = stored(found.filter("not known").groupBy("doc", "spot").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "spot"), "again")
+    else:
+        dropped = found.filter(F.col("doc") != F.col("component_id"))
+    dropped = stored(dropped.select("doc", "spot").distinct(), "dropped")
+
+    def marked(table: DataFrame, name: str) -> DataFrame:
+        small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        renamed = table.select(F.col("doc").alias(f"__{name}_doc"), F.col("spot").alias(f"__{name}_spot"))
+        return F.broadcast(renamed) if small else renamed
+
+    ident = df[id_col].cast("bigint")
+    doc, spot = F.coalesce(ident, F.lit(0).cast("bigint")), F.xxhash64(ident, df[text_col])
+    gone = marked(dropped, "gone")
+    kept = df.join(gone, (doc == gone["__gone_doc"]) & (spot == gone["__gone_spot"]), "left_anti")
+    if again is None or again.isEmpty():
+        return kept
+    # Equal texts without an id are one component: one of these rows stays.
+    full = kept.withColumns({"__doc": doc, "__spot": spot})
+    twins = marked(again, "again")
+    same = (full["__doc"] == twins["__again_doc"]) & (full["__spot"] == twins["__again_spot"])
+    one = full.join(twins, same, "left_semi").dropDuplicates(["__doc", "__spot"])
+    return full.join(twins, same, "left_anti").unionByName(one).drop("__doc", "__spot")
