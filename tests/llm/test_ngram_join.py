@@ -94,6 +94,18 @@ def test_one_id_on_different_texts(docs):
     assert sorted((r.doc_id, r.text) for r in ngram_join.near_deduplicate(docs(rows)).collect()) == [(1, first), (5, second)]
 
 
+def test_rows_without_an_id_take_part(spark, docs, tmp_path):
+    first, second = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(None, first), (7, first + " x"), (8, "k l m n u v w"), (None, second), (None, second), (None, second + " y"), (None, ""), (None, None), (9, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(rows), width=4, percent=75, missing_ids=True).collect()), key=str)
+    assert got == sorted([(None, 7, 7), (7, 8, 7), (8, 4, 8), (None, 7, None), (None, 7, None), (None, 8, None), (None, 0, None), (None, 0, None), (9, 0, 9)], key=str)
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op3_ngram_join(spark, str(tmp_path)).count() == len(rows)
+    left = [(r.doc_id, r.text) for r in ngram_join.near_deduplicate(docs(rows), width=4, percent=75).collect()]
+    assert sum(d is None and (t or "").startswith("k") for d, t in left) == 1
+    assert sorted(((d, t) for d, t in left if not (t or "").startswith(second)), key=str) == sorted([(7, first + " x"), (8, "k l m n u v w"), (None, ""), (None, None), (9, "")], key=str)
+
+
 def test_near_deduplicate(docs):
     rows = made(4)
     df = docs(rows)

@@ -90,6 +90,12 @@ def test_spans_and_bytes(docs):
         assert kept == bytes(r.kept)
 
 
+def test_rows_without_an_id_and_one_id_on_different_texts(docs):
+    texts = [t for _, t in made(4) if t is not None]
+    rows = [(None if k % 3 == 0 else k // 4, t) for k, t in enumerate(texts)] + [(None, texts[0]), (0, texts[5]), (2**60 + 1, texts[1]), (None, None)]
+    assert result(repeats.remove_repeats(docs(rows), length=200)) == brute(rows, 200)
+
+
 def test_empty(docs):
     assert repeats.remove_repeats(docs([])).count() == 0
 

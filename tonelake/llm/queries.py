@@ -43,7 +43,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85, missing_ids=True)
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

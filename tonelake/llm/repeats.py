@@ -17,7 +17,7 @@ anchor form one context, the bytes that they span.
 5. Ranges are gathered by document and taken out.
 
 Defined results: null text counts as empty; documents shorter than ``length`` lose nothing. Repeated rows (same id and text) are two documents and
-remove each other. Ids must not stand for two different texts; rows without an id are left out. Empty tables give
+remove each other. Rows are told apart by id and text: an id may stand on different texts, and rows without an id take part and come back without one. Empty tables give
 empty results; other columns are ignored. The bytes left need not be valid UTF-8, so they are given as bytes.
 """
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, shuffle_partitions, sliced, stored
+from .common import addressed, map_texts, shuffle_partitions, sliced, stored
 from .shingles import mix, powers
 from .suffix_sort import repeated, words
 
@@ -90,19 +90,19 @@ def contexts(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """A row per context: id, key, digest, lo, hi (byte positions of the first and the last window)."""
+    """A row per context: doc, spot, key, digest, lo, hi (byte positions of the first and the last window)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "text"):
             parts: list[bytes] = []
             owner: list[tuple[int, int]] = []  # row, offset
             size = 0
-            ids = frame["id"].to_numpy(np.int64)
+            doc, spot = frame["doc"].to_numpy(np.int64), frame["spot"].to_numpy(np.int64)
 
             def flush() -> pd.DataFrame:
                 part, key, digest, lo, hi = contexts(parts, length)
                 row, offset = np.array([o[0] for o in owner]), np.array([o[1] for o in owner])
-                return pd.DataFrame({"id": ids[row[part]], "key": key.view(np.int64), "digest": digest.view(np.int64), "lo": (lo + offset[part]).astype(np.int32), "hi": (hi + offset[part]).astype(np.int32)})
+                return pd.DataFrame({"doc": doc[row[part]], "spot": spot[row[part]], "key": key.view(np.int64), "digest": digest.view(np.int64), "lo": (lo + offset[part]).astype(np.int32), "hi": (hi + offset[part]).astype(np.int32)})
 
             for k, text in enumerate(frame["text"]):
                 raw = (text or "").encode()
@@ -117,61 +117,64 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
             if parts:
                 yield flush()
 
-    return map_texts(docs, run, "id bigint, key bigint, digest bigint, lo int, hi int")
+    return map_texts(docs, run, "doc bigint, spot bigint, key bigint, digest bigint, lo int, hi int")
 
 
 def sorted_ranges(rows: DataFrame, length: int) -> DataFrame:
-    """(id, lo, hi): ranges of repeated windows of contexts seen once. ``rows``: key, n, id, lo, context; sorted by key."""
+    """(doc, spot, lo, hi): ranges of repeated windows of contexts seen once. ``rows``: key, doc, spot, lo, n, context; sorted by the first four."""
 
     def judge(held: list[tuple]) -> Iterator[pd.DataFrame]:
         # Bytes of UTF-8 are below 0xF5, so 1 can be added and 0 parts contexts.
-        data = np.zeros(sum(len(r[4]) + 1 for r in held), np.uint8)
+        data = np.zeros(sum(len(r[5]) + 1 for r in held), np.uint8)
         valid = np.zeros(len(data), bool)
         at, places = 0, []
         for r in held:
-            n = len(r[4])
-            data[at : at + n] = np.frombuffer(r[4], np.uint8) + np.uint8(1)
+            n = len(r[5])
+            data[at : at + n] = np.frombuffer(r[5], np.uint8) + np.uint8(1)
             valid[at : at + n - length + 1] = True
             places.append(at)
             at += n + 1
         found = repeated(data, valid, length)
-        ids, los, his = [], [], []
+        docs, spots, los, his = [], [], [], []
         for r, at in zip(held, places, strict=True):
-            if r[1] > 1:
+            if r[4] > 1:
                 continue
-            mine = found[at : at + len(r[4]) - length + 1]
+            mine = found[at : at + len(r[5]) - length + 1]
             if mine.any():
                 edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
-                ids += [r[2]] * (len(edge) // 2)
+                docs += [r[1]] * (len(edge) // 2)
+                spots += [r[2]] * (len(edge) // 2)
                 los += (edge[::2] + r[3]).tolist()
                 his += (edge[1::2] - 1 + r[3]).tolist()
-        if ids:
-            yield pd.DataFrame({"id": ids, "lo": los, "hi": his}).astype({"lo": np.int32, "hi": np.int32})
+        if docs:
+            yield pd.DataFrame({"doc": docs, "spot": spots, "lo": los, "hi": his}).astype({"lo": np.int32, "hi": np.int32})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size, key = 0, None
         for frame in frames:
-            for row in zip(*[frame[c].tolist() for c in ("key", "n", "id", "lo", "context")], strict=True):
+            for row in zip(*[frame[c].tolist() for c in ("key", "doc", "spot", "lo", "n", "context")], strict=True):
+                if held and held[-1][:4] == row[:4]:  # repeated rows: one stands for all
+                    continue
                 if size > ARRAY_BYTES and row[0] != key:
                     yield from judge(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
                 key = row[0]
         if held:
             yield from judge(held)
 
-    return rows.mapInPandas(run, "id bigint, lo int, hi int")
+    return rows.mapInPandas(run, "doc bigint, spot bigint, lo int, hi int")
 
 
 def hashed_ranges(rows: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contexts: each window counted by two hashes, nothing gathered."""
-    each = rows.select("id", "lo", "n", F.posexplode(F.sequence(F.lit(1), F.octet_length("context") - length + 1)).alias("i", "start"), "context")
-    window = each.select("id", "n", (F.col("lo") + F.col("i")).alias("lo"), F.substring("context", F.col("start"), F.lit(length)).alias("w"))
-    window = window.select("id", "n", "lo", F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("g"))
+    each = rows.select("doc", "spot", "lo", "n", F.posexplode(F.sequence(F.lit(1), F.octet_length("context") - length + 1)).alias("i", "start"), "context")
+    window = each.select("doc", "spot", "n", (F.col("lo") + F.col("i")).alias("lo"), F.substring("context", F.col("start"), F.lit(length)).alias("w"))
+    window = window.select("doc", "spot", "n", "lo", F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("g"))
     often = window.groupBy("h", "g").agg(F.sum("n").alias("times")).filter("times > 1")
-    return window.filter("n = 1").join(often, ["h", "g"]).select("id", "lo", F.col("lo").alias("hi"))
+    return window.filter("n = 1").join(often, ["h", "g"]).select("doc", "spot", "lo", F.col("lo").alias("hi"))
 
 
 def _sent(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -180,22 +183,22 @@ def _sent(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, length: int, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """(id, lo, hi): ranges of first bytes of repeated strings; ``docs``: id, text."""
+    """(doc, spot, lo, hi): ranges of first bytes of repeated strings; ``docs``: doc, spot, text."""
     anchors = stored(anchored(docs, length), "anchors")
     seen = stored(anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     found = stored(anchors.join(_sent(seen), "key", "left_semi"), "found")
-    classes = found.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("one"))
+    classes = found.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "spot", "lo", "hi")).alias("one"))
     classes = stored(classes.select("key", "digest", "n", "one.*"), "classes")
     equal = stored(classes.filter("n > 1").select("key", "digest"), "equal")
-    whole = found.join(_sent(equal), ["key", "digest"]).select("id", "lo", "hi")
+    whole = found.join(_sent(equal), ["key", "digest"]).select("doc", "spot", "lo", "hi")
     mixed = stored(classes.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "mixed")
-    wanted = classes.join(_sent(mixed), "key").select("key", "n", "many", "id", "lo", "hi")
+    wanted = classes.join(_sent(mixed), "key").select("key", "n", "many", "doc", "spot", "lo", "hi")
     wanted = stored(wanted, "wanted")
     slim = F.encode(F.col("text"), "utf-8")
     span = F.substring(slim, F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
-    sent = docs.join(_sent(wanted), "id").select("key", "n", "many", "id", "lo", span.alias("context"))
-    few = sent.filter(F.col("many") <= most_contexts).select("key", "n", "id", "lo", "context")
-    few = few.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    sent = docs.join(_sent(wanted), ["doc", "spot"]).select("key", "n", "many", "doc", "spot", "lo", span.alias("context"))
+    few = sent.filter(F.col("many") <= most_contexts).select("key", "doc", "spot", "lo", "n", "context")
+    few = few.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc", "spot", "lo")
     many = sent.filter(F.col("many") > most_contexts)
     return whole.unionByName(sorted_ranges(few, length)).unionByName(hashed_ranges(many, length))
 
@@ -204,14 +207,15 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for every row; ``spans`` are the removed runs (start, stop)."""
     if length % 8 or length <= GRAM:
         raise ValueError(f"the length must be a multiple of 8 above {GRAM}")
-    docs = df.select(df[id_col].cast("bigint").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).filter("id is not null")
+    docs = addressed(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     ranges = stored(repeated_ranges(docs, length), "ranges")
-    lists = stored(ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "lists")
-    joined = docs.join(lists, "id", "left")
-    return cut_out(joined.select("id", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi")), id_col, length, keep_bytes)
+    lists = stored(ranges.groupBy("doc", "spot").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "lists")
+    joined = docs.join(lists, ["doc", "spot"], "left").select("doc", "known", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
+    out = cut_out(joined, length, keep_bytes)
+    return out.select(F.when(F.col("known"), F.col("doc")).alias(id_col), *out.columns[2:])
 
 
-def cut_out(rows: DataFrame, id_col: str, length: int, keep_bytes: bool) -> DataFrame:
+def cut_out(rows: DataFrame, length: int, keep_bytes: bool) -> DataFrame:
     """Takes the bytes covered by the windows out of each text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,8 +235,9 @@ def cut_out(rows: DataFrame, id_col: str, length: int, keep_bytes: bool) -> Data
                 out.append((*row, spans, kept) if keep_bytes else row)
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(("spans", "kept") if keep_bytes else ())]
             result = pd.DataFrame(out, columns=names)
-            result.insert(0, id_col, frame["id"].to_numpy())
+            result.insert(0, "doc", frame["doc"].to_numpy())
+            result.insert(1, "known", frame["known"].to_numpy())
             yield result
 
     more = ", spans array<array<int>>, kept binary" if keep_bytes else ""
-    return map_texts(rows, run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
+    return map_texts(rows, run, f"doc bigint, known boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
