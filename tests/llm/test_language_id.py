@@ -53,3 +53,11 @@ def test_edges(docs):
 def test_nothing_to_learn_from(docs):
     assert language_id.fit(docs([]), F.lit(True)) == {}
     assert language_id.predict(docs([(1, "abc")]), {}).first().lang_pred == "und"
+
+
+def test_recognised_is_what_predict_names(docs):
+    rows = docs([(1, "one two three"), (2, "123"), (3, None), (4, "drei vier")])
+    usual = language_id.fit(docs([(9, "one two three four")]), F.lit(True))
+    for prototypes in (usual, {}, {"und": usual["en"]}, {"und": -usual["en"], **usual}):
+        wanted = {r.doc_id for r in language_id.predict(rows, prototypes).filter("lang_pred <> 'und'").collect()}
+        assert {r.doc_id for r in language_id.recognised(rows, prototypes).collect()} == wanted

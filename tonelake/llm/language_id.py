@@ -122,10 +122,29 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
     return dict(sorted(out.items()))
 
 
+def named(vectors: np.ndarray, langs: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The language and its score for each bundle."""
+    norms = np.linalg.norm(vectors, axis=1)
+    lang, score = np.full(len(vectors), UNKNOWN, object), np.zeros(len(vectors))
+    if langs:
+        # One factor for all languages, so it can be taken after the choice.
+        dots = vectors @ matrix.T
+        best = dots.argmax(axis=1)
+        real = norms > 0
+        lang[real] = np.array(langs, object)[best[real]]
+        score[real] = np.clip(dots[np.arange(len(vectors)), best][real] / norms[real], 0, 1)
+    return lang, score
+
+
+def stacked(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Languages and their prototypes as the rows of a matrix."""
+    langs = list(prototypes)
+    return langs, np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), -1) if langs else np.zeros((0, DIMENSIONS), np.float32)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row, from the whole text alone."""
-    langs = list(prototypes)
-    matrix = np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), -1) if langs else np.zeros((0, DIMENSIONS), np.float32)
+    langs, matrix = stacked(prototypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = Profiles()
@@ -133,16 +152,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
             ids, texts = frame["id"].to_numpy(), frame["text"].tolist()
             for a in range(0, len(texts), BLOCK):
                 part = texts[a : a + BLOCK]
-                vectors = profiles.bundles(part)
-                norms = np.linalg.norm(vectors, axis=1)
-                lang, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
-                if langs:
-                    # One factor for all languages, so it can be taken after the choice.
-                    dots = vectors @ matrix.T
-                    best = dots.argmax(axis=1)
-                    real = norms > 0
-                    lang[real] = np.array(langs, object)[best[real]]
-                    score[real] = np.clip(dots[np.arange(len(part)), best][real] / norms[real], 0, 1)
+                lang, score = named(profiles.bundles(part), langs, matrix)
                 yield pd.DataFrame({id_col: ids[a : a + BLOCK], "lang_pred": lang, "score": score.astype(float)})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -151,8 +161,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
 
 
 def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is given a language, in their columns; nothing is shuffled."""
-    matrix = np.array(list(prototypes.values()), np.float32)
+    """The rows of ``docs`` whose text ``predict`` would give a language, in their columns; nothing is shuffled."""
+    langs, matrix = stacked(prototypes)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
@@ -160,8 +170,8 @@ def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col:
         out = np.zeros(len(values), bool)
         for a, b in slices(values):
             for k in range(a, b, BLOCK):
-                vectors = profiles.bundles(values[k : min(b, k + BLOCK)])
-                out[k : k + len(vectors)] = np.isfinite(vectors @ matrix.T).all(axis=1) & (np.linalg.norm(vectors, axis=1) > 0)
+                lang, _ = named(profiles.bundles(values[k : min(b, k + BLOCK)]), langs, matrix)
+                out[k : k + len(lang)] = lang != UNKNOWN
         return pd.Series(out)
 
     return docs.filter(known(docs[text_col]))
