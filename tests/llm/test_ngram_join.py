@@ -106,6 +106,22 @@ def test_rows_without_an_id_take_part(spark, docs, tmp_path):
     assert sorted(((d, t) for d, t in left if not (t or "").startswith(second)), key=str) == sorted([(7, first + " x"), (8, "k l m n u v w"), (None, ""), (None, None), (9, "")], key=str)
 
 
+def test_all_links(docs):
+    rows = made(6)
+    classes = defaultdict(list)
+    for d, x in sets_of(rows, 4).items():
+        if x:
+            classes[x].append(d)
+    wanted = set()
+    for x, ds in classes.items():
+        for y, es in classes.items():
+            both = len(x & y)
+            if min(ds) < min(es) and 100 * both >= 85 * (len(x) + len(y) - both):
+                wanted.add((min(ds), min(es), len(ds), len(es)))
+    got = [tuple(r) for r in ngram_join.jaccard_links(docs(rows), width=4, percent=85).collect()]
+    assert len(wanted) > 50 and len(got) == len(wanted) and set(got) == wanted
+
+
 def test_near_deduplicate(docs):
     rows = made(4)
     df = docs(rows)

@@ -346,6 +346,23 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.select(F.when(F.col("known"), F.col("doc")).alias(id_col), "n_shingles", "component_id")
 
 
+def jaccard_links(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, missing_ids: bool = False) -> DataFrame:
+    """(a, b, rows_a, rows_b) of every two different sets that are similar enough: their smallest ids and numbers of rows.
+
+    Nothing is skipped for lying in one cluster, so the work grows with the number of links. Pairs within a set are not listed."""
+    n = shuffle_partitions(df.sparkSession)
+    docs = addressed(df, id_col, text_col)
+    docs = docs if missing_ids else docs.filter("known")
+    sketches, classes, heads, reps, _ = prepared(docs, width, percent)
+    alone = reps.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    links = second_round(docs, heads, reps, alone, width, percent, n).distinct()
+    sizes = sketches.groupBy("digest").agg(F.count("*").alias("rows"))
+    labels = classes.join(sizes, "digest").select("id", "label", "rows")
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"), F.col("rows").alias(f"rows_{side}")), side)
+    return links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"), "rows_a", "rows_b")
+
+
 def near_deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows without near copies: of each component the row with the smallest id stays, in the input's columns.
 
