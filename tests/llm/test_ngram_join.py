@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from oracle import SF
 
-from tonelake.llm import ngram_join, queries
-from tonelake.llm.rtree import CountTree, count_vector, most_shared, packed_counts, unpacked
-from tonelake.llm.shingles import shingle_sets
+from tonelake.llm import common, ngram_join, queries
+from tonelake.llm.rtree import CountTree, count_vector, linked, most_shared, packed_counts, unpacked
+from tonelake.llm.shingles import numbered_sets, shingle_sets
 
 
 def sets_of(rows, width):
@@ -59,22 +59,30 @@ def made(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "leaf", "block"), [(4, 85, 24, 4000), (5, 80, 2, 4000), (3, 70, 2, 5)])
-def test_like_brute_force(docs, monkeypatch, width, percent, leaf, block):
-    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+@pytest.mark.parametrize(("width", "percent", "batch", "block"), [(4, 85, 1_000_000, 4000), (5, 80, 1, 4000), (3, 70, 500, 5), (7, 55, 500, 3)])
+def test_like_brute_force(docs, monkeypatch, width, percent, batch, block):
+    monkeypatch.setattr(ngram_join, "BATCH_SHINGLES", batch)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "SEEN", 10**9 if block == 5 else 3)
     rows = made(width)
     assert result(ngram_join.jaccard_components(docs(rows), width=width, percent=percent)) == brute(rows, width, percent)
 
 
-def test_without_first_round_and_broadcast(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ngram_join, "bounded", lambda reps, pairs, *_: pairs.limit(0))  # all links are left to the tree
+def test_without_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 400)
     rows = made(9)
     assert result(ngram_join.jaccard_components(docs(rows), width=4, percent=85)) == brute(rows, 4, 85)
 
 
+def test_words_with_structure_stand_apart(docs):
+    """A Thue-Morse word and its complement collide under every polynomial hash modulo a power of two."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, one + " x y z"), (4, two + " x y z")]
+    assert result(ngram_join.jaccard_components(docs(rows), width=4, percent=85)) == brute(rows, 4, 85) == {i: (1, i) for i in (1, 2, 3, 4)}
+
+
 def test_repeated_rows_and_missing_ids(docs):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (3, "a b c d e")]
     got = [(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs(rows), width=4, percent=85).collect()]
@@ -106,7 +114,9 @@ def test_rows_without_an_id_take_part(spark, docs, tmp_path):
     assert sorted(((d, t) for d, t in left if not (t or "").startswith(second)), key=str) == sorted([(7, first + " x"), (8, "k l m n u v w"), (None, ""), (None, None), (9, "")], key=str)
 
 
-def test_all_links(docs):
+@pytest.mark.parametrize("block", [4000, 6])
+def test_all_links(docs, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = made(6)
     classes = defaultdict(list)
     for d, x in sets_of(rows, 4).items():
@@ -140,7 +150,18 @@ def test_shingle_sizes():
     assert shingle_sets(["A b C d"], 4)[0].tolist() == shingle_sets(["q", "a B c D"], 4)[1].tolist()
 
 
-def test_bounds_hold():
+def test_numbered_sets():
+    texts = ["", None, "a", "a b", "a b c d", "a b c d e", "A\x0bB\x0cC D", "x " * 1000, " a  b ", "a b", "d e a b c d"]
+    for width in (1, 2, 3, 4, 5, 6, 7):
+        sets, at, top = numbered_sets(texts, width)
+        got = [set(sets[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        wanted = list(sets_of(list(enumerate(texts)), width).values())
+        assert sets.max() < top
+        assert [[len(x & y) for y in got] for x in got] == [[len(x & y) for y in wanted] for x in wanted]
+
+
+def test_bounds_and_tree():
+    """No pair that is similar enough is pruned, whatever the labels, and links join what is connected."""
     rng = np.random.default_rng(0)
     sets = []
     for _ in range(40):
@@ -149,15 +170,28 @@ def test_bounds_hold():
             keep = base[rng.random(300) < 0.93]
             sets.append(np.unique(np.r_[keep, rng.integers(0, 2**63, rng.integers(0, 400), dtype=np.uint64)]))
     points = np.array([count_vector(s, 64) for s in sets])
-    sizes, labels = np.array([len(s) for s in sets]), np.arange(len(sets))
-    tree = CountTree(points, sizes, labels, 70)
-    for i, s in enumerate(sets):
-        found = set(tree.candidates(points[i], len(s), i).tolist())
-        for j, t in enumerate(sets):
-            both = len(np.intersect1d(s, t))
-            assert both <= most_shared(unpacked(packed_counts(s)), unpacked(packed_counts(t)))
-            if i != j and 100 * both >= 70 * (len(s) + len(t) - both):
-                assert j in found
+    sizes, sides = np.array([len(s) for s in sets]), np.full(len(sets), 2)
+    both = np.array([[len(np.intersect1d(s, t)) for t in sets] for s in sets])
+    fine = [unpacked(packed_counts(s)) for s in sets]
+    for i in range(len(sets)):
+        assert (both[i] <= most_shared(fine[i], fine)).all()
+    wanted = {(i, j) for i in range(len(sets)) for j in range(i) if 170 * both[i, j] >= 70 * (sizes[i] + sizes[j])}
+    found = {(max(i, j), min(i, j)) for x, y in CountTree(points, sizes).pairs(70, np.arange(len(sets))) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert wanted <= found and len(found) < len(sets) ** 2 / 4
+    alone = np.arange(len(sets))
+    every = linked(points, sizes, alone, alone, sides, 70, lambda i, others: both[i, others], every=True)
+    assert {(max(p), min(p)) for p in every} == wanted and len(every) == len(wanted)
+    joined = linked(points, sizes, alone, alone, sides, 70, lambda i, others: both[i, others])
+    assert {(max(p), min(p)) for p in joined} <= wanted
+    assert linked(points, sizes, alone, alone % 1, sides, 70, lambda i, others: both[i, others]) == []
+
+    def parts(pairs):
+        name = list(range(len(sets)))
+        for i, j in pairs:
+            name = [name[i] if n == name[j] else n for n in name]
+        return {frozenset(k for k, n in enumerate(name) if n == m) for m in set(name)}
+
+    assert parts(joined) == parts(wanted) and len(joined) == len(sets) - len(parts(wanted))
 
 
 def test_overflowing_groups():

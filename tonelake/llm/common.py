@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,8 @@ from pyspark.sql.types import StructType
 
 from tonelake.session import shared_dir, stored  # noqa: F401  the operators take them from here
 
+#: Tables of ids up to this many rows are sent to all tasks instead of shuffling the larger side.
+BROADCAST_ROWS = 1_000_000
 #: Texts handled together inside one Arrow batch, in characters; bounds the Python worker's memory.
 SLICE_CHARS = 1_500_000
 
@@ -32,6 +35,11 @@ def addressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(doc.alias("doc"), ident.isNotNull().alias("known"), F.xxhash64(ident, df[text_col]).alias("spot"), df[text_col].alias("text"))
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it is small; else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -56,6 +64,27 @@ def sliced(frames: Iterable[pd.DataFrame], column: str) -> Iterator[pd.DataFrame
             yield frame.iloc[a:b]
 
 
+def whole_groups(frames: Iterable[pd.DataFrame], keys: list[str], weight: str, limit: int) -> Iterator[pd.DataFrame]:
+    """Frames of rows sorted by ``keys``, dealt anew so that each holds whole groups, ``limit`` in weight or a little more."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for frame in frames:
+        if not len(frame):
+            continue
+        held.append(frame)
+        size += int(frame[weight].sum())
+        if size >= limit:
+            rows = pd.concat(held, ignore_index=True)
+            values = rows[keys].to_numpy()
+            cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+            if len(cuts):
+                yield rows.iloc[: cuts[-1]].reset_index(drop=True)
+                rows = rows.iloc[cuts[-1] :]
+            held, size = [rows], int(rows[weight].sum())
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def give_back() -> None:
     """Returns freed memory to the system. Python workers live on after a task, and what their allocators keep adds up beside the JVM."""
     gc.collect()

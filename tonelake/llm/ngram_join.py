@@ -1,29 +1,29 @@
 """N-gram Jaccard join: near-duplicate documents by word shingles, exactly, with a count-vector R-tree.
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class from here on, with its smallest id.
-2. A first round links what is easy: classes that share a minimum hash are compared with the smallest class of that hash and
-   with the most central one, whose bin minima agree with most others (one of them often is the text that copies were made
-   from). Links found are kept, and families of near copies fall into clusters; two comparisons per class and hash at most,
-   however large the family.
-3. The second round finds every other link. Two sets similar enough share one of the first tokens of each, in any order
-   common to all (here: rare tokens first, as seen in a bounded sample, which only affects speed). Classes that share
-   such a token and lie in different clusters are indexed by an R-tree over their count vectors, and pairs whose overlap
-   bound reaches what is needed, also by a finer vector (a quarter of a byte or more for each shingle), are compared by their whole sets. A token whose classes all lie in one cluster is dropped:
-   its links would join nothing. Of tokens with the same classes one is kept. Token groups beyond ``BLOCK`` classes are cut into
-   blocks, and every two blocks meet.
-4. Components of all links.
-
-Pairs of the first round are held against each other by finer count vectors too, which settles most that are not similar
-enough; the others by their texts. Either is sent to the task of the pair's first member; members of a large family are spread by a salt.
+2. Two sets similar enough share one of the first tokens of each, in any order common to all (here: rare tokens first, as seen
+   in a bounded sample, which only affects speed). The classes that share a token are a group. Groups with the same smallest class are one, so a
+   family of copies that shares many tokens is dealt out once; only ids and sizes are shuffled until then.
+3. A task indexes the count vectors of a group by an R-tree and joins it with itself. Pairs whose overlap bound, also by a finer vector (a quarter of a byte or more
+   for each shingle), reaches what is needed are possible links; what they connect is a knot. Only ids leave the task, a row for each member.
+4. The texts of a knot meet in one task, where every shingle is numbered letter by letter. The same tree gives the pairs, which are compared by their
+   whole sets. A link gives both members one label, and pairs of one label are not compared, so the links that come out join each family
+   without a circle: their number grows with the classes, not with the pairs.
+5. Groups beyond ``BLOCK`` classes or ``BLOCK_SHINGLES`` are cut into blocks. Blocks are joined with themselves first, each together with the group's
+   leaders (its smallest class, and the one with most of the tokens that made the group), which brings most large families together. Then every two
+   blocks of what still lies in different components meet.
+6. Components of all links.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing. Texts with fewer words
-than a shingle have one shingle of all their words. Hashes have 64 bits. Rows are told apart by id and text, so an id may stand on
+than a shingle have one shingle of all their words. Sets are equal where all their 64-bit shingle hashes are; links between different sets go by letters. Very long texts
+are taken whole, a batch holds one at a time. Rows are told apart by id and text, so an id may stand on
 different texts, each with its own links. Rows without an id are left out of the components unless asked for; then they link like others, and a
 component without any id has a null one. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +33,18 @@ from pyspark.sql import functions as F
 
 from tonelake.operators.components import connected_components
 
-from .common import addressed, give_back, map_texts, shuffle_partitions, sliced, stored
-from .rtree import CountTree, count_vector, folded, most_shared, packed_counts, unpacked
-from .shingles import mix, shingle_sets
+from .common import addressed, give_back, map_texts, sent, shuffle_partitions, sliced, stored, whole_groups
+from .rtree import folded, linked, most_shared, packed_counts, unpacked
+from .shingles import mix, numbered_sets, shingle_sets
 
 #: Groups that tokens are hashed into: the R-tree's dimensions, a power of two of 64 at most.
 GROUPS = 64
-#: Pairs that a task remembers as checked, as they come up again with other tokens.
-CHECKED = 100_000
-#: Minimum hashes of the first round, and bins whose minima tell central classes.
-SKETCHES, BINS = 3, 32
-#: Rows of the sample that tells frequent tokens, and how often a token must be seen in it.
-SAMPLE_ROWS, SEEN = 2000, 3
-#: Token groups up to this size are one leaf: their pairs are bounded directly, those of many groups at once.
-LEAF = 24
-#: Classes of one token group in one tree, and members compared with one first member in one task.
-BLOCK, FAMILY = 4000, 64
-#: Tables of ids up to this many rows are sent to all tasks instead of shuffling texts.
-BROADCAST_ROWS = 1_000_000
+#: Rows of the sample that tells frequent tokens, how often a token must be seen in it, and how many are told at most.
+SAMPLE_ROWS, SEEN, MOST_FREQUENT = 2000, 3, 200_000
+#: Classes and shingles of one group in one tree; beyond these it is cut into blocks.
+BLOCK, BLOCK_SHINGLES = 4000, 4_000_000
+#: Shingles of small groups that are taken together.
+BATCH_SHINGLES = 1_000_000
 
 
 def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -69,45 +63,35 @@ def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.nda
             yield pd.DataFrame({"token": np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64)})
 
     seen = map_texts(part.select("text"), tokens, "token bigint").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
-    found = seen.toPandas()
+    found = seen.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).toPandas()
     token = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], found["n"].to_numpy(np.int64)[order]
 
 
-def bin_minima(hashes: np.ndarray) -> list[int]:
-    """The smallest hash in each bin of the hash range, as 32 bits; empty bins have 0. ``hashes`` are sorted."""
-    at = np.searchsorted(hashes, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
-    low = hashes[np.minimum(at, len(hashes) - 1)]
-    return np.where(np.r_[at[1:], len(hashes)] > at, low & np.uint64(0x7FFFFFFF), 0).astype(np.int64).tolist()
-
-
-SKETCH = "doc bigint, known boolean, spot bigint, n_shingles bigint, digest binary, sketch array<bigint>, bins array<int>, tokens array<bigint>, counts binary, fine binary"
+SKETCH = "doc bigint, known boolean, spot bigint, n_shingles bigint, digest binary, tokens array<bigint>, fine binary"
 
 
 def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One small row per document: size and digest of its set, minimum hashes, first tokens, count vector."""
+    """One small row per document: size and digest of its set, first tokens, count vector."""
     known, seen = frequent
-    salts = [np.uint64(int(x)) for x in np.random.default_rng(11).integers(1, 2**63, SKETCHES)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "text"):
             rows = []
             for s in shingle_sets(frame["text"].tolist(), width):
                 n = len(s)
-                digest = np.array([n, mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(77)))], np.uint64).tobytes()
                 if not n:
-                    rows.append((0, digest, [], [], [], b"", b""))
+                    rows.append((0, b"", [], b""))
                     continue
-                mins = [int(mix(s ^ salt).min().astype(np.int64)) for salt in salts]
                 rank = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
                     rank[hit] = seen[at[hit]]
                 first = np.lexsort((s, rank))[: prefix_length(n, percent)]  # rare first
-                rows.append((n, digest, mins, bin_minima(s), s[first].astype(np.int64).tolist(), count_vector(s, GROUPS).tobytes(), packed_counts(s)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sketch", "bins", "tokens", "counts", "fine"])
+                rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[first].astype(np.int64), packed_counts(s)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "tokens", "fine"])
             for at, name in enumerate(("doc", "known", "spot")):
                 out.insert(at, name, frame[name].to_numpy())
             yield out
@@ -115,136 +99,91 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray
     return map_texts(docs, run, SKETCH)
 
 
-def meet(rows: DataFrame, pairs: DataFrame, columns: list[str], partitions: int, heads: DataFrame | None = None) -> DataFrame:
-    """Each pair's two rows in one task, the first member's before all its partners': a, part, is_first, id and ``columns``.
-
-    ``rows`` have an id, or ``heads`` tells at which doc and spot the row of an id is. Families, that is pairs with the same first member, are cut into parts of about FAMILY pairs."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("pairs_of_a")).filter(F.col("pairs_of_a") > FAMILY)
-    parts = pairs.join(sizes, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("pairs_of_a") / FAMILY), F.lit(1))))
-    parts = stored(parts.select("a", "b", "part"), "parts")
-    asks = parts.select("a", "part", F.lit(True).alias("is_first"), F.col("a").alias("id")).distinct().unionByName(parts.select("a", "part", F.lit(False).alias("is_first"), F.col("b").alias("id")))
-    small = asks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asks = asks if heads is None else heads.join(F.broadcast(asks) if small else asks, "id")
-    sent = rows.join(F.broadcast(asks) if small else asks, "id" if heads is None else ["doc", "spot"]).select("a", "part", "is_first", "id", *columns)
-    return sent.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", F.col("is_first").desc())
+PLACE = ["low", "block", "other"]
 
 
-def bounded(reps: DataFrame, pairs: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """The pairs (a, b) whose finer count vectors do not rule them out."""
+def possible(rows: DataFrame, percent: int) -> DataFrame:
+    """(low, block, other, knot, side, id, n_shingles, cluster): members of groups with a possible partner. ``rows``: the same with ``fine``
+    for ``knot``, sorted by group. A knot is named by its first member's place in the group."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, size, mine = None, 0, None
-        for frame in frames:
-            found = []
-            for a, part, is_first, ident, n, fine in zip(*[frame[c].tolist() for c in ("a", "part", "is_first", "id", "n_shingles", "fine")], strict=True):
-                if is_first:
-                    first, size, mine = (a, part), n, unpacked(fine)
-                elif first == (a, part):
-                    most = min(size, n) if not (len(mine) and fine) else min(size, n, most_shared(mine, unpacked(fine)))
-                    if (100 + percent) * most >= percent * (size + n):
-                        found.append((a, ident))
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+        for part in whole_groups(frames, PLACE, "n_shingles", BATCH_SHINGLES):
+            sizes, clusters, sides = (part[c].to_numpy() for c in ("n_shingles", "cluster", "side"))
+            fine = [unpacked(f) for f in part["fine"]]
+            # A vector that overflowed rules nothing out.
+            points = np.array([folded(f, GROUPS) if len(f) else np.full(GROUPS, min(n, 2**31 - 1)) for f, n in zip(fine, sizes.tolist(), strict=True)], np.int32).reshape(-1, GROUPS)
+            knot = np.full(len(part), -1)
+            for a, b in group_bounds(part, PLACE):
+
+                def shared(i: int, others: np.ndarray, a: int = a) -> np.ndarray:
+                    out = np.minimum(sizes[a + others], sizes[a + i])
+                    real = np.array([len(fine[a + i]) > 0 and len(fine[a + k]) > 0 for k in others.tolist()])
+                    if real.any():
+                        out[real] = np.minimum(out[real], most_shared(fine[a + i], [fine[a + k] for k in others[real].tolist()]))
+                    return out
+
+                root = list(range(b - a))
+                # Rows of a knot meet again anyway, those of one component need not.
+                pairs = linked(points[a:b], sizes[a:b], np.arange(b - a), clusters[a:b], sides[a:b], percent, shared)
+                for i, j in pairs:
+                    while root[i] != i:
+                        i = root[i]
+                    while root[j] != j:
+                        j = root[j]
+                    root[max(i, j)] = min(i, j)
+                for k in sorted({k for pair in pairs for k in pair}):
+                    i = k
+                    while root[i] != i:
+                        i = root[i]
+                    knot[a + k] = i
+            out = part[knot >= 0].drop(columns="fine")
+            out.insert(3, "knot", knot[knot >= 0])
+            if len(out):
+                yield out
+        give_back()
+
+    return rows.mapInPandas(run, "low bigint, block bigint, other bigint, knot int, side int, id bigint, n_shingles bigint, cluster bigint")
+
 
-    return meet(reps, pairs, ["n_shingles", "fine"], partitions).mapInPandas(run, "a bigint, b bigint")
+def group_bounds(part: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """First place and end of each group in sorted rows."""
+    values = part[keys].to_numpy()
+    cuts = (np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(values)], strict=True))
 
 
-def compare(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole texts."""
+def confirmed(rows: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
+    """(a, b): links within knots by whole texts. ``rows``: as from ``possible``, with ``text``, sorted by knot and id."""
+    keys = [*PLACE, "knot"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, mine = None, None
-        for frame in sliced(frames, "text"):
-            sets = shingle_sets(frame["text"].tolist(), width)
+        for part in whole_groups(sliced(frames, "text"), keys, "n_shingles", BATCH_SHINGLES):
+            part = part.drop_duplicates([*keys, "side", "id"], ignore_index=True)  # rows that repeat an id and its text
+            sets, at, top = numbered_sets(part["text"].tolist(), width)
+            sizes = np.diff(at)
+            hashed = mix(sets.astype(np.uint64)) & np.uint64(GROUPS - 1)
+            row = np.repeat(np.arange(len(part)), sizes)
+            points = np.bincount(row * GROUPS + hashed.astype(np.int64), minlength=len(part) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+            clusters, sides, ids = (part[c].to_numpy() for c in ("cluster", "side", "id"))
+            mark = np.zeros(top, bool)
             found = []
-            for a, part, is_first, ident, s in zip(*[frame[c].tolist() for c in ("a", "part", "is_first", "id")], sets, strict=True):
-                if is_first:
-                    first, mine = (a, part), s
-                elif first == (a, part):
-                    both = len(np.intersect1d(mine, s, assume_unique=True))
-                    if both and 100 * both >= percent * (len(mine) + len(s) - both):
-                        found.append((a, ident))
+            for a, b in group_bounds(part, keys):
+
+                def shared(i: int, others: np.ndarray, a: int = a) -> np.ndarray:
+                    mine = sets[at[a + i] : at[a + i + 1]]
+                    mark[mine] = True
+                    theirs = [sets[at[a + k] : at[a + k + 1]] for k in others.tolist()]
+                    starts = np.concatenate([[0], np.cumsum([len(t) for t in theirs])[:-1]])
+                    out = np.add.reduceat(mark[np.concatenate(theirs)].astype(np.int64), starts)
+                    mark[mine] = False
+                    return out
+
+                found += [(ids[a + i], ids[a + j]) for i, j in linked(points[a:b], sizes[a:b], clusters[a:b], clusters[a:b], sides[a:b], percent, shared, every)]
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-
-    return map_texts(meet(docs, pairs, ["text"], partitions, heads), run, "a bigint, b bigint")
-
-
-def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different clusters that share a token and whose overlap bounds suffice. ``rows``: token, block, side (0 and 1: only
-    across, 2: within one block), id, n_shingles, cluster, fine, and counts where fine is empty; sorted by token and block."""
-
-    def small(cuts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Rows of possible pairs in groups of one leaf, given by their bounds: all pairs of all groups of one size in one go."""
-        for n in np.unique(cuts[:, 1] - cuts[:, 0]).tolist():
-            i, j = np.triu_indices(n, 1)
-            starts = cuts[cuts[:, 1] - cuts[:, 0] == n, 0]
-            step = max(1, 200_000 // len(i))
-            for a in range(0, len(starts), step):
-                at = starts[a : a + step, None]
-                x, y = (at + i).ravel(), (at + j).ravel()
-                keep = (clusters[x] != clusters[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
-                x, y = x[keep], y[keep]
-                most = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64)
-                fits = (100 + percent) * most >= percent * (sizes[x] + sizes[y])
-                yield from zip(x[fits].tolist(), y[fits].tolist(), strict=True)
-
-    def large(a: int, b: int, ids: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, points: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
-        """The same for one group by its tree."""
-        if clusters[a:b].min() == clusters[a:b].max():
-            return
-        tree = CountTree(points[a:b], sizes[a:b], clusters[a:b], percent)
-        for i in range(a, b):
-            for j in (tree.candidates(points[i], int(sizes[i]), int(clusters[i])) + a).tolist():
-                if side[i] != side[j] or (ids[i] < ids[j] and side[i] == 2):
-                    yield i, j
+                pairs = np.array(found, np.int64)
+                yield pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        checked: set[tuple[int, int]] = set()
-
-        def done(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            token, block = part["token"].to_numpy(np.int64), part["block"].to_numpy(np.int64)
-            cuts = np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1
-            bounds = np.column_stack([np.r_[0, cuts], np.r_[cuts, len(part)]])
-            fine = [unpacked(f) for f in part["fine"]]
-            points = np.array([folded(f, GROUPS) if len(f) else np.frombuffer(c, np.int32) for f, c in zip(fine, part["counts"], strict=True)], np.int32)
-            columns = [part[c].to_numpy() for c in ("id", "n_shingles", "cluster")] + [points, part["side"].to_numpy()]
-            ids, sizes = columns[0].tolist(), columns[1].tolist()
-            many = bounds[:, 1] - bounds[:, 0]
-            pairs: set[tuple[int, int]] = set()
-            found = [small(bounds[(many > 1) & (many <= LEAF)], *columns), *(large(a, b, *columns) for a, b in bounds[many > LEAF].tolist())]
-            for i, j in (x for part_found in found for x in part_found):
-                pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
-                if pair in checked:
-                    continue
-                checked.add(pair)
-                most = min(sizes[i], sizes[j]) if not (len(fine[i]) and len(fine[j])) else min(sizes[i], sizes[j], most_shared(fine[i], fine[j]))
-                if (100 + percent) * most >= percent * (sizes[i] + sizes[j]):
-                    pairs.add(pair)
-            if len(checked) > CHECKED:
-                checked.clear()
-            if pairs:
-                yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
-
-        for frame in frames:
-            # The last group of a batch may go on in the next one.
-            same = (frame["token"] == frame["token"].iloc[-1]) & (frame["block"] == frame["block"].iloc[-1])
-            if same.all():
-                if held and (held[-1]["token"].iloc[-1], held[-1]["block"].iloc[-1]) != (frame["token"].iloc[-1], frame["block"].iloc[-1]):
-                    yield from done(pd.concat(held))
-                    held = []
-                held.append(frame)
-                continue
-            yield from done(pd.concat([*held, frame[~same]]))
-            held = [frame[same]]
-        if held:
-            yield from done(pd.concat(held))
-        held.clear()
-        checked.clear()
-        give_back()
-
-    return rows.mapInPandas(run, "a bigint, b bigint")
+    return map_texts(rows, run, "a bigint, b bigint")
 
 
 def numbered_classes(filled: DataFrame) -> tuple[DataFrame, bool]:
@@ -272,49 +211,63 @@ def prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     filled = sketches.filter("n_shingles > 0")
     classes, odd = numbered_classes(filled)
     heads = classes.select("id", "doc", "spot")
-    few = heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    reps = filled.join(F.broadcast(heads) if few else heads, ["doc", "spot"])
-    reps = stored(reps.select("id", "n_shingles", "sketch", "bins", "tokens", "counts", "fine"), "reps")
+    small = sent(heads)
+    reps = filled.join(small, ["doc", "spot"]).select("id", "n_shingles", "tokens", "fine")
+    if small is heads:
+        reps = stored(reps, "reps")  # shuffled once
     if reps.count() > classes.count():  # rows that repeat an id and its text; else the wide rows need no shuffle
         reps = stored(reps.dropDuplicates(["id"]), "reps")
     return sketches, classes, heads, reps, odd
 
 
-def first_round(docs: DataFrame, heads: DataFrame, reps: DataFrame, width: int, percent: int, n: int) -> DataFrame:
-    """Links found by one comparison with the smallest and the most central class of each shared minimum hash."""
-    mins = reps.select("id", F.posexplode("sketch").alias("which", "low"))
-    shared = mins.groupBy("which", "low").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
-    grouped = stored(mins.join(shared, ["which", "low"]), "grouped")
-    ids = grouped.select("id").distinct()
-    bins = reps.join(ids, "id", "left_semi").select("id", F.posexplode("bins").alias("bin", "value")).filter("value <> 0")
-    common = bins.groupBy("bin", "value").agg(F.count("*").alias("agree"))
-    central = bins.join(common, ["bin", "value"]).groupBy("id").agg(F.sum("agree").alias("agree"))
-    ranked = grouped.join(central, "id", "left").select("which", "low", "id", F.struct(F.coalesce("agree", F.lit(0)).alias("agree"), (-F.col("id")).alias("i")).alias("rank"))
-    leaders = ranked.groupBy("which", "low").agg(F.array_distinct(F.array(F.max_by("id", "rank"), F.min("id"))).alias("leaders")).select("which", "low", F.explode("leaders").alias("a"))
-    easy = stored(grouped.join(leaders, ["which", "low"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "easy")
-    easy = stored(bounded(reps, easy, percent, n), "bounded")
-    return stored(compare(docs, heads, easy, width, percent, n), "links")
-
-
-def second_round(docs: DataFrame, heads: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, percent: int, n: int) -> DataFrame:
-    """All links between classes in different clusters; ``clusters``: node, component, a class that is missing there is its own cluster."""
-    clustered = reps.select("id", "n_shingles", "tokens", "fine", F.when(F.octet_length("fine") == 0, F.col("counts")).alias("counts")).join(clusters.withColumnRenamed("node", "id"), "id", "left")
-    clustered = stored(clustered.withColumn("cluster", F.coalesce("component", "id")).drop("component"), "clustered")
-    tokens = clustered.select("id", "cluster", F.explode("tokens").alias("token"))
-    across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.bit_xor(F.xxhash64("id")).alias("members"))
-    across = across.filter("low < high").groupBy("many", "low", "high", "members").agg(F.min("token").alias("token"))
-    across = stored(across.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "across")
-    small = across.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = tokens.join(F.broadcast(across) if small else across, "token").select("id", "cluster", "token", "blocks")
-    hits = hits.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # A block meets itself (side 2) and each other block (sides 0 and 1).
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("blocks") - 1).cast("bigint")))
-    met = hits.withColumn("other", others).withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
-    met = met.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1))
-    sized = met.join(clustered.select("id", "n_shingles", "fine", "counts"), "id")
-    dealt = sized.select("token", "block", "side", "id", "n_shingles", "cluster", "fine", "counts").repartition(n, "token", "block").sortWithinPartitions("token", "block")
-    hard = stored(tree_pairs(dealt, percent).distinct(), "hard")
-    return stored(compare(docs, heads, hard, width, percent, n), "links")
+def grouped(reps: DataFrame, percent: int) -> DataFrame:
+    """(low, id, n_shingles, shared): a row for each class in each group, with how many tokens put it there."""
+    tokens = reps.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode("tokens").alias("token"))
+    across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("id").alias("low"), F.max("n").alias("most"), F.min("n").alias("least"))
+    # Of two classes alone on a token the sizes tell whether they can be similar.
+    across = across.filter(F.col("many") > 1).filter((F.col("many") > 2) | (F.lit(100) * F.col("least").cast("bigint") >= F.lit(percent) * F.col("most").cast("bigint")))
+    across = stored(across.select("token", "low"), "across")
+    hits = tokens.join(sent(across), "token").groupBy("low", "id").agg(F.first("n").cast("bigint").alias("n_shingles"), F.count("*").alias("shared"))
+    return stored(hits, "hits")
+
+
+def links_within(dealt: DataFrame, docs: DataFrame, heads: DataFrame, reps: DataFrame, width: int, percent: int, every: bool, n: int) -> DataFrame:
+    """(a, b): links of groups dealt to blocks. ``dealt``: low, block, other, side, id, n_shingles, cluster."""
+    columns = [*PLACE, "side", "id", "n_shingles", "cluster"]
+    rows = reps.select("id", "fine").join(sent(dealt), "id").select(*columns, "fine")
+    knots = stored(possible(rows.repartition(n, *PLACE).sortWithinPartitions(*PLACE), percent), "knots")
+    asks = stored(heads.join(sent(knots), "id"), "asks")
+    texts = docs.select("doc", "spot", "text").join(sent(asks), ["doc", "spot"]).select(*PLACE, "knot", "side", "id", "n_shingles", "cluster", "text")
+    keys = [*PLACE, "knot"]
+    return stored(confirmed(texts.repartition(n, *keys).sortWithinPartitions(*keys, "id"), width, percent, every).distinct(), "links")
+
+
+def all_links(docs: DataFrame, heads: DataFrame, reps: DataFrame, width: int, percent: int, n: int, every: bool = False) -> DataFrame:
+    """(a, b): links between classes, enough for the components; with ``every`` all of them."""
+    hits = grouped(reps, percent)
+    sizes = hits.groupBy("low").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("total"), F.max_by("id", F.struct("shared", "id")).alias("central"))
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    large = stored(sizes.select("low", blocks.alias("blocks"), "central").filter("blocks > 1"), "large")
+    placed = hits.join(sent(large), "low", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = placed.select("low", "block", F.col("block").alias("other"), F.lit(2).alias("side"), "id", "n_shingles", F.col("id").alias("cluster"))
+    if large.isEmpty():
+        return links_within(stored(own, "dealt"), docs, heads, reps, width, percent, every, n)
+    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    leading = placed.filter((F.col("id") == F.col("low")) | (F.col("id") == F.col("central"))).withColumn("b", every_block).filter("b <> block")
+    leading = leading.select("low", F.col("b").alias("block"), F.col("b").alias("other"), F.lit(2).alias("side"), "id", "n_shingles", F.col("id").alias("cluster"))
+    first = links_within(stored(own.unionByName(leading), "dealt"), docs, heads, reps, width, percent, every, n)
+    # What is in one component by now needs no further link, unless all are asked for.
+    placed = placed.filter("blocks > 1")
+    if every:
+        placed = placed.withColumn("cluster", F.col("id"))
+    else:
+        clusters = connected_components(first, "a", "b").select(F.col("node").alias("id"), "component")
+        placed = stored(placed.join(clusters, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"), "placed")
+        open_ = placed.groupBy("low").agg(F.min("cluster").alias("a"), F.max("cluster").alias("z")).filter("a < z").select("low")
+        placed = placed.join(sent(stored(open_, "open")), "low", "left_semi")
+    pairs = placed.withColumn("b", every_block).filter("b <> block")
+    across = pairs.select("low", F.least("block", "b").alias("block"), F.greatest("block", "b").alias("other"), (F.col("block") > F.col("b")).cast("int").alias("side"), "id", "n_shingles", "cluster")
+    return first.unionByName(links_within(stored(across, "dealt"), docs, heads, reps, width, percent, every, n)).distinct()
 
 
 def judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, bool]:
@@ -322,9 +275,7 @@ def judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, bool]:
     tells whether some component's node may not be its id."""
     n = shuffle_partitions(docs.sparkSession)
     sketches, classes, heads, reps, odd = prepared(docs, width, percent)
-    links = first_round(docs, heads, reps, width, percent, n)
-    more = second_round(docs, heads, reps, connected_components(links, "a", "b"), width, percent, n)
-    joined = connected_components(links.unionByName(more), "a", "b")
+    joined = connected_components(all_links(docs, heads, reps, width, percent, n), "a", "b")
 
     # Back to rows: a class's component, then the smallest member of the component over all its classes (a class has its smallest id).
     by_class = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", "label", F.coalesce("component", "id").alias("node"))
@@ -354,8 +305,7 @@ def jaccard_links(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = addressed(df, id_col, text_col)
     docs = docs if missing_ids else docs.filter("known")
     sketches, classes, heads, reps, _ = prepared(docs, width, percent)
-    alone = reps.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    links = second_round(docs, heads, reps, alone, width, percent, n).distinct()
+    links = all_links(docs, heads, reps, width, percent, n, every=True)
     sizes = sketches.groupBy("digest").agg(F.count("*").alias("rows"))
     labels = classes.join(sizes, "digest").select("id", "label", "rows")
     for side in ("a", "b"):
@@ -379,9 +329,7 @@ def near_deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     dropped = stored(dropped.select("doc", "spot").distinct(), "dropped")
 
     def marked(table: DataFrame, name: str) -> DataFrame:
-        small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        renamed = table.select(F.col("doc").alias(f"__{name}_doc"), F.col("spot").alias(f"__{name}_spot"))
-        return F.broadcast(renamed) if small else renamed
+        return sent(table.select(F.col("doc").alias(f"__{name}_doc"), F.col("spot").alias(f"__{name}_spot")))
 
     ident = df[id_col].cast("bigint")
     doc, spot = F.coalesce(ident, F.lit(0).cast("bigint")), F.xxhash64(ident, df[text_col])

@@ -1,20 +1,20 @@
-"""Word shingles of whole texts as 64-bit hashes, computed on byte arrays without a Python object per word."""
+"""Word shingles of whole texts: as 64-bit hashes, or as exact numbers within one set of texts.
+
+A word is hashed by the library to 128 bits, once for each distinct word. A shingle's hash is a sum over its words' halves, each
+times an odd number of its place. Numbers come from dictionaries of the words themselves and are exact.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: Bytes hashed together; longer texts go alone.
+#: Bytes of text hashed together; longer texts go alone.
 BATCH_BYTES = 1_000_000
+#: Distinct words whose hashes are kept, and the longest that are.
+MEMO_WORDS, MEMO_BYTES = 200_000, 64
 _rng = np.random.default_rng(7)
-_LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_PLACE = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_INVERSE = pow(_BASE, -1, 2**64)
+_PLACE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,54 +37,104 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word in a byte array; A-Z count as a-z, words end at space and 0x09-0x0D."""
-    low = _LOWER[data]
-    space = _SPACE[low]
-    edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
-    starts, stops = edge[::2], edge[1::2]
-    up, down = powers(_BASE, len(low)), powers(_INVERSE, len(low))
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_LETTER[low] * up, out=sums[1:])
-    raw = (sums[stops] - sums[starts]) * down[starts] if len(starts) else sums[:0]
-    return mix(raw + mix((stops - starts).astype(np.uint64))), starts
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text: A-Z count as a-z, words end at space and 0x09-0x0D, as ``bytes`` have it."""
+    return (text or "").encode().lower().split()
+
+
+class _Hashes(dict):
+    """Digests by word, filled on demand and emptied when full."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = xxhash.xxh3_128_digest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = digest
+        return digest
+
+
+_hashes = _Hashes()
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: ``width`` words, or all words where there are fewer."""
-    encoded = [(t or "").encode() for t in texts]
     out: list[np.ndarray] = []
-    a = 0
-    while a < len(encoded):
-        b, size = a, 0
-        while b < len(encoded) and (b == a or size + len(encoded[b]) < BATCH_BYTES):
-            size += len(encoded[b]) + 1
-            b += 1
-        out += _batch(encoded[a:b], width)
-        a = b
-    return out
+    held: list[bytes] = []
+    counts: list[int] = []
+    size = 0
+    for text in texts:
+        words = words_of(text)
+        held.append(b"".join(map(_hashes.__getitem__, words)))
+        counts.append(len(words))
+        size += len(text or "")
+        if size >= BATCH_BYTES:
+            out += _batch(b"".join(held), counts, width)
+            held, counts, size = [], [], 0
+    return out + _batch(b"".join(held), counts, width)
 
 
-def _batch(encoded: list[bytes], width: int) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join(encoded), np.uint8)
-    words, at = word_hashes(data)
-    ends = np.cumsum([len(e) + 1 for e in encoded])
-    cut = np.searchsorted(at, ends)
-    n = len(words) - width + 1
-    full = np.zeros(max(n, 0), np.uint64)
-    if n > 0:
-        for k in range(width):
-            full += words[k : k + n] * _PLACE[k]
-        full = mix(full)
+def _batch(digests: bytes, counts: list[int], width: int) -> list[np.ndarray]:
+    halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    low, high = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+    n = max(len(low) - width + 1, 0)
+    full = np.zeros(n, np.uint64)
+    for k in range(width if n else 0):
+        full += low[k : k + n] * _PLACE[2 * k] + high[k : k + n] * _PLACE[2 * k + 1]
+    full = mix(full)
     out, start = [], 0
-    for stop in cut.tolist():
-        count = stop - start
+    for count in counts:
         if count >= width:
-            out.append(np.unique(full[start : stop - width + 1]))
+            out.append(np.unique(full[start : start + count - width + 1]))
         elif count:
-            short = (words[start:stop] * _PLACE[width : width + count]).sum(dtype=np.uint64)
+            k = np.arange(count) * 2 + 2 * width
+            short = (low[start : start + count] * _PLACE[k] + high[start : start + count] * _PLACE[k + 1]).sum(dtype=np.uint64)
             out.append(mix(np.array([short + np.uint64(count)], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
-        start = stop
+        start += count
     return out
+
+
+class _Numbers(dict):
+    """Numbers of words from 1 on, in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers that are equal where both parts are."""
+    return np.unique(a * (b.max() + 1) + b, return_inverse=True)[1].astype(np.int64)
+
+
+def numbered_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """All texts' sets of shingles, one after the other, as (numbers, bounds) with the count of numbers in use. Equal numbers mean equal
+    shingles, letter by letter."""
+    numbers = _Numbers()
+    parts, counts = [], []
+    for text in texts:
+        words = words_of(text)
+        # Zeros fill up what is shorter than a shingle; no word has that number.
+        part = np.zeros(max(len(words), width) if words else 0, np.int64)
+        part[: len(words)] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        parts.append(part)
+        counts.append(max(len(part) - width + 1, 0))
+    flat = np.concatenate([*parts, np.zeros(width, np.int64)])
+    spans, whole, done = flat, None, 0  # shingles of 1, 2, 4, ... words; of the first ``done`` words
+    step = 1
+    while step <= width:
+        if width & step:
+            whole = spans if whole is None else _joint(whole[: len(spans) - done], spans[done:])
+            done += step
+        step *= 2
+        if step <= width:
+            spans = _joint(spans[: -(step // 2)], spans[step // 2 :])
+    rows = np.repeat(np.arange(len(texts)), counts)
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]
+    within = np.arange(len(rows)) - np.repeat(np.concatenate([[0], np.cumsum(counts)])[:-1], counts)
+    used = whole[starts[rows] + within] if len(rows) else np.zeros(0, np.int64)
+    top = int(used.max(initial=-1)) + 1
+    both = np.unique(rows * max(top, 1) + used)
+    return both % max(top, 1), np.searchsorted(both // max(top, 1), np.arange(len(texts) + 1)), top
