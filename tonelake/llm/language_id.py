@@ -9,7 +9,8 @@ Bundling is linear, so a batch is one product of an n-gram count matrix with the
 
 Defined results: null texts and texts without a letter get ``und`` and score 0. Ties go to the language first in
 alphabetical order. Negative cosines score 0. With no training rows everything is ``und``. Language, source and id of
-a row are never inputs of its prediction. Repeated rows are judged each; other columns are ignored.
+a row are never inputs of its prediction. Repeated rows are judged each; other columns are ignored, whatever their names. Very long texts are taken
+whole: their n-grams are counted before anything is multiplied, so a text needs memory in proportion to its length. Empty tables give no prototypes and empty results.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BLOCK = 256
 #: Bound of the training sample: rows of each language taken, in expectation.
 FIT_ROWS = 3000
 UNKNOWN = "und"
+#: Cosines below three deviations of those of random vectors tell no language.
+NOISE = 3 / DIMENSIONS**0.5
 
 
 class Profiles:
@@ -56,7 +59,8 @@ class Profiles:
         if not slots.any():
             return slots[:0]
         keep = (slots != 0) | np.r_[True, slots[:-1] != 0]
-        return np.r_[np.uint16(0), slots[keep], np.uint16(0)][int(slots[0] == 0) :]
+        slots = slots[keep]
+        return np.r_[np.zeros(int(slots[0] != 0), np.uint16), slots, np.zeros(int(slots[-1] != 0), np.uint16)]
 
     def grams(self, text: str) -> np.ndarray:
         """One integer code for each n-gram occurrence; empty if there is no letter."""
@@ -160,21 +164,24 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     return map_texts(slim, run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text ``predict`` would give a language, in their columns; nothing is shuffled."""
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", lang_col: str = "lang", least: float = NOISE) -> DataFrame:
+    """The rows of ``docs`` to which ``predict`` gives a language with a score of ``least`` or more, in their columns, with that language in
+    ``lang_col``; nothing is shuffled."""
     langs, matrix = stacked(prototypes)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
+    def judged(texts: pd.Series) -> pd.DataFrame:
         profiles, values = Profiles(), texts.tolist()
-        out = np.zeros(len(values), bool)
+        out, scores = np.full(len(values), UNKNOWN, object), np.zeros(len(values))
         for a, b in slices(values):
             for k in range(a, b, BLOCK):
-                lang, _ = named(profiles.bundles(values[k : min(b, k + BLOCK)]), langs, matrix)
-                out[k : k + len(lang)] = lang != UNKNOWN
-        return pd.Series(out)
-
-    return docs.filter(known(docs[text_col]))
+                lang, score = named(profiles.bundles(values[k : min(b, k + BLOCK)]), langs, matrix)
+                out[k : k + len(lang)], scores[k : k + len(lang)] = lang, score
+        return pd.DataFrame({"lang": out, "score": scores})
+
+    # Said to be indeterminate so that it is evaluated once, not again for the filter.
+    judge = F.pandas_udf(judged, "lang string, score double").asNondeterministic()
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), judge(docs[text_col]).alias("found")).filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= least))
+    return kept.select(*[(F.col("found.lang") if c == lang_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def held_out(id_col: Column) -> Column:
