@@ -18,32 +18,46 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; texts without a letter go. A row's label, where there is one, only serves to learn from.
+    """Documents whose language is told, with that language in ``lang``. A row's label, where there is one, only serves to learn from.
 
-    Defined results: null and empty texts go, so do those of digits and signs alone; short texts with letters stay."""
+    Defined results: null and empty texts go, so do texts without letters and those whose best score is below ``language_id.NOISE`` (a few odd
+    letters); repeated rows go or stay together; very long texts are judged whole. Without any labelled row to learn from, rows with a letter stay as
+    they are. An empty table stays empty."""
     prototypes = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
-    if not prototypes:  # nothing to learn from: whatever has a letter counts as recognised
+    if not prototypes:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return language_id.recognised(docs, prototypes)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id stays, the rule of the exact-dedup query."""
+    """Of documents with equal texts the one with the largest id stays, the rule of the exact-dedup query.
+
+    Defined results: null and empty texts are equal; a row without an id goes if a copy has one; of repeated rows one stays; texts of any length are compared
+    whole. An empty table stays empty."""
     return exact_dedup.deduplicate(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingles of five words at a similarity of 0.8 or more the one with the smallest id stays."""
+    """Of documents linked by shingles of five words at a similarity of 0.8 or more the one with the smallest id stays.
+
+    Defined results: texts without words, null or empty, link with nothing and all stay; rows without an id link like others and go if the group has one with
+    an id; rows that repeat an id and its text stay together; texts of any length are compared whole. An empty table stays empty."""
     return ngram_join.near_deduplicate(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated or thinned to their target shares, and everything shuffled."""
+    """Sources repeated or thinned to their target shares, and everything shuffled.
+
+    Defined results: a null source is a source of its own; rows with one id in one source are repeated equally often, rows without an id as the empty one;
+    texts are not looked at. An empty table stays empty."""
     return mixing.mixed_documents(docs, MIX_WEIGHTS, seed=MIX_SEED)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document (each of its copies) and the digest of what they decode to."""
+    """Piece ids of every document (each of its copies) and the digest of what they decode to.
+
+    Defined results: null and empty texts have begin and end ids alone; repeated rows are encoded each; a row without an id keeps none; texts of any length are
+    encoded whole. An empty table gives an empty result."""
     return pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
