@@ -21,8 +21,10 @@ def inverse_poisson(mean, u):
 def brute_copies(rows, means, seed):
     out = Counter()
     for i, source in rows:
-        u = int(hashlib.md5(f"{seed}|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
-        out[i, source] += inverse_poisson(means[source], u)
+        parts = max(1, math.ceil(means[source] / 256))
+        for part in range(parts):
+            name = f"{seed}|{'' if i is None else i}" + (f"|{part}" if part else "")
+            out[i, source] += inverse_poisson(means[source] / parts, int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / 2**52)
     return out
 
 
@@ -47,14 +49,33 @@ def test_shares_are_met(spark):
 
 
 def test_large_means_and_shuffle(spark):
-    rows = [(i, "a" if i else "b") for i in range(2000)]
-    out = mixing.mix(frame(spark, rows), {"a": 0.5, "b": 0.5})
+    """Means above what is inverted at once keep the distribution: mean and variance agree, whatever the size of the table."""
+    rows = [(i, "a" if i >= 300 else "b") for i in range(4000)]
+    out = mixing.mix(frame(spark, rows), {"a": 0.01, "b": 0.99}, size=30.0).cache()
+    copies = Counter((r.row.doc_id, r.row.source) for r in out.collect())
+    assert copies == +brute_copies(rows, {"a": 0.01 * 120_000 / 3700, "b": 0.99 * 120_000 / 300}, "mix")
+    mean = 0.99 * 120_000 / 300
+    found = [copies[i, "b"] for i in range(300)]
+    assert mean > mixing.MOST_MEAN and abs(sum(found) / 300 - mean) < 4 * math.sqrt(mean / 300)
+    assert 0.75 < sum((x - mean) ** 2 for x in found) / 300 / mean < 1.3
     keys = [r.mix_key for r in out.collect()]
-    assert abs(sum(r.row.source == "b" for r in out.collect()) - 1000) < 150 and len(set(keys)) == len(keys)
+    assert len(set(keys)) == len(keys)
     parts = out.selectExpr("spark_partition_id() p", "mix_key").collect()
     assert all(a.p != b.p or a.mix_key <= b.mix_key for a, b in zip(parts, parts[1:], strict=False))
 
 
+def test_clashing_columns(spark, tmp_path):
+    names = "doc_id bigint, source string, text string, copy int, mix_key string, Copy_ int, steps int, parts int, s string, row string, mean int, u int"
+    rows = [(i, f"s{i % 3}", "t", 5, "k", 6, 7, 8, "x", "r", 9, 10) for i in range(60)]
+    df = spark.createDataFrame(rows, names)
+    mixed = mixing.spread(mixing.mix(df, {"s0": 0.5}), "copy", "mix_key")
+    assert mixed.columns == [*df.columns, "copy__", "mix_key_"]
+    mixed.write.parquet(str(tmp_path / "out"))
+    assert {(r.mean, r.u, r.row) for r in mixing.mixed_documents(df).collect()} == {(9, 10, "r")}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op5_mixing(spark, str(tmp_path)).columns == mixed.columns
+
+
 @pytest.mark.parametrize("weights", [None, {}, {"gone": 1.0}, {"a": 0.0}])
 def test_odd_weights_and_empty(spark, weights):
     assert mixing.mixed_documents(frame(spark, []), weights).count() == 0

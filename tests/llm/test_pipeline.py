@@ -1,21 +1,27 @@
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
 from oracle import SF_SMALL
+from pyspark.sql import functions as F
+from test_language_id import brute_predictions
 from test_mixing import brute_copies
 from test_ngram_join import brute as near_brute
 
 import corpus_pipeline
-from tonelake.llm import queries
+from tonelake.llm import language_id, queries
 
 
 def test_run_like_brute_force(spark):
-    """Stages 2 to 5 by definition, from what the first one keeps: every document with a letter."""
+    """All stages by definition."""
     import sentencepiece
 
-    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
-    docs = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    told = brute_predictions([(r.text, r.lang, zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for r in rows])
+    docs = [(r.doc_id, r.text, r.source) for r, (lang, score) in zip(rows, told, strict=True) if lang != "und" and score >= language_id.NOISE]
+    first = corpus_pipeline.identify_language(spark, spark.read.parquet(f"{SF_SMALL}/documents.parquet"), SF_SMALL)
+    assert {(r.doc_id, r.lang) for r in first.collect()} == {(r.doc_id, lang) for r, (lang, score) in zip(rows, told, strict=True) if lang != "und" and score >= language_id.NOISE}
     last = {}
     for i, t, _ in docs:
         last[t] = max(last.get(t, i), i)
@@ -36,6 +42,15 @@ def test_run_like_brute_force(spark):
     assert Counter((r.doc_id, r.ids_sha256) for r in got) == +wanted
 
 
+def test_first_stage_follows_the_prototypes(spark, docs, monkeypatch):
+    rows = docs([(i, "the and of to in that is was") for i in range(9)] + [(20, "zzz qqq xxx"), (21, "of the that")])
+    usual = {(r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, rows, SF_SMALL).collect()}
+    assert (21, "en") in usual
+    learned = language_id.fit(rows, F.lit(True))
+    monkeypatch.setattr(language_id, "fit", lambda *_: {"xx": -learned["en"]})
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.identify_language(spark, rows, SF_SMALL).collect()} != usual
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark, docs):
     odd = docs([(1, None), (2, ""), (3, "123"), (4, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "words without an id"), (6, "x " * 50_000), (7, "one two three four five six seven eight")])
     frame = odd

@@ -2,13 +2,12 @@
 
 A source with n rows and target share w of a mixture of N rows is to be repeated w * N / n times in the mean. Each row
 takes its own number of copies: the Poisson distribution with that mean, inverted at a uniform number hashed from the seed and
-the row's id. Copies are exploded and shuffled globally by a hash of seed, id and copy. Every decision depends on one row and
+the row's id. A mean above ``MOST_MEAN`` is drawn in equal parts of at most that, each at a number of its own; their sum has the whole distribution. Copies are exploded and shuffled globally by a hash of seed, id and copy. Every decision depends on one row and
 its source's count alone, so no source, however large, is gathered anywhere.
 
 Defined results: a null source is a source of its own. Sources not named in ``weights`` share what the named ones leave
 equally; shares are scaled to sum to 1 over the sources present. Rows with the same id in a source draw the same number. Rows without an id draw
-as the empty id. Empty tables give empty results, texts are never looked at. A mean above 300 gives its surplus over 256
-as certain copies, rounded down, so that the distribution is inverted within the range of doubles.
+as the empty id. Empty tables give empty results; texts, however long, are never looked at, and other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +17,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, stored
 
 #: Names of sources fit one broadcast up to this many; beyond it the join is left to Spark.
 BROADCAST_SOURCES = 100_000
-#: Means above the first number give certain copies, so that the second is what is left to be inverted.
-CERTAIN, INVERTED = 300.0, 256
+#: The largest mean inverted at once, well within the range of doubles.
+MOST_MEAN = 256.0
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -45,7 +44,7 @@ def poisson_steps(mean: Column) -> Column:
 
 
 def source_rates(df: DataFrame, weights: Mapping[str, float] | None, *, source_col: str, temperature: float = 1.0, size: float = 1.0) -> DataFrame:
-    """(source, n, mean, base, steps): how often each source's rows are to be repeated.
+    """(source, n, mean, parts, steps): how often each source's rows are to be repeated, and the distribution of each of equal parts.
 
     Without ``weights``, shares follow counts to the power ``temperature``. ``size`` is the mixture's size in input sizes."""
     counts = df.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
@@ -61,27 +60,52 @@ def source_rates(df: DataFrame, weights: Mapping[str, float] | None, *, source_c
     total = raw.agg(F.sum("raw").alias("sum_raw"), F.sum("n").alias("sum_n"))
     rates = raw.crossJoin(F.broadcast(total))  # one row
     rates = rates.withColumn("mean", F.coalesce(F.try_divide(F.col("raw"), F.col("sum_raw")), F.lit(0.0)) * F.col("sum_n") * F.lit(float(size)) / F.col("n"))
-    base = F.when(F.col("mean") > CERTAIN, F.floor(F.col("mean") - INVERTED)).otherwise(F.lit(0)).cast("bigint")
-    return rates.select("source", "n", "mean", base.alias("base"), poisson_steps(F.col("mean") - base).alias("steps"))
+    parts = F.greatest(F.ceil(F.col("mean") / MOST_MEAN), F.lit(1)).cast("bigint")
+    return rates.select("source", "n", "mean", parts.alias("parts"), poisson_steps(F.col("mean") / parts).alias("steps"))
+
+
+def drawn_copies(seed: str, ident: Column, parts: Column, steps: Column) -> Column:
+    """How many copies a row gets: for each part, how many steps of the distribution lie at or below its number."""
+
+    def below(u: Column) -> Column:
+        return F.size(F.filter(steps, lambda p: p <= u)).cast("bigint")
+
+    first = below(uniform(seed, ident))
+    more = F.aggregate(F.sequence(F.lit(1).cast("bigint"), parts - 1), F.lit(0).cast("bigint"), lambda n, part: n + below(uniform(seed, ident, part)))
+    return F.when(parts > 1, first + more).otherwise(first)
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix", temperature: float = 0.5, size: float = 1.0) -> DataFrame:
-    """Input rows, repeated and shuffled: column ``row`` (a struct of all input columns), ``copy`` (from 1), ``mean``, ``mix_key``."""
+    """Input rows, repeated and shuffled: column ``row`` (a struct of all input columns), ``copy`` (from 1), ``mean``, ``mix_key``. Beside the
+    struct no name can clash; ``spread`` takes it apart."""
     spark = df.sparkSession
-    rates = source_rates(df, weights, source_col=source_col, temperature=temperature, size=size).select(F.col("source").alias("s"), "mean", "base", "steps")
+    # One row a source, stored so that the table is counted once.
+    rates = stored(source_rates(df, weights, source_col=source_col, temperature=temperature, size=size), "rates").select(F.col("source").alias("s"), "mean", "parts", "steps")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("id"), df[source_col].alias("source"))
     joined = rows.join(rates, F.col("source").eqNullSafe(F.col("s")))
-    u = uniform(seed, F.col("id"))
-    copies = F.col("base") + F.size(F.filter("steps", lambda p: p <= F.col("u")))
-    drawn = joined.withColumn("u", u).withColumn("copies", copies).filter("copies > 0").select("row", "id", "mean", "copies")
+    copies = drawn_copies(seed, F.col("id"), F.col("parts"), F.col("steps"))
+    drawn = joined.withColumn("copies", copies).filter("copies > 0").select("row", "id", "mean", "copies")
     each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     text = F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy").cast("string"))
     keyed = each.select("row", "copy", "mean", F.md5(text).alias("mix_key"))
     return keyed.repartition(shuffle_partitions(spark), "mix_key").sortWithinPartitions("mix_key")
 
 
+def spread(mixed: DataFrame, *more: str) -> DataFrame:
+    """The input's columns, then those of ``more``; one whose name the input has too gets underscores at its end."""
+    names = mixed.schema["row"].dataType.names
+    out = [F.col("row")[n].alias(n) for n in names]
+    taken = {n.lower() for n in names}
+    for name in more:
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        out.append(F.col(name).alias(free))
+    return mixed.select(*out)
+
+
 def mixed_documents(df: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
     """The mixture in the input's columns; a row repeated k times appears k times."""
-    return mix(df, weights, **options).select(*[F.col("row")[c].alias(c) for c in df.columns])
+    return spread(mix(df, weights, **options))

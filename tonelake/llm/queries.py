@@ -53,7 +53,7 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
-    return mixed.select("row.*", "copy", "mix_key")
+    return mixing.spread(mixed, "copy", "mix_key")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
