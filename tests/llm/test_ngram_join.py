@@ -201,3 +201,28 @@ def test_overflowing_groups():
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert result(queries.op3_ngram_join(spark, SF)) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_smallest_partners_across_batches(spark, batch):
+    rng = random.Random(batch)
+    rows = sorted({(rng.randrange(40), rng.randrange(60)) for _ in range(150)} | {(100, k) for k in range(30)})
+    sizes = {i: rng.choice([10, 11, 100]) for i in range(60)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame([(t, i, sizes[i]) for t, i in rows], "token bigint, id bigint, n int").coalesce(1).sortWithinPartitions("token", "id")
+        got = Counter()
+        for r in ngram_join.smallest_partners(df, 85).collect():
+            assert r.n == sizes[r.id]
+            got[r.low, r.id] += r.shared
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    most, least = Counter(), Counter()
+    for token in {t for t, _ in rows}:
+        ids = [i for t, i in rows if t == token]
+        fits = 100 * min(sizes[i] for i in ids) >= 85 * max(sizes[i] for i in ids)
+        for i in ids if len(ids) > 1 else []:
+            most[ids[0], i] += 1
+            least[ids[0], i] += len(ids) > 2 or fits
+    assert all(least[k] <= got[k] <= most[k] for k in most) and set(got) <= set(most)
+    assert batch < 10_000 or got == +least

@@ -94,22 +94,23 @@ def give_back() -> None:
         trim(0)
 
 
+def cut_batch(batch: pa.RecordBatch, column: int | str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices that hold a bounded amount of text each; one text is never cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= SLICE_CHARS or i == len(sizes) - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+
+
 def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, column: str = "text") -> DataFrame:
     """``mapInPandas`` whose frames hold a bounded amount of text each: a batch becomes Python strings a slice at a time."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-            start = size = 0
-            for i, n in enumerate(sizes.tolist()):
-                size += n
-                if size >= SLICE_CHARS or i == len(sizes) - 1:
-                    yield batch.slice(start, i + 1 - start).to_pandas()
-                    start, size = i + 1, 0
-
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in run(cut(batches)):
+        for frame in run(part.to_pandas() for batch in batches for part in cut_batch(batch, column)):
             yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
         give_back()
 

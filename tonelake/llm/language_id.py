@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_texts, sliced, slices
+from .common import cut_batch, give_back, map_texts, sliced
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -168,20 +170,24 @@ def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col:
     """The rows of ``docs`` to which ``predict`` gives a language with a score of ``least`` or more, in their columns, with that language in
     ``lang_col``; nothing is shuffled."""
     langs, matrix = stacked(prototypes)
+    at, where = docs.columns.index(text_col), docs.columns.index(lang_col)
+    arrow = to_arrow_schema(docs.schema)
 
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        profiles, values = Profiles(), texts.tolist()
-        out, scores = np.full(len(values), UNKNOWN, object), np.zeros(len(values))
-        for a, b in slices(values):
-            for k in range(a, b, BLOCK):
-                lang, score = named(profiles.bundles(values[k : min(b, k + BLOCK)]), langs, matrix)
-                out[k : k + len(lang)], scores[k : k + len(lang)] = lang, score
-        return pd.DataFrame({"lang": out, "score": scores})
-
-    # Said to be indeterminate so that it is evaluated once, not again for the filter.
-    judge = F.pandas_udf(judged, "lang string, score double").asNondeterministic()
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), judge(docs[text_col]).alias("found")).filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= least))
-    return kept.select(*[(F.col("found.lang") if c == lang_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles()
+        for batch in batches:
+            for part in cut_batch(batch, at):
+                texts = part.column(at).to_pylist()
+                for a in range(0, len(texts), BLOCK):
+                    lang, score = named(profiles.bundles(texts[a : a + BLOCK]), langs, matrix)
+                    keep = (lang != UNKNOWN) & (score >= least)
+                    if keep.any():
+                        rows = part.slice(a, BLOCK).filter(pa.array(keep))
+                        columns = [pa.array(lang[keep].tolist(), arrow.types[k]) if k == where else rows.column(k).cast(arrow.types[k]) for k in range(rows.num_columns)]
+                        yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: Column) -> Column:

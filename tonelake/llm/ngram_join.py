@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,12 @@ from .shingles import mix, numbered_sets, shingle_sets
 GROUPS = 64
 #: Rows of the sample that tells frequent tokens, how often a token must be seen in it, and how many are told at most.
 SAMPLE_ROWS, SEEN, MOST_FREQUENT = 2000, 3, 200_000
+#: Share of the sample's rows from which on a token is hot.
+HOT = 0.02
 #: Classes and shingles of one group in one tree; beyond these it is cut into blocks.
-BLOCK, BLOCK_SHINGLES = 4000, 4_000_000
+BLOCK, BLOCK_SHINGLES = 4000, 3_000_000
 #: Shingles of small groups that are taken together.
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 400_000
 
 
 def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -52,8 +55,8 @@ def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return size - -(-percent * size // 100) + 1
 
 
-def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens seen repeatedly in a bounded sample of rows, with their counts, sorted by token."""
+def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens seen repeatedly in a bounded sample of rows, with their counts, sorted by token; and those that are hot."""
     n = docs.count()
     part = docs if n <= SAMPLE_ROWS else docs.filter(F.pmod(F.xxhash64("spot", F.lit("sample")), F.lit(1_000_000)) < F.lit(1_000_000.0 * SAMPLE_ROWS / n))
 
@@ -66,15 +69,15 @@ def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.nda
     found = seen.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).toPandas()
     token = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], found["n"].to_numpy(np.int64)[order]
+    seen = found["n"].to_numpy(np.int64)[order]
+    return token[order], seen, token[order][seen >= HOT * min(n, SAMPLE_ROWS)].view(np.int64)
 
 
 SKETCH = "doc bigint, known boolean, spot bigint, n_shingles bigint, digest binary, tokens array<bigint>, fine binary"
 
 
-def sketch(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One small row per document: size and digest of its set, first tokens, count vector."""
-    known, seen = frequent
+def sketch(docs: DataFrame, width: int, percent: int, known: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """One small row per document: size and digest of its set, first tokens (rare ones first, as ``known`` ones were ``seen``), count vector."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "text"):
@@ -205,9 +208,10 @@ def numbered_classes(filled: DataFrame) -> tuple[DataFrame, bool]:
     return stored(marked.select("digest", F.when(odd, number).otherwise(F.col("doc")).alias("id"), label, "doc", "spot"), "classes"), True
 
 
-def prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
-    """Sketches of all rows, classes of equal sets, where the text of each class is, one sketch of each class, and whether any class is numbered."""
-    sketches = stored(sketch(docs, width, percent, sampled_frequencies(docs, width)), "sketch")
+def prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool, np.ndarray]:
+    """Sketches of all rows, classes of equal sets, where the text of each class is, one sketch of each class, whether any class is numbered, and the hot tokens."""
+    known, seen, hot = sampled_frequencies(docs, width)
+    sketches = stored(sketch(docs, width, percent, known, seen), "sketch")
     filled = sketches.filter("n_shingles > 0")
     classes, odd = numbered_classes(filled)
     heads = classes.select("id", "doc", "spot")
@@ -217,17 +221,66 @@ def prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
         reps = stored(reps, "reps")  # shuffled once
     if reps.count() > classes.count():  # rows that repeat an id and its text; else the wide rows need no shuffle
         reps = stored(reps.dropDuplicates(["id"]), "reps")
-    return sketches, classes, heads, reps, odd
-
-
-def grouped(reps: DataFrame, percent: int) -> DataFrame:
-    """(low, id, n_shingles, shared): a row for each class in each group, with how many tokens put it there."""
-    tokens = reps.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode("tokens").alias("token"))
-    across = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("id").alias("low"), F.max("n").alias("most"), F.min("n").alias("least"))
-    # Of two classes alone on a token the sizes tell whether they can be similar.
-    across = across.filter(F.col("many") > 1).filter((F.col("many") > 2) | (F.lit(100) * F.col("least").cast("bigint") >= F.lit(percent) * F.col("most").cast("bigint")))
-    across = stored(across.select("token", "low"), "across")
-    hits = tokens.join(sent(across), "token").groupBy("low", "id").agg(F.first("n").cast("bigint").alias("n_shingles"), F.count("*").alias("shared"))
+    return sketches, classes, heads, reps, odd, hot
+
+
+def smallest_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """(low, id, n, shared): each class with the smallest one on its token, for tokens of more than one class; counted within a task. ``rows``: token, id, n,
+    sorted by token and id. Rows are looked at in passing, so a token may have any number of classes."""
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        table = pd.DataFrame(np.concatenate(parts), columns=["low", "id", "n"]).groupby(["low", "id"], as_index=False).agg(n=("n", "first"), shared=("n", "size"))
+        return pa.RecordBatch.from_pandas(table.astype(np.int64), preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, sent_on = None, False  # the first row of the last batch's last token, and whether it has been put out
+        out: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, ident, n = (batch.column(k).to_numpy() for k in range(3))
+            goes_on = begun is not None and token[0] == begun[0]
+            if goes_on and not sent_on:
+                token, ident, n = np.r_[begun[0], token], np.r_[begun[1], ident], np.r_[begun[2], n]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            many = np.diff(np.r_[starts, len(token)])
+            low = ident[starts]
+            kept = many > 1
+            # Of two classes alone on a token the sizes tell whether they can be similar.
+            two = np.flatnonzero(many[:-1] == 2) if len(many) else starts[:0]
+            two = two[two > 0] if goes_on else two
+            a, b = n[starts[two]].astype(np.int64), n[starts[two] + 1].astype(np.int64)
+            kept[two] = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            if goes_on:
+                low[0], kept[0] = begun[1], True
+            at = np.repeat(kept, many)
+            if at.any():
+                out.append(np.column_stack([np.repeat(low, many)[at], ident[at], n[at].astype(np.int64)]))
+            if not (goes_on and len(starts) == 1):
+                last = starts[-1]
+                begun, sent_on = (token[last], ident[last], n[last]), bool(kept[-1])
+            else:
+                sent_on = True
+            if sum(map(len, out)) > 200_000:
+                yield counted(out)
+                out = []
+        if out:
+            yield counted(out)
+
+    return rows.mapInArrow(run, "low bigint, id bigint, n bigint, shared bigint")
+
+
+def grouped(reps: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+    """(low, id, n_shingles, shared): a row for each class in each group, with how many tokens put it there. Tokens are shuffled once; the ``hot`` ones, so
+    called as many rows of the sample have them, not at all: only their smallest classes are gathered."""
+    spark = reps.sparkSession
+    tokens = reps.select(F.explode("tokens").alias("token"), "id", F.col("n_shingles").cast("int").alias("n"))
+    few = F.broadcast(spark.createDataFrame(pd.DataFrame({"token": hot}), "token bigint"))  # at most MOST_FREQUENT numbers
+    often = tokens.join(few, "token")
+    lows = stored(often.groupBy("token").agg(F.min("id").alias("low"), F.count("*").alias("many")).filter("many > 1").select("token", "low"), "lows")
+    from_hot = often.join(F.broadcast(lows), "token").groupBy("low", "id").agg(F.first("n").cast("bigint").alias("n"), F.count("*").alias("shared"))
+    rest = tokens.join(few, "token", "left_anti").select("token", "id", "n").repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "id")
+    hits = smallest_partners(rest, percent).unionByName(from_hot).groupBy("low", "id").agg(F.first("n").alias("n_shingles"), F.sum("shared").alias("shared"))
     return stored(hits, "hits")
 
 
@@ -242,9 +295,9 @@ def links_within(dealt: DataFrame, docs: DataFrame, heads: DataFrame, reps: Data
     return stored(confirmed(texts.repartition(n, *keys).sortWithinPartitions(*keys, "id"), width, percent, every).distinct(), "links")
 
 
-def all_links(docs: DataFrame, heads: DataFrame, reps: DataFrame, width: int, percent: int, n: int, every: bool = False) -> DataFrame:
+def all_links(docs: DataFrame, heads: DataFrame, reps: DataFrame, hot: np.ndarray, width: int, percent: int, n: int, every: bool = False) -> DataFrame:
     """(a, b): links between classes, enough for the components; with ``every`` all of them."""
-    hits = grouped(reps, percent)
+    hits = grouped(reps, percent, hot)
     sizes = hits.groupBy("low").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("total"), F.max_by("id", F.struct("shared", "id")).alias("central"))
     blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
     large = stored(sizes.select("low", blocks.alias("blocks"), "central").filter("blocks > 1"), "large")
@@ -274,8 +327,8 @@ def judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, bool]:
     """(doc, known, spot, n_shingles, node, component_id) for every row, where ``node`` names the component and is null for empty sets; the flag
     tells whether some component's node may not be its id."""
     n = shuffle_partitions(docs.sparkSession)
-    sketches, classes, heads, reps, odd = prepared(docs, width, percent)
-    joined = connected_components(all_links(docs, heads, reps, width, percent, n), "a", "b")
+    sketches, classes, heads, reps, odd, hot = prepared(docs, width, percent)
+    joined = connected_components(all_links(docs, heads, reps, hot, width, percent, n), "a", "b")
 
     # Back to rows: a class's component, then the smallest member of the component over all its classes (a class has its smallest id).
     by_class = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", "label", F.coalesce("component", "id").alias("node"))
@@ -304,8 +357,8 @@ def jaccard_links(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n = shuffle_partitions(df.sparkSession)
     docs = addressed(df, id_col, text_col)
     docs = docs if missing_ids else docs.filter("known")
-    sketches, classes, heads, reps, _ = prepared(docs, width, percent)
-    links = all_links(docs, heads, reps, width, percent, n, every=True)
+    sketches, classes, heads, reps, _, hot = prepared(docs, width, percent)
+    links = all_links(docs, heads, reps, hot, width, percent, n, every=True)
     sizes = sketches.groupBy("digest").agg(F.count("*").alias("rows"))
     labels = classes.join(sizes, "digest").select("id", "label", "rows")
     for side in ("a", "b"):
