@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -55,6 +56,21 @@ def test_a_difference_is_noticed():
         coder.verify("hello", [1, 2], "")
 
 
+@pytest.mark.parametrize("block", [2, 3, 128])
+def test_long_pre_tokens(monkeypatch, block):
+    """One pre-token of many blocks, equal to the library; the work follows the merges."""
+    monkeypatch.setattr(token_count, "BLOCK", block)
+    rng = random.Random(block)
+    n = 1_000_000 if block == 128 else 3000
+    merger, library = token_count.RankMerger(BPE), tokenizers.Tokenizer.from_file(BPE)
+    cases = ["".join(rng.choices("etaoinshrdlu", k=n)), "a" * (n // 2), "ab" * (n // 2), "aab" * 999, "é" * 777, "the" * 1500 + "x"]
+    began = time.process_time()
+    got = merger.count(cases)
+    spent = time.process_time() - began
+    assert got == [len(library.encode(t, add_special_tokens=False).ids) for t in cases]
+    assert spent < 60 and not any(len(t) > token_count.MEMO_CHARS for t in merger.memo)
+
+
 def test_empty(docs):
     assert token_count.token_counts(docs([]), BPE).count() == 0 and pieces.encode_decode(docs([]), PIECES).count() == 0
 
