@@ -29,12 +29,33 @@ def brute(pages, min_bytes=0):
 @pytest.mark.parametrize(("segment", "archive", "least", "groups"), [(32768, 2**23, 0, 200_000), (100, 1000, 0, 0), (37, 1, 2, 5)])
 def test_round_trip(spark, tmp_path, monkeypatch, segment, archive, least, groups):
     monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
-    df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumnRenamed("x", "y")
+    df = clashing(spark, PAGES)
     got = warc.round_trip(df, str(tmp_path / "w"), min_bytes=least, segment_bytes=segment, archive_bytes=archive).collect()
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == brute(PAGES, least)
     assert all(r.complete for r in got)
 
 
+def clashing(spark, pages):
+    """With columns whose names are used inside."""
+    names = "page_id bigint, url string, html string, id string, sha int, `unique` string, keeper bigint, group_sha binary, payload string, n int, value string, size int"
+    return spark.createDataFrame([(*p, "i", 1, "u", 2, b"g", "p", 3, "v", 4) for p in pages], names)
+
+
+@pytest.mark.parametrize("pages", [PAGES, [p for p in PAGES if p[0] != 8], PAGES + [(2, None, "x")] * 3 + [(6, "u", "é" * 40_000), (6, "v", "é" * 40_000)]])
+def test_references_resolve(spark, tmp_path, pages):
+    """Identifiers are unique, also of rows that repeat, and what a revisit refers to is the identifier of a response with that payload."""
+    warc.write_archives(clashing(spark, pages), str(tmp_path / "w"), segment_bytes=20_000)
+    records = [f for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(str(tmp_path / "w")).collect() for f, _ in warc.parse(bytes(r.content))]
+    ids = [f["warc-record-id"] for f in records]
+    assert len(ids) == len(set(ids))
+    responses = {f["warc-record-id"]: f["warc-payload-digest"] for f in records if f["warc-type"] == "response"}
+    revisits = [f for f in records if f["warc-type"] == "revisit"]
+    assert len(revisits) >= 3 and all(responses[f["warc-refers-to"]] == f["warc-payload-digest"] for f in revisits)
+    assert {f["warc-segment-origin-id"] for f in records if f["warc-type"] == "continuation"} <= set(responses)
+    got = warc.read_archives(spark, str(tmp_path / "w"), payloads=False).collect()
+    assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == brute(pages) and all(r.complete for r in got)
+
+
 def test_payloads_come_back(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     warc.write_archives(df, str(tmp_path / "w"), segment_bytes=500)

@@ -7,10 +7,11 @@ Spark writes to will do. Reading parses the archives, groups continuation record
 them by segment number, verifies the total length, and decodes the chunked framing.
 
 Defined results: null html is an empty payload. Of equal payloads of at least ``min_bytes`` the largest page id is the response; rows
-that repeat that id with the same payload are responses too. Null urls are left out of the record; line breaks in urls become
+that repeat that id with the same payload are responses too, and a revisit names one of them. Every record has an identifier of its own, and
+what a revisit refers to is the identifier of a response. Null urls are left out of the record; line breaks in urls become
 spaces. A page without an id is written and comes back without one and is never referred to if another has one. Records with a missing segment, a
-wrong length, a broken framing or a wrong digest come back with ``complete`` false and no payload. Empty tables give no archives
-and no rows.
+wrong length, a broken framing or a wrong digest come back with ``complete`` false and no payload. Very long pages are taken whole: a task holds one archive, or
+one page where that is longer. Empty tables give no archives and no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut_batch, stored
+
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 ARCHIVE_BYTES = 8 * 1024 * 1024
@@ -70,17 +74,21 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + head.encode() + b"\r\n" + block
 
 
-def page_records(page_id: int | None, unique: int, url: str | None, payload: bytes, keeper: int | None, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page. ``keeper``: the page that keeps the payload, for a revisit."""
-    name = "none" if page_id is None else str(page_id)
-    base = f"<urn:page:{name}:{unique}>"
+def identifier(page_id: int | None, unique: int) -> str:
+    """A record's identifier: the page's id and what tells its rows apart."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{unique & 2**64 - 1:016x}>"
+
+
+def page_records(page_id: int | None, unique: int, url: str | None, payload: bytes, keeper: tuple[int, int] | None, segment_bytes: int) -> Iterator[bytes]:
+    """The records of one page. ``keeper``: id and ``unique`` of the page that keeps the payload, for a revisit."""
+    base = identifier(page_id, unique)
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", "sha1:" + digest(payload))]
     if url is not None:
         common.append(("WARC-Target-URI", re.sub(r"[\r\n]", " ", url)))
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if keeper is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", base), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{keeper}>"), *common, kind]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", base), ("WARC-Profile", PROFILE), ("WARC-Refers-To", identifier(*keeper)), *common, kind]
         yield record(fields, f"{http}Content-Length: {len(payload)}\r\n\r\n".encode())
         return
     block = f"{http}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
@@ -92,7 +100,7 @@ def page_records(page_id: int | None, unique: int, url: str | None, payload: byt
         if number == 1:
             fields = [("WARC-Type", "response"), ("WARC-Record-ID", base), *common, kind, ("WARC-Segment-Number", "1")]
         else:
-            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{name}:{unique}:{number}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
+            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{base[:-1]}:{number}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
             fields += [("WARC-Segment-Origin-ID", base), ("WARC-Segment-Number", str(number))]
             if number == len(pieces):
                 fields.append(("WARC-Segment-Total-Length", str(len(block))))
@@ -102,31 +110,37 @@ def page_records(page_id: int | None, unique: int, url: str | None, payload: byt
 def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes gzip-compressed archives below ``path``."""
     pages = df.select(df[id_col].cast("bigint").alias("id"), df[url_col].alias("url"), F.coalesce(df[html_col], F.lit("")).alias("html"))
-    pages = pages.withColumn("sha", F.unhex(F.sha1("html")))
-    # One small row for each payload and map task goes to the exchange; only repeated payloads are joined back.
-    groups = pages.filter(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1 and keeper is not null")
+    pages = pages.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("unique", F.xxhash64("url", "sha"))
+    # One small row for each page of a payload goes to the exchange; only repeated payloads are joined back.
+    each = stored(pages.groupBy("sha", "id", "unique").agg(F.count("*").alias("n"), F.min(F.octet_length("html")).alias("size")), "payloads")
+    if not each.filter("n > 1").isEmpty():
+        # Rows that are equal in all of this are numbered instead, once, as both sides of the join must agree on the numbers.
+        pages = stored(pages.withColumn("unique", F.monotonically_increasing_id()), "pages")
+        each = pages.groupBy("sha", "id", "unique").agg(F.count("*").alias("n"), F.min(F.octet_length("html")).alias("size"))
+    groups = each.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.max(F.struct("id", "unique")).alias("keeper"), F.sum("n").alias("n")).filter("n > 1 and keeper.id is not null")
     groups = groups.select(F.col("sha").alias("group_sha"), "keeper")
     if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
-    joined = pages.join(groups, F.col("sha") == F.col("group_sha"), "left").withColumn("unique", F.monotonically_increasing_id())
-    chosen = joined.select("id", "unique", "url", "html", F.when(F.col("keeper").eqNullSafe(F.col("id")), None).otherwise(F.col("keeper")).alias("keeper"))
+    joined = pages.join(groups, F.col("sha") == F.col("group_sha"), "left")
+    other = ~F.col("keeper.id").eqNullSafe(F.col("id"))
+    chosen = joined.select("id", "unique", "url", "html", F.when(other, F.col("keeper.id")).alias("keeper"), F.when(other, F.col("keeper.unique")).alias("keeper_unique"))
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for frame in frames:
-            for page_id, unique, url, html, keeper in zip(*[frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("id", "unique", "url", "html", "keeper")], strict=True):
-                page, other = (None if x is None else int(x) for x in (page_id, keeper))
-                for r in page_records(page, int(unique), url, html.encode(), other, segment_bytes):
+        for batch in (part for whole in batches for part in cut_batch(whole, "html")):
+            frame = batch.to_pydict()  # integers stay whole beside nulls
+            for page, unique, url, html, *keeper in zip(*[frame[c] for c in ("id", "unique", "url", "html", "keeper", "keeper_unique")], strict=True):
+                for r in page_records(page, unique, url, html.encode(), None if keeper[0] is None else tuple(keeper), segment_bytes):
                     held.append(r)
                     size += len(r)
                     if size >= archive_bytes:
-                        yield pd.DataFrame({"value": [END.join(held)]})
+                        yield pa.RecordBatch.from_pydict({"value": pa.array([END.join(held)], pa.binary())})
                         held, size = [], 0
         if held:
-            yield pd.DataFrame({"value": [END.join(held)]})
+            yield pa.RecordBatch.from_pydict({"value": pa.array([END.join(held)], pa.binary())})
 
     # The writer closes each row, that is each archive, with the line ends that close its last record. The cast keeps all bytes.
-    archives = chosen.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    archives = chosen.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
     archives.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
