@@ -45,6 +45,34 @@ def test_huge_components(spark):
     rows = [(0, [3e5, 2.0]), (1, [2e5, 1.0]), (2, [1e10, 1.0]), (3, [-1e12, 5.0])]
     assert run(spark, rows) == brute(rows)
     assert len(run(spark, [(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [-3e38, 0.0])])) == 2
+    wide = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1.0, 1.0]), (100, [2.0, 1.0])], "vec_id bigint, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in topk.top_k(wide).collect()] == [(100, 1)]
+
+
+@pytest.mark.parametrize("components", [10**9, 300])
+def test_wide_products_go_through_the_tree(spark, monkeypatch, components):
+    """Products beyond doubles, ties there included, in several shards and rounds."""
+    monkeypatch.setattr(topk, "LEAF_ROWS", 8)
+    monkeypatch.setattr(topk, "MOST_COMPONENTS", components)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in (rng.normal(size=4) * 10.0 ** rng.integers(3, 9)).astype(np.float32)]) for i in range(300)]
+    rows += [(400 + i, rows[7][1]) for i in range(15)] + [(500, rows[7][1]), (-100, [1e15, -1e15, 1e15, 1.0])]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, shard_rows=40, block_rows=2) == brute(rows)
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = vectors(150) + [(100, [1.0] * 8), (7, [2.0] * 8), (7, [2.0] * 8)]
+    names = "vec_id bigint, embedding array<float>, id string, v int, shard int, block int, score string, `rank` int, floor double, query_id bigint, is_query int"
+    df = spark.createDataFrame([(i, v, "x", 1, 2, 3, "y", 4, 5.0, 6, 7) for i, v in rows], names)
+    found = topk.top_k(df, shard_rows=60)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    best = {}
+    for r in found.collect():
+        best.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.vec_id != r.query_id
+    assert set(best) == {0, 100} and len(best[0]) == 10 and sum(i == 7 for i, _ in best[0]) in (0, 2, 3)
+    assert topk.top_k(df.filter("vec_id = 7")).count() == 0
 
 
 def test_few_and_none(spark):

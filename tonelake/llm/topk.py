@@ -1,16 +1,17 @@
 """Exact top-k search by inner product: ball trees, branch and bound.
 
-Candidates are dealt to shards by a hash of their id and queries to blocks. A shard builds a ball tree over its
+Candidates are dealt to shards by a hash of their id and queries to blocks, of a bounded number of rows and of components. A shard builds a ball tree over its
 vectors: a node's ball has centre c and radius r, so no vector in it scores above <q, c> + |q| r. For each query, nodes
-wait in a heap ordered by that bound; the search ends when the best bound falls below the current k-th score. The first
-shard's k-th scores are passed to all other shards, so they start with a threshold and only send what can still count.
+wait in a heap ordered by that bound; the search ends when the best bound falls below the current k-th score. Shards are searched in
+rounds, each as many as all before it: a query's k-th score over the shards done is where all shards of the next round start, and they only send what can still count.
 
 Components are integers and scores exact: products are taken in doubles while they are below 2**53 and in Python
-integers beyond.
+integers beyond, in the same tree, whose bounds are widened by more than the doubles' error.
 
-Defined results: rows whose vector is null, empty or holds null or non-finite components take no part, nor do rows without an
+Defined results: rows whose vector is null, empty or holds null or non-finite components (also after scaling) take no part, nor do rows without an
 id; scores beyond 38 digits are clipped to these, and in the result to 64 bits; vectors of another length than the query's are not its candidates; equal
-scores go by the smaller id; of repeated ids each row takes part, but never as candidate of a query with its own id.
+scores go by the smaller id; of repeated ids each row takes part, but never as candidate of a query with its own id. Empty tables, and tables
+without a query, give an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates of one shard and queries of one block, about: bounds of what one task holds.
-SHARD_ROWS, BLOCK_ROWS = 40_000, 8_192
+from .common import stored
+
+#: Candidates of one shard and queries of one block, about, and components of either: bounds of what one task holds.
+SHARD_ROWS, BLOCK_ROWS, MOST_COMPONENTS = 40_000, 8_192, 4_000_000
 LEAF_ROWS = 256
 EXACT = 2.0**53
 #: Scores are ranked as decimals of 38 digits and clipped to them.
@@ -34,11 +37,12 @@ LARGEST = 10**38 - 1
 class BallTree:
     """Balls over the rows of a matrix; leaves hold ranges of the reordered rows."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, whole: np.ndarray | None = None):
+        """``whole``: the rows as Python integers, where doubles don't hold their products."""
         self.nodes: list[tuple] = []  # centre, radius, left, right, start, stop
         order = np.arange(len(rows))
         self._build(rows, order, 0, len(rows))
-        self.rows, self.ids = rows[order], ids[order]
+        self.rows, self.ids = (rows if whole is None else whole)[order], ids[order]
         self.centres = np.array([n[0] for n in self.nodes])
         self.radii = np.array([n[1] for n in self.nodes])
 
@@ -60,13 +64,16 @@ class BallTree:
         return node
 
 
-def search(tree: BallTree, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's position, ids, scores) of each query's best k rows with scores of at least ``floor``."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        bounds = queries @ tree.centres.T + np.linalg.norm(queries, axis=1)[:, None] * tree.radii
-        bounds = np.where(np.isfinite(bounds), bounds + np.abs(bounds) * 1e-9 + 1, np.inf)  # rounding only ever widens a ball
-    for i, query in enumerate(queries):
-        best_ids, best = np.zeros(0, tree.ids.dtype), np.zeros(0)
+def search(tree: BallTree, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray, whole: np.ndarray | None = None) -> Iterator[tuple[int, list[int], list]]:
+    """(query's position, ids, scores) of each query's best k rows with scores of at least ``floor``. ``whole``: the queries as Python integers, if the
+    tree's rows are."""
+    lengths = np.linalg.norm(queries, axis=1)[:, None]
+    bounds = queries @ tree.centres.T + lengths * tree.radii
+    # Rounding only ever widens a ball.
+    bounds = bounds + 1e-9 * lengths * (np.linalg.norm(tree.centres, axis=1) + tree.radii) + 1
+    bounds = np.where(np.isfinite(bounds), bounds, np.inf)
+    for i, query in enumerate(queries if whole is None else whole):
+        best: list[tuple] = []  # (-score, id)
         current = floor[i]
         heap = [(-bounds[i, 0], 0)]
         while heap and -heap[0][0] >= current:
@@ -78,29 +85,23 @@ def search(tree: BallTree, queries: np.ndarray, query_ids: np.ndarray, k: int, f
                         heapq.heappush(heap, (-bounds[i, child], child))
                 continue
             scores, ids = tree.rows[start:stop] @ query, tree.ids[start:stop]
-            keep = (scores >= current) & (ids != query_ids[i])
-            if keep.any():
-                best, best_ids = np.r_[best, scores[keep]], np.r_[best_ids, ids[keep]]
-                top = np.lexsort((best_ids, -best))[:k]
-                best, best_ids = best[top], best_ids[top]
+            at = np.flatnonzero((scores >= current) & (ids != query_ids[i]))
+            if len(at):
+                best = heapq.nsmallest(k, [*best, *zip((-scores[at]).tolist(), ids[at].tolist(), strict=True)])
                 if len(best) == k:
-                    current = max(current, best[-1])
-        yield i, best_ids, best
+                    current = max(current, -best[-1][0])
+        yield i, [v for _, v in best], [-s for s, _ in best]
 
 
-def _huge(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
-    """The same where products don't fit a double: Python integers, every row."""
-    whole = [[int(x) for x in r] for r in rows]
-    for i, q in enumerate(queries):
-        q = [int(x) for x in q]
-        found = sorted((-sum(map(int.__mul__, q, r)), int(v)) for r, v in zip(whole, ids.tolist(), strict=True) if v != query_ids[i])[:k]
-        yield i, np.array([v for _, v in found]), [-s for s, _ in found]
+def _integers(rows: np.ndarray) -> np.ndarray:
+    """Doubles without a fraction as Python integers."""
+    return np.array([[int(x) for x in r] for r in rows.tolist()], dtype=object).reshape(rows.shape)
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
     """floor(scale * x) of each component as doubles; null for vectors that take no part."""
     whole = F.transform(vector, lambda x: _floor(x, scale))
-    return F.when((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))), whole)
+    return F.when((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * F.lit(float(scale))) == float("inf"))), whole)
 
 
 def _floor(x: Column, scale: int) -> Column:
@@ -121,8 +122,9 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     """
     query = F.pmod(F.col("id"), F.lit(100)) == 0 if query is None else query
     rows = df.select(df[id_col].cast("bigint").alias("id"), quantised(df[vector_col], scale).alias("v")).filter("id is not null and v is not null").withColumn("is_query", query)
-    n, asked = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
+    n, asked, size, asked_size = rows.agg(F.count("*"), F.count_if("is_query"), F.sum(F.size("v")), F.sum(F.when(F.col("is_query"), F.size("v")))).first()
+    shards = max(1, -(-n // shard_rows), -(-(size or 0) // MOST_COMPONENTS))
+    blocks = max(1, -(-asked // block_rows), -(-(asked_size or 0) // MOST_COMPONENTS))
     kind = "bigint"
     one = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
     asking = rows.filter("is_query").select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
@@ -137,13 +139,14 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
                     continue
                 q, x = np.array(asked_here["asked"].tolist(), float), np.array(same["v"].tolist(), float)
                 qi, xi = asked_here["asker"].to_numpy(), same["id"].to_numpy()
+                floor = asked_here["floor"].to_numpy(float, na_value=-np.inf)
                 if np.abs(q).max() * np.abs(x).max() * width < EXACT:
-                    found = search(BallTree(x, xi), q, qi, k, asked_here["floor"].to_numpy(float, na_value=-np.inf))
+                    found = search(BallTree(x, xi), q, qi, k, floor)
                 else:
-                    found = _huge(q, qi, x, xi, k)
+                    found = search(BallTree(x, xi, _integers(x)), q, qi, k, floor, _integers(q))
                 for i, ids, scores in found:
                     out["query_id"] += [qi[i]] * len(ids)
-                    out["vec_id"] += ids.tolist()
+                    out["vec_id"] += ids
                     out["score"] += [float(s) for s in scores]
                     out["exact"] += [str(max(-LARGEST, min(LARGEST, int(s)))) for s in scores]
         ids = {n: pd.Series(out[n], dtype="int64") for n in ("query_id", "vec_id")}
@@ -156,14 +159,17 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         theirs = askers.withColumn("shard", F.explode(shard_ids))
         return mine.groupBy("shard", "block").cogroup(theirs.groupBy("shard", "block")).applyInPandas(task, shape)
 
-    first = searched(one.filter("shard = 0"), asking.withColumn("floor", F.lit(None).cast("double")), _numbers(0, 0))
-    found = first
-    if shards > 1:
+    found = searched(one.filter("shard = 0"), asking.withColumn("floor", F.lit(None).cast("double")), _numbers(0, 0))
+    done = 1
+    while done < shards:
+        found = stored(found, "found")
         # A k-th score that at least k rows reach; big scores leave the exact range of doubles and give no floor.
-        kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        kth = kth.withColumn("floor", F.when(F.abs("floor") < EXACT, F.col("floor")))
-        led = asking.join(kth.withColumnRenamed("query_id", "asker"), "asker", "left")
-        found = first.unionByName(searched(one.filter("shard > 0"), led, _numbers(1, shards - 1)))
+        best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("nth") == k)
+        kth = best.select(F.col("query_id").alias("asker"), F.when(F.abs("score") < EXACT, F.col("score")).alias("floor"))
+        led = asking.join(kth, "asker", "left")
+        until = min(2 * done, shards)
+        found = found.unionByName(searched(one.filter((F.col("shard") >= done) & (F.col("shard") < until)), led, _numbers(done, until - 1)))
+        done = until
     whole = F.col("exact").cast("decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(whole.desc(), "vec_id")
     low, high = F.lit(str(-(2**63))).cast("decimal(38,0)"), F.lit(str(2**63 - 1)).cast("decimal(38,0)")
