@@ -24,10 +24,48 @@ def python_simhash(words):
 
 def test_simhash(spark):
     texts = ["", "a b c", "alpha beta beta gamma", "abc", "x " * 50 + "yy zz", "één twee drie vier vijf"]
-    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.simhash(T.tokens(F.col("x"))).alias("h")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.simhash(F.col("x")).alias("h")).collect()
     for r in rows:
         assert r.h == python_simhash([w for w in r.x.split() if len(w) > 1])
-    assert one(spark, "abc", T.low_bits(F.md5("x")).alias("b")).b == -2984127896297046158
+    assert one(spark, "abc", T.simhash(F.col("x")).alias("b")).b == -2984127896297046158
+
+
+def test_simhash_of_nothing_and_of_many(spark, monkeypatch):
+    monkeypatch.setattr(T, "COUNTED", 5)
+    monkeypatch.setattr(T, "MEMO_TOKENS", 3)
+    texts = [None, "", "a", "ab cd ef gh", "ab ab cd", "", "xx yy zz ab", None, "ab " * 40]
+    assert T.simhashes(texts) == [None if t is None else python_simhash([w for w in t.split() if len(w) > 1]) for t in texts]
+    assert [r.h for r in spark.createDataFrame([(None,), ("",)], "x string").select(T.simhash(F.col("x")).alias("h")).collect()] == [None, 0]
+
+
+letters = st.text("abcde é", max_size=150)
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+@given(letters, letters, st.integers(0, 150))
+@settings(max_examples=200, deadline=None)
+def test_longest_common_with_a_least(a, b, least):
+    whole = plain_common(a, b)
+    assert T.longest_common(a, b) == whole
+    assert T.longest_common(a, b, least) == whole if whole >= least else T.longest_common(a, b, least) in (-1, whole)
+
+
+@given(st.lists(letters, min_size=2, max_size=6), st.lists(st.tuples(st.integers(0, 5), st.integers(0, 149)), max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_similar_texts(texts, cuts):
+    for k, at in cuts:  # copies with a letter taken out, so that some are similar
+        texts.append(texts[k % len(texts)][:at] + texts[k % len(texts)][at + 1 :])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    wanted = [(i, j) for i, j in pairs if texts[i] == texts[j] or 200.0 * plain_common(texts[i], texts[j]) / (len(texts[i]) + len(texts[j])) >= 85]
+    assert T.similar_texts(texts, pairs, 85) == wanted
 
 
 def test_hamming(spark):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 #: Whether characters classes cover all of Unicode must be said in Java patterns.
 UNICODE, DOT_ALL = "(?U)", "(?Us)"
@@ -19,10 +22,13 @@ BOILERPLATE = (
     r"\*텔레그램\s*채널:\s*\S+",
     r"☎️?\s*[\d\-]+",
 )
+# What counts as a url and as a phone number.
 URL, PHONE = r"https?://\S+", r"\d{2,3}-\d{3,4}-\d{4}"
 SCANNED_BELOW = 200
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 BITS = 64
+#: Share of all occurrences that the rarer letters have, which similar texts are first compared by.
+RARE_SHARE = 0.4
 
 
 def blank_to_null(x: Column) -> Column:
@@ -54,33 +60,56 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda t: F.length(t) > 1)
 
 
-def low_bits(hex_digest: Column) -> Column:
-    """The last 64 bits of a hexadecimal digest as a signed long."""
-    high = F.conv(F.substring(hex_digest, -16, 8), 16, 10).cast("bigint")
-    low = F.conv(F.substring(hex_digest, -8, 8), 16, 10).cast("bigint")
-    return F.shiftleft(high, 32).bitwiseOR(low)
+#: Distinct tokens whose digests are kept, and tokens whose bits are counted together.
+MEMO_TOKENS, COUNTED = 200_000, 100_000
+
+
+class _Digests(dict):
+    """The last eight bytes of each token's MD5, lowest first; emptied when full."""
+
+    def __missing__(self, token: str) -> bytes:
+        digest = hashlib.md5(token.encode(), usedforsecurity=False).digest()[:7:-1]
+        if len(self) >= MEMO_TOKENS:
+            self.clear()
+        self[token] = digest
+        return digest
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of tokens: a bit is set if more tokens (with repeats) have it than not. No tokens give 0.
+_digests = _Digests()
 
-    Each of 32 longs counts two bits, j and j + 32, in lanes of 32 bits; so one pass over the tokens takes 32 additions each."""
-    longs = F.transform(F.transform(words, F.md5), low_bits)
-    lanes = F.lit(1 << 32 | 1)
 
-    def add(acc: Column, h: Column) -> Column:
-        return F.array(*[F.get(acc, F.lit(j)) + F.shiftrightunsigned(h, j).bitwiseAND(lanes) for j in range(32)])
+def simhashes(texts: list[str | None]) -> list[int | None]:
+    """64-bit SimHash of each text's tokens, as signed numbers; no tokens give 0, null gives null."""
+    out: list[int | None] = []
+    words: list[bytes] = []
+    counts: list[int] = []
 
-    def finish(acc: Column) -> Column:
-        out = F.lit(0).cast("bigint")
-        for i in range(BITS):
-            lane = F.get(acc, F.lit(i % 32))
-            count = lane.bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(lane, 32)
-            bit = (1 << i) - (1 << 64 if i == 63 else 0)
-            out = out.bitwiseOR(F.when(count * 2 > F.size(words), F.lit(bit)).otherwise(F.lit(0)).cast("bigint"))
-        return out
+    def finish() -> None:
+        numbers = np.zeros(len(counts), np.int64)
+        full = np.flatnonzero(counts)
+        if len(full):
+            sizes = np.array(counts)[full]
+            bits = np.unpackbits(np.frombuffer(b"".join(words), np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+            numbers[full] = np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
+        out.extend(numbers.tolist())
+        words.clear()
+        counts.clear()
 
-    return F.aggregate(longs, F.array_repeat(F.lit(0).cast("bigint"), 32), add, finish)
+    for text in texts:
+        mine = [t for t in (text or "").split(" ") if len(t) > 1]
+        words += map(_digests.__getitem__, mine)
+        counts.append(len(mine))
+        if len(words) >= COUNTED:
+            finish()
+    finish()
+    return [None if t is None else h for t, h in zip(texts, out, strict=True)]
+
+
+@F.pandas_udf(LongType())
+def simhash(text: pd.Series) -> pd.Series:
+    """64-bit SimHash of a normalised text: a bit is set if more tokens (with repeats) have it in their digest than not."""
+    return pd.Series(simhashes(text.tolist()), dtype="Int64")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -126,18 +155,37 @@ def extract_status(path: Column, exists: Column, kind: Column, text: Column) ->
     )
 
 
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel: a row of the table is one integer."""
-    if len(a) > len(b):
-        a, b = b, a
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def places_of(text: str) -> dict[str, int]:
+    """For each character the positions that it has, as the bits of one number."""
+    codes = code_points(text)
+    return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+
+
+def longest_common(a: str, b: str, least: int = 0, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel: a row of the table is one integer. ``places``: of ``a``.
+
+    It stops with -1 as soon as ``least`` is out of reach: what is matched up to here, with no more of ``a`` passed over than may be, and all of what is left of ``b``."""
+    spare = len(a) - least
+    if spare < 0 or len(b) < least:
+        return -1
+    places = places_of(a) if places is None else places
     full = (1 << len(a)) - 1
     row = full
-    for ch in b:
-        match = row & places.get(ch, 0)
-        row = ((row + match) | (row - match)) & full
+    for start in range(0, len(b), 64):
+        for ch in b[start : start + 64]:
+            if ch in places:
+                match = row & places[ch]
+                row = (row + match) | (row ^ match)
+        row &= full
+        if least:
+            done = min(start + 64, len(b))
+            seen = min(done + spare, len(a))
+            if seen - (row & ((1 << seen) - 1)).bit_count() + len(b) - done < least:
+                return -1
     return len(a) - row.bit_count()
 
 
@@ -145,3 +193,46 @@ def longest_common(a: str, b: str) -> int:
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of 0 to 100: twice the longest common subsequence over both lengths; two empty texts are equal."""
     return pd.Series([None if x is None or y is None else 100.0 if x == y else 200.0 * longest_common(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def similar_texts(texts: list[str], pairs: list[tuple[int, int]], ratio: float) -> list[tuple[int, int]]:
+    """Which pairs of places in ``texts`` are at least that similar, looking first at a part of the alphabet.
+
+    A common subsequence has at most what the texts share in some letters, plus the smaller counts of all others. With the rarer letters, less than half of
+    all occurrences, that settles nearly all pairs that are not similar, at a fraction of the work."""
+    seen = np.zeros(0x110000, bool)
+    for t in texts:
+        seen[code_points(t)] = True
+    letters = np.flatnonzero(seen)
+    number = np.zeros(0x110000, np.int32)
+    number[letters] = np.arange(len(letters))
+    counts = np.array([np.bincount(number[code_points(t)], minlength=len(letters)) for t in texts], np.int32).reshape(len(texts), -1)
+    total = counts.sum(axis=0, dtype=np.int64)
+    by = np.argsort(total, kind="stable")
+    rare = np.zeros(len(letters), bool)
+    rare[by] = np.cumsum(total[by]) <= RARE_SHARE * total.sum()
+    kept = np.zeros(0x110000, bool)
+    kept[letters] = rare
+    parts: dict[int, str] = {}
+
+    def part(k: int) -> str:
+        if k not in parts:
+            codes = code_points(texts[k])
+            parts[k] = codes[kept[codes]].tobytes().decode("utf-32-le", "surrogatepass")
+        return parts[k]
+
+    common, out = counts[:, ~rare], []
+    last, places = -1, {}
+    for i, j in sorted(pairs):
+        a, b = texts[i], texts[j]
+        if a != b:
+            least = int(-(-ratio * (len(a) + len(b)) // 200))  # so many characters in common
+            if last != i:
+                last, places = i, places_of(part(i))
+            if longest_common(part(i), part(j), max(least - int(np.minimum(common[i], common[j]).sum()), 0), places) < 0:
+                continue
+            both = longest_common(a, b, least)
+            if both < 0 or 200.0 * both / (len(a) + len(b)) < ratio:
+                continue
+        out.append((i, j))
+    return out

@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame dealt out evenly if it comes in fewer pieces than there are cores, as small tables do; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared folder and read back: lineage ends there, lost executors don't matter."""
     spark = df.sparkSession
