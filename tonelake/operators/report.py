@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonelake.operators.scores import channel_labels, score
@@ -82,6 +82,13 @@ def extraction_counts(items: DataFrame) -> DataFrame:
     return sets.agg(F.grouping("chat_name").cast("int").alias("is_total"), F.count("*").alias("n"))
 
 
+def status_totals(items: DataFrame) -> DataFrame:
+    """(place, extract_status, n): documents and photos by how their extraction ended, most frequent first, ties by name. One row a status."""
+    counts = extraction_counts(items).filter("is_total = 1").select("extract_status", "n")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.asc_nulls_last("extract_status"))
+    return counts.select(F.row_number().over(order).alias("place"), "extract_status", "n").orderBy("place")
+
+
 def scored_per_day(items: DataFrame, scores: DataFrame) -> DataFrame:
     """(day, rubric_version, n): how many items of each day have been scored."""
     return scores.join(items.select(*ITEM_KEY, F.substring("date", 1, 10).alias("day")), list(ITEM_KEY)).groupBy("day", "rubric_version").agg(F.count("*").alias("n"))

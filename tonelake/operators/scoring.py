@@ -12,8 +12,9 @@ from tonelake.functions.text import item_key, scoring_input
 from tonelake.operators.scores import day
 from tonelake.schemas import CLASSIFIER_RUBRIC, DRIVERS, HORIZONS, ITEM_KEY, LEVELS, NOVELTY, RESPONSE, RUBRIC, SCORES, SECTOR_CODES, conform
 
-PROMPT_CHARS, SUMMARY_CHARS, CHUNK_ROWS = 4000, 200, 200
+PROMPT_CHARS, SUMMARY_CHARS, CHUNK_ROWS, CALL_ITEMS = 4000, 200, 200, 500
 ENTRY = RESPONSE.removeprefix("items array<").removesuffix(">")
+LEGACY_ENTRY = "struct<item_id: string, summary: string, sentiment_score: double, scope: string, topic: string>"
 STRICT = {"level": LEVELS, "driver": DRIVERS, "novelty": NOVELTY, "horizon": HORIZONS}
 
 
@@ -30,13 +31,17 @@ def label_to_direction(label: Column) -> Column:
     return F.when(label == "positive", 1).when(label == "neutral", 0).when(label == "negative", -1)
 
 
-def prompts(items: DataFrame) -> DataFrame:
-    """(day, prompt, item_ids): one listing of each day's items, oldest first, each text cut to the prompt's limit."""
+def prompts(items: DataFrame, instruction: str = "") -> DataFrame:
+    """(day, prompt, item_ids): a listing of each day's items, oldest first, each text cut to the prompt's limit, behind the ``instruction``.
+
+    One call a day; a day with more than ``CALL_ITEMS`` items is dealt to several calls by a hash of the item."""
     text = F.substring(scoring_input(F.col("text"), F.col("extracted_text")), 1, PROMPT_CHARS)
     key = item_key(F.col("chat_id"), F.col("message_id"))
     rows = items.select(day().alias("day"), F.struct("date", "chat_id", "message_id", key.alias("id"), F.concat(F.lit("["), key, F.lit("] ("), "chat_name", F.lit(")\n"), text).alias("line")).alias("x"))
-    listed = rows.groupBy("day").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # one call's worth of items by design
-    return listed.select("day", F.array_join("xs.line", "\n\n").alias("prompt"), F.col("xs.id").alias("item_ids"))
+    calls = rows.groupBy("day").agg(F.ceil(F.count("*") / CALL_ITEMS).alias("calls"))
+    listed = rows.join(calls, "day").groupBy("day", F.pmod(F.xxhash64("x.id"), F.col("calls")).alias("call")).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    listing = F.array_join("xs.line", "\n\n")
+    return listed.select("day", (F.concat(F.lit(instruction + "\n\n"), listing) if instruction else listing).alias("prompt"), F.col("xs.id").alias("item_ids"))
 
 
 def ask(requests: DataFrame, scorer: Callable[[str], str]) -> DataFrame:
@@ -95,6 +100,8 @@ def classify(items: DataFrame, model: Callable[[list[str]], list[tuple[str, floa
                 part = frame.iloc[a : a + CHUNK_ROWS]
                 try:
                     found = [(label, float(p), None) for label, p in model(part["input"].tolist())]
+                    if len(found) != len(part):
+                        raise ValueError(f"{len(found)} answers to {len(part)} texts")
                 except Exception as e:  # noqa: BLE001  a failed chunk becomes rows that say so
                     found = [(None, None, f"REQUEST_ERROR: {e}")] * len(part)
                 labels, confidences, errors = zip(*found, strict=True)
@@ -114,6 +121,14 @@ def classifier_rows(found: DataFrame, rubric: str = CLASSIFIER_RUBRIC, name: str
     return conform(out, SCORES)
 
 
+def parse_legacy(answers: DataFrame) -> DataFrame:
+    """(item_id, summary, sentiment_score, scope, topic) from answers of the old layout; what doesn't fit it is left out, of several for one item the last of
+    its call holds."""
+    listed = answers.select("day", F.posexplode(F.from_json(F.get_json_object("response", "$.items"), "array<string>")).alias("n", "entry"))
+    read = listed.select("n", F.from_json("entry", LEGACY_ENTRY).alias("e")).filter(F.col("e.item_id").isNotNull() & F.col("e.sentiment_score").isNotNull() & F.col("e.scope").isin(*LEVELS))
+    return read.groupBy("e.item_id").agg(F.max_by("e", "n").alias("e")).select("e.*")
+
+
 def legacy_scores(items: DataFrame, answers: DataFrame) -> DataFrame:
     """Old single scores for the items that were answered: (ids, summary, sentiment_score within -5 to 5, scope, topic). Unknown ids are ignored."""
     keyed = items.select(*ITEM_KEY, item_key(F.col("chat_id"), F.col("message_id")).alias("item_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,18 +102,14 @@ def clipped(rows: DataFrame, index: DataFrame) -> DataFrame:
 def ewma(series: DataFrame, order: str, value: str, span: int) -> DataFrame:
     """``series`` with ``ewma``: exponentially weighted mean with adjusted weights; a null value still lets weights decay.
 
-    An ordered fold over one daily series, held as one array."""
-    decay = F.lit(1 - 2 / (span + 1))
-    rows = series.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.array().cast(f"array<struct<o:{dict(series.dtypes)[order]},e:double>>").alias("out"))
+    One pass over one daily series."""
 
-    def step(acc: Column, row: Column) -> Column:
-        num = acc["num"] * decay + F.coalesce(row["v"], F.lit(0.0))
-        den = acc["den"] * decay + F.when(row["v"].isNotNull(), 1.0).otherwise(0.0)
-        return F.struct(num.alias("num"), den.alias("den"), F.concat(acc["out"], F.array(F.struct(row["o"].alias("o"), F.try_divide(num, den).alias("e")))).alias("out"))
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        return pd.DataFrame({order: frame[order], "ewma": frame[value].astype(float).ewm(span=span, adjust=True, ignore_na=False).mean()})
 
-    means = rows.select(F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("x")).select(F.col("x.o").alias(order), F.col("x.e").alias("ewma"))
-    return series.join(means, order)
+    kind = dict(series.dtypes)[order]
+    return series.join(series.select(order, value).groupBy().applyInPandas(run, f"`{order}` {kind}, ewma double"), order)
 
 
 def compounded(proxy: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import text as T
 from tonelake.operators import calibration, dedupe, market, report, scoring, toneindex, validation
 from tonelake.operators import scores as S
+from tonelake.session import shared_dir
 from tonelake.sources import synthetic as data
 from tonelake.sources import tables
 
@@ -295,6 +296,46 @@ def a14_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.cluster_summary(dedupe.cluster_items(data.items(spark, sf_dir, near=True)))
 
 
+# Only equal texts count as similar here, which SQL can tell; the clusters are all that can be reached by links, found round by round.
+COPIES = f""", {NORMAL}, links AS (
+  SELECT a.item_key AS a, b.item_key AS b FROM signed a JOIN signed b ON a.norm_text = b.norm_text AND a.norm_text <> '' AND abs(a.day - b.day) <= 1 AND a.item_key <> b.item_key
+  UNION SELECT a.item_key, b.item_key FROM signed a JOIN signed b ON a.document_fp = b.document_fp AND a.item_key <> b.item_key
+), reached AS (SELECT item_key AS a, item_key AS b FROM signed UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+named AS (SELECT b AS item_key, min(a) AS dup_cluster_id FROM reached GROUP BY b),
+sized AS (SELECT dup_cluster_id, CAST(count(DISTINCT chat_id) AS INT) AS mention_channels, arg_min(item_key, (date, message_id, chat_id)) AS head FROM named JOIN signed USING (item_key) GROUP BY dup_cluster_id),
+clusters AS (SELECT s.chat_id, s.message_id, item_key, dup_cluster_id, CAST(item_key = head AS INT) AS is_cluster_head, mention_channels FROM signed s JOIN named USING (item_key) JOIN sized USING (dup_cluster_id))"""
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.cluster_items(data.items(spark, sf_dir, near=True), hamming_limit=3, ratio=100.0)
+
+
+@query(COPIES + " SELECT * FROM clusters", "RECURSIVE " + NEAR_VIEWS)
+def t_copy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copies(spark, sf_dir)
+
+
+@query(COPIES + " SELECT mention_channels, count(*) AS n_clusters FROM clusters WHERE is_cluster_head = 1 GROUP BY mention_channels", "RECURSIVE " + NEAR_VIEWS)
+def a13_copy_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.size_histogram(_copies(spark, sf_dir))
+
+
+@query(COPIES + """ SELECT count(*) AS n_items, count(*) FILTER (is_cluster_head = 1) AS n_clusters, count(*) FILTER (is_cluster_head = 1 AND mention_channels > 1) AS n_cross_channel FROM clusters""", "RECURSIVE " + NEAR_VIEWS)
+def a14_copy_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.cluster_summary(_copies(spark, sf_dir))
+
+
+# The same bit-parallel table, in 128-bit integers: names are shorter than that.
+@query("""WITH pairs AS (SELECT a.p_partkey, a.p_name AS a, b.p_name AS b, (CAST(1 AS HUGEINT) << length(a.p_name)) - 1 AS ones FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+steps AS (SELECT *, list_transform(range(1, length(b) + 1), lambda j: list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END))) AS masks FROM pairs),
+folded AS (SELECT *, list_reduce(masks, lambda row_, mask: ((row_ + (row_ & CAST(mask AS HUGEINT))) | xor(row_, row_ & CAST(mask AS HUGEINT))) & ones, ones) AS final FROM steps)
+SELECT p_partkey, a, b, 200e0 * (length(a) - bit_count(final)) / (length(a) + length(b)) AS ratio FROM folded""", None)
+def t_indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("a"))
+    following = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return parts.join(following, "p_partkey").select("p_partkey", "a", "b", T.indel_ratio("a", "b").alias("ratio"))
+
+
 @query(f", {EVENTS} SELECT count(*) AS skipped FROM events WHERE ticker NOT IN (SELECT ticker FROM prices)")
 def j12_events_without_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.events_without_prices(S.tagged_events(*both(spark, sf_dir)), data.prices(spark, sf_dir))
@@ -436,10 +477,27 @@ def m3_lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.lead_lag(plain, proxy), "corr", "ci_lo", "ci_hi", "err_plus", "err_minus")
 
 
-@query()
+# erfc by its series of positive terms.
+NORMAL_P = "1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 400), lambda k: exp(2 * k * ln(2e0) + (2 * k + 1) * ln(x) + lgamma(k + 1) - lgamma(2 * k + 2))))"
+# Three normal equations by their adjugate; sums of products of scores at a distance, with Bartlett weights.
+M4 = f""", {ROWS}, {PROXY}{SHRUNK.format(rows="eligible")}, placed AS (SELECT date, market_return, row_number() OVER (ORDER BY date) AS pos FROM proxy),
+obs AS (SELECT row_number() OVER (ORDER BY a.date) AS i, b.market_return AS y, s.index_value AS x1, a.market_return AS x2 FROM placed a JOIN placed b ON b.pos = a.pos + 1 JOIN shrunk s ON s.date = a.date),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS a, sum(x1) AS b, sum(x2) AS c, sum(x1 * x1) AS d, sum(x1 * x2) AS e, sum(x2 * x2) AS f, sum(y) AS u, sum(x1 * y) AS v, sum(x2 * y) AS w FROM obs),
+det AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+inv AS (SELECT a AS n, u, v, w, [[(d * f - e * e) / det, (c * e - b * f) / det, (b * e - c * d) / det], [(c * e - b * f) / det, (a * f - c * c) / det, (b * c - a * e) / det],
+  [(b * e - c * d) / det, (b * c - a * e) / det, (a * d - b * b) / det]] AS q FROM det),
+beta AS (SELECT n, q, list_transform(q, lambda r: r[1] * u + r[2] * v + r[3] * w) AS beta FROM inv),
+g AS (SELECT i, list_transform([1e0, x1, x2], lambda x: x * (y - beta[1] - beta[2] * x1 - beta[3] * x2)) AS g FROM obs, beta),
+s AS (SELECT r, c, sum((CASE WHEN p.i = o.i THEN 1e0 ELSE 1 - abs(p.i - o.i) / 6e0 END) * p.g[r] * o.g[c]) AS s FROM g p JOIN g o ON abs(p.i - o.i) <= 5, range(1, 4) rr(r), range(1, 4) cc(c) GROUP BY r, c),
+se AS (SELECT k, n, beta[k] AS coef, sqrt(greatest((SELECT sum(q[k][r] * s * q[c][k]) FROM s), 0)) AS std_err FROM beta, range(1, 4) kk(k)),
+z AS (SELECT *, coef / nullif(std_err, 0) AS t, abs(coef / nullif(std_err, 0)) / sqrt(2) AS x FROM se)
+SELECT ['const', 'index_t', 'return_t'][k] AS name, {cut("coef")} AS coef, {cut("std_err")} AS std_err, {cut("t")} AS t, {cut(NORMAL_P)} AS p, CAST(n AS BIGINT) AS n FROM z"""
+
+
+@query(M4)
 def m4_next_return_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain, _, proxy = _three(spark, sf_dir)
-    return validation.next_return_regression(plain, proxy)
+    return rounded(validation.next_return_regression(plain, proxy), "coef", "std_err", "t", "p")
 
 
 PATHS = """, known AS (SELECT * FROM events WHERE ticker IN (SELECT ticker FROM prices)),
@@ -455,11 +513,18 @@ def m5_event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.event_paths(S.tagged_events(*both(spark, sf_dir)), data.prices(spark, sf_dir)), "car")
 
 
-@query(f""", {EVENTS}, {PROXY}{PATHS} SELECT direction, k, count(*) AS n, {cut("avg(car)")} AS mean_car, {cut("avg(car) / (stddev_samp(car) / sqrt(count(*)))")} AS t, count(*) < 30 AS small_sample
-FROM paths WHERE k IN (0, 1, 3, 5, 10) GROUP BY direction, k HAVING count(*) >= 2""")
+# Student's distribution for whole degrees of freedom v: finite sums over powers of the cosine of the angle atan(t / sqrt(v)).
+STUDENT_P = """1 - CASE WHEN v % 2 = 0
+  THEN abs(sin(a)) * list_sum(list_transform(range(0, v // 2), lambda m: exp(lgamma(2 * m + 1) - 2 * m * ln(2e0) - 2 * lgamma(m + 1)) * power(cos(a), 2 * m)))
+  ELSE 2 / pi() * (abs(a) + CASE WHEN v >= 3 THEN abs(sin(a)) * list_sum(list_transform(range(0, (v - 1) // 2), lambda m: exp(2 * m * ln(2e0) + 2 * lgamma(m + 1) - lgamma(2 * m + 2)) * power(cos(a), 2 * m + 1))) ELSE 0 END) END"""
+
+
+@query(f""", {EVENTS}, {PROXY}{PATHS}, tested AS (SELECT direction, k, count(*) AS n, avg(car) AS mean_car, avg(car) / (stddev_samp(car) / sqrt(count(*))) AS t
+  FROM paths WHERE k IN (0, 1, 3, 5, 10) GROUP BY direction, k HAVING count(*) >= 2), angles AS (SELECT *, n - 1 AS v, atan(t / sqrt(n - 1)) AS a FROM tested)
+SELECT direction, k, n, {cut("mean_car")} AS mean_car, {cut("t")} AS t, {cut(STUDENT_P)} AS p, n < 30 AS small_sample FROM angles""")
 def a20_event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = validation.event_paths(S.tagged_events(*both(spark, sf_dir)), data.prices(spark, sf_dir))
-    return rounded(validation.event_summary(paths), "mean_car", "t").drop("p")
+    return rounded(validation.event_summary(paths), "mean_car", "t", "p")
 
 
 @query(f", {EVENTS}, {PROXY}{PATHS} SELECT direction, k, {cut('avg(car)')} AS mean_car, count(*) AS n FROM paths GROUP BY direction, k")
@@ -582,6 +647,57 @@ def s11_update_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.update_clusters(items, new).select("chat_id", "message_id", "dup_cluster_id", "is_cluster_head", "mention_channels")
 
 
+@query("""SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, extract_status NULLS LAST) AS INT) AS place, extract_status, count(*) AS n
+FROM items WHERE type IN ('document', 'photo') GROUP BY extract_status""")
+def o8_status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.status_totals(data.items(spark, sf_dir))
+
+
+# Files written and read again, batches of work
+
+
+@query("SELECT DISTINCT chat_id, chat_name FROM items")
+def s13_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "channels")
+    pairs = data.items(spark, sf_dir).select("chat_id", "chat_name").distinct()
+    names = F.map_from_entries(F.collect_list(F.struct(F.col("chat_id").cast("string"), "chat_name")))  # a channel each
+    pairs.agg(F.to_json(names).alias("value")).write.text(path)
+    return tables.load_channels(spark, path)
+
+
+@query("SELECT chat_id, message_id, CAST(direction AS INT) AS direction, TRY_CAST(magnitude AS DOUBLE) AS magnitude, level FROM gold_raw WHERE direction IS NOT NULL")
+def s15_gold_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_gold(spark, tables.write_csv(data.gold(spark, sf_dir), shared_dir(spark, "gold") + "/gold.csv", "v2"))
+
+
+@query("""SELECT CAST(to_json(struct_pack(chat_name := chat_name, type := type, extract_status := extract_status, is_total := is_total, n := n)) AS VARCHAR) AS record FROM (
+SELECT chat_name, type, extract_status, 0 AS is_total, count(*) AS n FROM items WHERE type IN ('document', 'photo') GROUP BY ALL
+UNION ALL SELECT NULL, NULL, extract_status, 1, count(*) FROM items WHERE type IN ('document', 'photo') GROUP BY extract_status)""")
+def s18_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.json_records(report.extraction_counts(data.items(spark, sf_dir)).select("chat_name", "type", "extract_status", "is_total", "n"))
+
+
+@query("SELECT chat_id, message_id, chat_name, type, file_path, date FROM items WHERE type IN ('document', 'photo') AND chat_name = 'src3' ORDER BY date, chat_id, message_id LIMIT 5")
+def s20_media_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pending_media(data.items(spark, sf_dir), force=True, channel="src3", limit=5)
+
+
+@query(MESSAGES_SQL + """ SELECT m.chat_id, m.message_id, concat_ws('/', 'media', i.chat_name, substr(m.date, 1, 7), CASE WHEN m.has_photo THEN concat(m.message_id, '.jpg') ELSE concat('f', m.message_id, '.pdf') END) AS path
+FROM messages m JOIN items i ON i.chat_id = m.chat_id AND i.message_id = m.message_id % 100000 WHERE m.has_photo OR m.has_document""")
+def s21_media_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = data.items(spark, sf_dir)
+    names = items.select("chat_id", (F.col("message_id") % 100000).alias("n"), "chat_name")
+    media = _messages(items).filter("has_photo or has_document").withColumn("n", F.col("message_id") % 100000).join(names, ["chat_id", "n"])
+    named = media.withColumn("file_name", F.concat(F.lit("f"), F.col("message_id").cast("string"), F.lit(".pdf")))
+    return named.select("chat_id", "message_id", tables.media_path("media").alias("path"))
+
+
+@query("""SELECT chat_id, message_id, date FROM items i WHERE (text IS NOT NULL OR extracted_text IS NOT NULL) AND substr(date, 1, 10) >= '1998-02-01'
+AND NOT EXISTS (SELECT 1 FROM scores s WHERE s.chat_id = i.chat_id AND s.message_id = i.message_id AND s.rubric_version = 'finbert-v1') ORDER BY date, chat_id, message_id LIMIT 25""")
+def o3_work_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.unscored(*both(spark, sf_dir), rubric="finbert-v1", since="1998-02-01", limit=25).select("chat_id", "message_id", "date")
+
+
 # Texts and scorers
 
 
@@ -640,6 +756,39 @@ def l1_scored_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chat_id", "message_id", "direction", "magnitude", "level", "sector_code")
 
 
+def moody_scorer(prompt: str) -> str:
+    """A stand-in that fails where the first item listed has an even number."""
+    if int(prompt.split("]")[0].split("_")[1]) % 2 == 0:
+        raise RuntimeError("refused")
+    return echo_scorer(prompt)
+
+
+@query("""SELECT chat_id, message_id, CASE WHEN first_id % 2 = 0 THEN 'REQUEST_ERROR: refused' END AS error, first_id % 2 = 1 AND message_id % 7 <> 0 AND message_id % 13 <> 0 AND message_id % 11 <> 0 AS scored
+FROM (SELECT *, first_value(message_id) OVER (PARTITION BY substr(date, 1, 10) ORDER BY date, chat_id, message_id) AS first_id FROM items WHERE text IS NOT NULL OR extracted_text IS NOT NULL)""")
+def l5_request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waiting = data.items(spark, sf_dir).filter("text is not null or extracted_text is not null")
+    rows = scoring.parse_responses(scoring.ask(scoring.prompts(waiting), moody_scorer))
+    failed = F.when(F.startswith("raw_response", F.lit("REQUEST_ERROR")), F.col("raw_response"))
+    return rows.select("chat_id", "message_id", failed.alias("error"), F.col("direction").isNotNull().alias("scored"))
+
+
+def old_scorer(prompt: str) -> str:
+    """A stand-in for the old layout: scores beyond the bounds, unknown scopes, items left out and items nobody asked about."""
+    import json
+    import re
+
+    ids = re.findall(r"(?m)^\[(\d+_\d+)\] \(", prompt)
+    entries = [{"item_id": i, "summary": f"s{n}", "sentiment_score": n % 15 - 7, "scope": "macro" if n % 4 else "galaxy", "topic": "t"} for i in ids for n in [int(i.split("_")[1])] if n % 7]
+    return json.dumps({"items": [*entries, {"item_id": "999_0", "summary": "", "sentiment_score": 1, "scope": "macro", "topic": ""}]})
+
+
+@query("""SELECT chat_id, message_id, concat('s', message_id) AS summary, CAST(greatest(-5, least(5, message_id % 15 - 7)) AS DOUBLE) AS sentiment_score, 'macro' AS scope, 't' AS topic
+FROM items WHERE text IS NOT NULL AND message_id % 7 <> 0 AND message_id % 4 <> 0""")
+def l10_legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waiting = data.items(spark, sf_dir).filter("text is not null")
+    return scoring.legacy_scores(waiting, scoring.parse_legacy(scoring.ask(scoring.prompts(waiting), old_scorer)))
+
+
 def length_classifier(texts: list[str]) -> list[tuple[str, float]]:
     """A stand-in classifier by the length of the text."""
     return [(("positive", "neutral", "negative")[len(t) % 3], len(t) % 100 / 100) for t in texts]
