@@ -1,19 +1,23 @@
-"""Command line: ``python -m tonelake index|dedupe|validate|calibration|market|migrate|pending|report ...``.
+"""Command line: ``python -m tonelake index|dedupe|validate|calibration|market|migrate|pending|report|collect|extract|score ...``.
 
-Tables are Parquet paths; results are printed, or written where ``--out`` says.
+Tables are Parquet paths; results are printed, or written where ``--out`` says. What reaches outside (scorers, PDF readers) is a function of the caller's,
+named as ``module:function``.
 """
 
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import importlib
+from collections.abc import Callable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.operators import calibration, dedupe, market, report, toneindex, validation
+from tonelake.functions import text as T
+from tonelake.operators import calibration, dedupe, market, report, rubric, scoring, toneindex, validation
 from tonelake.operators import scores as S
-from tonelake.schemas import LEVELS, METHODS, RUBRIC
+from tonelake.schemas import CLASSIFIER_RUBRIC, ITEM_KEY, ITEMS, LEVELS, METHODS, RUBRIC, conform
 from tonelake.session import build_session, stored
 from tonelake.sources import tables
 
@@ -65,9 +69,39 @@ def parser() -> argparse.ArgumentParser:
     p = command("report", "items", "scores")
     p.add_argument("--prices")
     p.add_argument("--ewma-span", type=int, default=9)
+    p = command("collect", "messages")
+    p.add_argument("--items", help="what has been collected so far; without it every channel goes back --backfill-days")
+    p.add_argument("--channels", help="JSON file of channel names by id; others are left out")
+    p.add_argument("--backfill-days", type=int, default=30)
+    p.add_argument("--media", default="media", help="folder of downloaded media")
+    p = command("extract", "items", "media")
+    p.add_argument("--reader", required=True, help="module:function of (bytes, most pages), giving the pages' texts")
+    p.add_argument("--max-pages", type=int, default=2)
+    p.add_argument("--force", action="store_true")
+    p.add_argument("--channel")
+    p.add_argument("--limit", type=int)
+    p = command("score", "items")
+    p.add_argument("--scorer", required=True, help="module:function of a prompt, or of a list of texts for --kind classifier")
+    p.add_argument("--kind", choices=["rubric", "classifier", "legacy"], default="rubric")
+    p.add_argument("--scores", help="what has been scored so far")
+    p.add_argument("--rubric-version")
+    p.add_argument("--model", default="external")
+    p.add_argument("--date")
+    p.add_argument("--since")
+    p.add_argument("--channel")
+    p.add_argument("--limit", type=int)
+    p.add_argument("--force", "--redo", action="store_true", help="also what has been scored before")
     return out
 
 
+def named_function(name: str) -> Callable:
+    """A function of the caller's; its module goes to the executors with it, as they need not have it."""
+    module, _, function = name.partition(":")
+    found = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(found)
+    return getattr(found, function)
+
+
 def emit(df: DataFrame, label: str, out: str | None) -> None:
     if out:
         print(f"[{label}] wrote {tables.write_csv(df, out, None)}")
@@ -149,6 +183,68 @@ def run_report(spark: SparkSession, a: argparse.Namespace) -> None:
     report.write_page(datasets, [a.out or "report.html"])
 
 
+def emit_table(df: DataFrame, label: str, out: str | None) -> None:
+    """A whole table as Parquet, or its size if nothing is to be written."""
+    if out:
+        df.write.parquet(out)
+        print(f"[{label}] wrote {out}")
+    else:
+        print(f"=== {label}: {df.count()} rows ===")
+
+
+def run_collect(spark: SparkSession, a: argparse.Namespace) -> None:
+    """New messages become items; what was collected before stays."""
+    items = tables.read_items(spark, a.items) if a.items else spark.createDataFrame([], ITEMS)
+    messages = spark.read.parquet(a.messages)
+    if a.channels:
+        messages = messages.join(tables.load_channels(spark, a.channels).withColumnRenamed("chat_name", "__name"), "chat_id")
+        messages = messages.withColumn("chat_name", F.col("__name")).drop("__name")
+    new = tables.new_messages(messages, items, backfill_days=a.backfill_days)
+    has_media = F.coalesce("has_photo", F.lit(False)) | F.coalesce("has_document", F.lit(False))
+    name = F.col("file_name") if "file_name" in new.columns else F.lit(None).cast("string")
+    url = T.first_url(F.col("text"))
+    new = new.withColumn("file_name", name).withColumns({"file_path": F.when(has_media, tables.media_path(a.media)), "url": url, "type": T.item_type(F.col("has_photo"), F.col("has_document"), url)})
+    new = stored(conform(new, ITEMS), "collected")
+    emit(new.groupBy("chat_id", "type").agg(F.count("*").alias("n")).orderBy("chat_id", "type"), "collected", None)
+    emit_table(tables.upsert_items(items, new), "items", a.out)
+
+
+def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Texts of downloaded documents; a file is found by channel, month and name, and an empty one counts as missing."""
+    items = tables.read_items(spark, a.items)
+    pending = tables.pending_media(items, force=a.force, channel=a.channel, limit=a.limit)
+    place = lambda path: F.array_join(F.slice(F.split(path, "/"), -3, 3), "/")
+    found = tables.pdf_texts(spark, f"{a.media}/*/*/*", named_function(a.reader), a.max_pages).select(place(F.col("path")).alias("place"), F.col("text").alias("found"), F.lit(True).alias("exists"))
+    joined = pending.withColumn("place", F.when(F.size(F.split("file_path", "/")) >= 3, place(F.col("file_path")))).join(found, "place", "left")
+    status = T.extract_status(F.col("file_path"), F.col("exists"), F.col("type"), F.col("found"))
+    done = stored(joined.select(*ITEM_KEY, F.when(status.isin("ok", "scanned"), F.col("found")).alias("extracted_text"), status.alias("extract_status")), "extracted")
+    emit(done.groupBy("extract_status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extract_status"), "extracted", None)
+    emit_table(tables.update_extractions(items, done), "items", a.out)
+
+
+def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Items not scored yet go to the scorer; the scores (for ``legacy`` the items) with the new ones taken in come out."""
+    items, scorer = tables.read_items(spark, a.items), named_function(a.scorer)
+    version = a.rubric_version or (CLASSIFIER_RUBRIC if a.kind == "classifier" else RUBRIC)
+    scores = tables.read_scores(spark, a.scores) if a.scores else scoring.no_scores(spark)
+    if a.kind == "legacy":
+        old = tables.reset_summaries(items, a.date) if a.force else items
+        days = S.unscored_days(old).filter(F.col("day") == a.date) if a.date else S.unscored_days(old)
+        waiting = old.filter("text is not null").join(days, F.substring("date", 1, 10) == F.col("day"), "left_semi")
+        new = stored(scoring.legacy_scores(waiting, scoring.parse_legacy(scoring.ask(scoring.prompts(waiting), scorer))), "scored")
+        emit(new.groupBy("scope").agg(F.count("*").alias("n")).orderBy("scope"), "scored", None)
+        emit_table(tables.update_summaries(old, new), "items", a.out)
+        return
+    waiting = S.unscored(items, scores, version, force=a.force, on=a.date, since=a.since, channel=a.channel, limit=a.limit)
+    if a.kind == "classifier":
+        new = scoring.classify(waiting, scorer, version, a.model)
+    else:
+        new = scoring.parse_responses(scoring.ask(scoring.prompts(waiting, rubric.instruction()), scorer), version, a.model)
+    new = stored(new, "scored")
+    emit(new.groupBy("direction").agg(F.count("*").alias("n")).orderBy("direction"), "scored", None)
+    emit_table(tables.upsert_scores(scores, new), "scores", a.out)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = build_session()
@@ -157,7 +253,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif a.command == "pending":
         emit(tables.pending_media(tables.read_items(spark, a.items), force=a.force, channel=a.channel, limit=a.limit), "pending", a.out)
     else:
-        {"index": run_index, "dedupe": run_dedupe, "validate": run_validate, "calibration": run_calibration, "market": run_market, "report": run_report}[a.command](spark, a)
+        {"index": run_index, "dedupe": run_dedupe, "validate": run_validate, "calibration": run_calibration, "market": run_market, "report": run_report, "collect": run_collect, "extract": run_extract, "score": run_score}[a.command](spark, a)
 
 
 if __name__ == "__main__":

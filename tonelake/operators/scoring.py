@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.functions.text import item_key, scoring_input
@@ -111,6 +111,11 @@ def classify(items: DataFrame, model: Callable[[list[str]], list[tuple[str, floa
     return classifier_rows(out, rubric, name)
 
 
+def no_scores(spark: SparkSession) -> DataFrame:
+    """An empty table of scores."""
+    return spark.createDataFrame([], SCORES)
+
+
 def classifier_rows(found: DataFrame, rubric: str = CLASSIFIER_RUBRIC, name: str = "classifier") -> DataFrame:
     """Labels and confidences as score rows."""
     out = found.withColumns({

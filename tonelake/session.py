@@ -17,15 +17,21 @@ def build_session(app: str = "tonelake", master: str | None = None, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the setting is absent (a plain local session) is a local folder made for it.
-    """
+    Where the setting is absent, a local session gets one temporary folder for all; on a cluster that is an error, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tonelake-")
-        spark.sparkContext.setCheckpointDir(base)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        base = _local.get(app) or tempfile.mkdtemp(prefix="tonelake-")
+        _local[app] = base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
