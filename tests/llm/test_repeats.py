@@ -8,7 +8,7 @@ from oracle import SF_SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tonelake.llm import queries, repeats
+from tonelake.llm import common, queries, repeats
 from tonelake.llm.suffix_sort import repeated, suffix_array
 
 
@@ -67,15 +67,28 @@ def made(seed):
     return rows + [(32, "dup " * 60 + "end"), (32, "dup " * 60 + "end")]
 
 
-@pytest.mark.parametrize("most", [2000, 1])
-def test_like_brute_force(docs, monkeypatch, most):
-    monkeypatch.setattr(repeats.repeated_ranges, "__defaults__", (most,))
+@pytest.mark.parametrize(("hot", "depth", "together"), [(2000, 6, 2000), (1, 6, 2000), (1, 1, 2), (2, 3, 1)])
+def test_like_brute_force(docs, monkeypatch, hot, depth, together):
+    monkeypatch.setattr(repeats.repeated_ranges, "__defaults__", (hot,))
+    monkeypatch.setattr(repeats, "DEPTH", depth)
+    monkeypatch.setattr(repeats, "CUT_TOGETHER", together)
     rows = made(1)
     assert result(repeats.remove_repeats(docs(rows), length=200)) == brute(rows, 200)
 
 
+def test_a_hot_passage_in_different_surroundings(docs, monkeypatch):
+    """Passages of all lengths around one core, one of them of a short period, cut again and again."""
+    monkeypatch.setattr(repeats.repeated_ranges, "__defaults__", (3,))
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdef gh") for _ in range(n))
+    core, period = prose(420), "xyz" * 150
+    rows = [(i, prose(rng.randint(0, 90)) + core[rng.randint(0, 150) : len(core) - rng.randint(0, 150)] + prose(rng.randint(0, 90))) for i in range(25)]
+    rows += [(100 + i, prose(40) + period[rng.randint(0, 9) : len(period) - rng.randint(0, 200)] + prose(40)) for i in range(12)]
+    assert result(repeats.remove_repeats(docs(rows), length=200)) == brute(rows, 200)
+
+
 def test_joins_without_broadcast_and_parts(docs, monkeypatch):
-    monkeypatch.setattr(repeats._sent, "__defaults__", (0,))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(repeats, "PART_BYTES", 300)  # documents are cut into parts
     rows = made(2)
     assert result(repeats.remove_repeats(docs(rows), length=200)) == brute(rows, 200)

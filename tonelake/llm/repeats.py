@@ -12,13 +12,15 @@ anchor form one context, the bytes that they span.
 3. Contexts equal as a whole are counted, and all their windows are repeated if there are two or more.
 4. Where one anchor has different contexts, one representative of each is fetched, and the contexts of an anchor are put into one suffix array
    (two-stage sorting); a window is repeated if its suffix has a common prefix of ``length`` with a neighbour. Contexts are kept
-   in whole anchor groups, of many anchors at a time. Groups of more than ``MOST_CONTEXTS`` are not gathered: their windows are counted
-   one by one by hash instead.
-5. Ranges are gathered by document and taken out.
+   in whole anchor groups, of many anchors at a time.
+5. An anchor with more than ``HOT`` different contexts is not gathered at once. Its contexts are cut again, by the next smallest hash in each window, and
+   go through steps 3 to 5 under both hashes: equal windows agree in the next hash too, while what surrounds a common passage goes apart.
+   After ``DEPTH`` cuts, or where a window has no further hash (text of one short period), a group is sorted whatever its size.
+6. Ranges are gathered by document and taken out.
 
 Defined results: null text counts as empty; documents shorter than ``length`` lose nothing. Repeated rows (same id and text) are two documents and
 remove each other. Rows are told apart by id and text: an id may stand on different texts, and rows without an id take part and come back without one. Empty tables give
-empty results; other columns are ignored. The bytes left need not be valid UTF-8, so they are given as bytes.
+empty results; other columns are ignored, whatever their names. Very long texts are cut into overlapping parts for hashing. The bytes left need not be valid UTF-8, so they are given as bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import addressed, map_texts, shuffle_partitions, sliced, stored
+from .common import addressed, give_back, map_texts, sent, shuffle_partitions, sliced, stored
 from .shingles import mix, powers
 from .suffix_sort import repeated, words
 
@@ -39,10 +41,11 @@ GRAM = 48
 #: Bytes hashed together; longer documents are cut into overlapping parts, which changes contexts but no result.
 PART_BYTES = 1_000_000
 POSITION = np.uint64(2**21 - 1)
-#: Bytes in one suffix array, about, and contexts of one anchor beyond which its windows are counted by hash.
-ARRAY_BYTES, MOST_CONTEXTS = 1_500_000, 2000
-#: Tables up to this many rows are sent to all tasks instead of shuffling the larger side.
-BROADCAST_ROWS = 1_000_000
+#: Bytes in one suffix array, about; contexts of one anchor beyond which they are cut again, and how often at most.
+ARRAY_BYTES, HOT, DEPTH = 1_500_000, 2000, 6
+#: Contexts cut again together.
+CUT_TOGETHER = 2000
+NONE = np.uint64(2**64 - 1)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 2**64)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -65,14 +68,17 @@ def sliding_minimum(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - step)], v[width - step :]) if step < width else v
 
 
-def contexts(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(part, anchor hash, context hash, first window, last window) of all contexts; each part has at least ``length`` bytes."""
+def contexts(parts: list[bytes], length: int, used: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(part, anchor hash, context hash, first window, last window) of all contexts; each part has at least ``length`` bytes. Hashes already ``used`` are no
+    anchors; a window that has no other gets NONE."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
     starts = ends - sizes
     word = words(data)
     grams = gram_hashes(word)
+    if used:
+        grams = np.where(np.isin(grams, np.array(used, np.int64).view(np.uint64)), NONE, grams)
     low = sliding_minimum((grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
     windows = np.ones(len(low), np.int8)  # windows that cross documents don't count
     for e in ends[:-1]:
@@ -168,39 +174,72 @@ def sorted_ranges(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInPandas(run, "doc bigint, spot bigint, lo int, hi int")
 
 
-def hashed_ranges(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: each window counted by two hashes, nothing gathered."""
-    each = rows.select("doc", "spot", "lo", "n", F.posexplode(F.sequence(F.lit(1), F.octet_length("context") - length + 1)).alias("i", "start"), "context")
-    window = each.select("doc", "spot", "n", (F.col("lo") + F.col("i")).alias("lo"), F.substring("context", F.col("start"), F.lit(length)).alias("w"))
-    window = window.select("doc", "spot", "n", "lo", F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("g"))
-    often = window.groupBy("h", "g").agg(F.sum("n").alias("times")).filter("times > 1")
-    return window.filter("n = 1").join(often, ["h", "g"]).select("doc", "spot", "lo", F.col("lo").alias("hi"))
+def cut_again(rows: DataFrame, length: int) -> DataFrame:
+    """Contexts (path, n, doc, spot, lo, context) cut by the next hash: path, digest, n, doc, spot, lo, hi, context. ``path``: the hashes used so far."""
 
-
-def _sent(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def repeated_ranges(docs: DataFrame, length: int, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, group in frame.groupby(frame["path"].map(tuple), sort=False):
+                raw = [bytes(c) for c in group["context"]]
+                for a in range(0, len(raw), CUT_TOGETHER):
+                    some = raw[a : a + CUT_TOGETHER]
+                    part, key, digest, lo, hi = contexts(some, length, path)
+                    own = group.iloc[a : a + CUT_TOGETHER].iloc[part]
+                    pieces = [some[k][x : y + length] for k, x, y in zip(part.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                    first = own["lo"].to_numpy()
+                    yield pd.DataFrame({"path": [[*path, k] for k in key.view(np.int64).tolist()], "digest": digest.view(np.int64), "n": own["n"].to_numpy(), "doc": own["doc"].to_numpy(), "spot": own["spot"].to_numpy(), "lo": (first + lo).astype(np.int32), "hi": (first + hi).astype(np.int32), "context": pieces})
+        give_back()
+
+    return rows.mapInPandas(run, "path array<bigint>, digest bigint, n bigint, doc bigint, spot bigint, lo int, hi int, context binary")
+
+
+def within_groups(rows: DataFrame, length: int, hot: int, any_hot: bool) -> DataFrame:
+    """(doc, spot, lo, hi): ranges of repeated windows of contexts seen once. ``rows``: path, many (contexts of that path), n, doc, spot, lo, context."""
+    n = shuffle_partitions(rows.sparkSession)
+
+    def in_arrays(few: DataFrame) -> DataFrame:
+        few = few.select(F.xxhash64("path").alias("key"), "doc", "spot", "lo", "n", "context")
+        return sorted_ranges(few.repartition(n, "key").sortWithinPartitions("key", "doc", "spot", "lo"), length)
+
+    found = in_arrays(rows.filter(F.col("many") <= hot))
+    if not any_hot:
+        return found
+    rows = stored(rows.filter(F.col("many") > hot).drop("many"), "hot")
+    for depth in range(DEPTH):
+        if rows.isEmpty():
+            return found
+        spread = rows.repartition(n, F.xxhash64("doc", "spot", "lo"))
+        cut = stored(cut_again(spread, length).withColumn("key", F.xxhash64("path")), "cut")
+        classes = cut.groupBy("key", "digest").agg(F.sum("n").alias("times"), F.min(F.struct("doc", "spot", "lo", "hi")).alias("one"))
+        classes = stored(classes, "classes")
+        equal = sent(stored(classes.filter("times > 1").select("key", "digest"), "equal"))
+        found = found.unionByName(cut.filter("n = 1").join(equal, ["key", "digest"]).select("doc", "spot", "lo", "hi"))
+        mixed = sent(stored(classes.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "mixed"))
+        wanted = sent(stored(classes.join(mixed, "key").select("key", "digest", "times", "many", "one.*"), "wanted"))
+        reps = cut.join(wanted, ["key", "digest", "doc", "spot", "lo", "hi"]).select("path", "many", F.col("times").alias("n"), "doc", "spot", "lo", "context")
+        final = (F.col("many") <= hot) | (F.element_at("path", -1) == -1) | F.lit(depth == DEPTH - 1)
+        reps = stored(reps.withColumn("final", final), "reps")
+        found = found.unionByName(in_arrays(reps.filter("final")))
+        rows = reps.filter("not final").drop("many", "final")
+    return found
+
+
+def repeated_ranges(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """(doc, spot, lo, hi): ranges of first bytes of repeated strings; ``docs``: doc, spot, text."""
     anchors = stored(anchored(docs, length), "anchors")
     seen = stored(anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
-    found = stored(anchors.join(_sent(seen), "key", "left_semi"), "found")
+    found = stored(anchors.join(sent(seen), "key", "left_semi"), "found")
     classes = found.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "spot", "lo", "hi")).alias("one"))
     classes = stored(classes.select("key", "digest", "n", "one.*"), "classes")
     equal = stored(classes.filter("n > 1").select("key", "digest"), "equal")
-    whole = found.join(_sent(equal), ["key", "digest"]).select("doc", "spot", "lo", "hi")
+    whole = found.join(sent(equal), ["key", "digest"]).select("doc", "spot", "lo", "hi")
     mixed = stored(classes.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "mixed")
-    wanted = classes.join(_sent(mixed), "key").select("key", "n", "many", "doc", "spot", "lo", "hi")
-    wanted = stored(wanted, "wanted")
+    wanted = stored(classes.join(sent(mixed), "key").select("key", "n", "many", "doc", "spot", "lo", "hi"), "wanted")
     slim = F.encode(F.col("text"), "utf-8")
     span = F.substring(slim, F.col("lo") + 1, F.col("hi") - F.col("lo") + length)
-    sent = docs.join(_sent(wanted), ["doc", "spot"]).select("key", "n", "many", "doc", "spot", "lo", span.alias("context"))
-    few = sent.filter(F.col("many") <= most_contexts).select("key", "doc", "spot", "lo", "n", "context")
-    few = few.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc", "spot", "lo")
-    many = sent.filter(F.col("many") > most_contexts)
-    return whole.unionByName(sorted_ranges(few, length)).unionByName(hashed_ranges(many, length))
+    rows = docs.join(sent(wanted), ["doc", "spot"]).select(F.array("key").alias("path"), "many", "n", "doc", "spot", "lo", span.alias("context"))
+    any_hot = not wanted.filter(F.col("many") > hot).isEmpty()
+    return whole.unionByName(within_groups(rows, length, hot, any_hot))
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_bytes: bool = True) -> DataFrame:
