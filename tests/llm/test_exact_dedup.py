@@ -59,3 +59,10 @@ def test_query(spark):
     from oracle import connect, spark_rows, sql_rows
 
     assert spark_rows(queries.op1_exact_dedup(spark, SF)) == sql_rows(connect(SF), queries.OP1_SQL)
+
+
+def test_very_long_texts(docs):
+    long = "a" * 300_000
+    rows = [(1, long), (2, long + "b"), (3, long), (4, long[:-1])]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs(rows)).collect()}
+    assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}

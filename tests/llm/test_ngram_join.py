@@ -226,3 +226,9 @@ def test_smallest_partners_across_batches(spark, batch):
             least[ids[0], i] += len(ids) > 2 or fits
     assert all(least[k] <= got[k] <= most[k] for k in most) and set(got) <= set(most)
     assert batch < 10_000 or got == +least
+
+
+def test_very_long_texts(docs):
+    words = [f"w{k * k % 9973}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3000])), (3, " ".join(words[:30_000])), (4, "q" * 200_000), (5, "q" * 200_000 + " x")]
+    assert result(ngram_join.jaccard_components(docs(rows), width=4, percent=85)) == brute(rows, 4, 85)

@@ -83,3 +83,12 @@ def test_queries(spark):
     assert len(counts) == len(coded) == len(docs)
     assert all(r.n_tokens == len(bpe.encode(docs[r.doc_id], add_special_tokens=False).ids) for r in counts)
     assert all(r.ids_sha256 == hashlib.sha256(np.array(lib.encode(docs[r.doc_id], add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest() for r in coded)
+
+
+def test_long_words_in_pieces():
+    """A word of very many letters, equal to the library."""
+    coder, rng = pieces.PieceCoder(PIECES), random.Random(3)
+    for text in ("".join(rng.choices("etaoinshrdlu", k=200_000)), "a" * 100_000, "é" * 50_000):
+        began = time.process_time()
+        assert coder.encode(text) == coder.library.encode(text, add_bos=True, add_eos=True)
+        assert time.process_time() - began < 30

@@ -51,3 +51,15 @@ def test_query(spark):
     from oracle import connect, spark_rows, sql_rows
 
     assert spark_rows(queries.op4_url_rules(spark, SF)) == sql_rows(connect(SF), queries.OP4_SQL)
+
+
+def test_clashing_columns_empty_table_and_long_urls(spark):
+    names = "page_id bigint, url string, id string, host int, path string, rule string, verdict string, key string, bucket int, is_rule int"
+    long = "http://a.org/" + "x" * 300_000
+    urls = [(1, "http://a.org/p/q"), (2, long), (None, "http://a.org/p"), (3, None)]
+    df = spark.createDataFrame([(i, u, "i", 1, "p", "r", "v", "k", 2, 3) for i, u in urls], names)
+    rules = url_rules.rule_frame(df, [("block", "a.org", "/p"), ("allow", "a.org", "/p/"), ("allow", "a.org", "/p"), ("block", "org", "/x"), *[("allow", "a.org", f"/z{k}") for k in range(300)]])
+    out = url_rules.judge(df, rules, default="none")
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert {(r.page_id, r.rule, r.verdict) for r in out.collect()} == {(1, "a.org/p/", "allow"), (2, "org/x", "block"), (None, "a.org/p", "block"), (3, None, "none")}
+    assert url_rules.judge(df.limit(0), rules).count() == 0

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 from .ranges import bucket_of, sampled_splitters
 
-#: Leading characters in the sort key; the content hash behind them keeps equal texts together, whatever their length.
+#: Leading characters in the sort key; the content hash behind them keeps equal texts together, whatever their length. So texts are in the order of their
+#: leading characters, and those that share them in the order of the hash.
 LEAD = 24
 
 

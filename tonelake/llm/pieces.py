@@ -11,7 +11,8 @@ and each distinct word's ids are kept in a bounded memo. In every Arrow batch ``
 by the sentencepiece library; a difference fails the task instead of passing wrong ids on.
 
 Defined results: null and empty texts give begin and end ids alone and decode to the empty text. Repeated rows
-are encoded each, an empty table gives an empty result, other columns are ignored.
+are encoded each, an empty table gives an empty result, other columns are ignored, whatever their names. Very long texts are encoded whole, word by word; a
+word of any length goes through one agenda, in time about proportional to its length.
 """
 
 from __future__ import annotations

@@ -4,12 +4,13 @@ A url's key is its host's labels in reverse, each closed by a full stop, then it
 subdomains is then the interval of keys that begin with the rule's reversed host. Urls and rules are cut into the same
 key ranges by sampled splitters; a rule goes to each range that its interval meets. In a range both are sorted and swept
 once: a rule is pushed when its interval begins and popped when a key lies beyond it, so the stack holds the nested rules
-of the current host, and the path part of each is tested against the url.
+of the current host, and the longest path of each host's rules is looked up for the url.
 
 Defined results: the host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the
 path goes on up to ``?``, ``#`` or the end. Null urls and urls without ``://`` have an empty host and path, to which no rule
 with a host fits. Of the rules that fit, the longest (host and path together) wins, then the one with the longer host, then
-``block``. Repeated rows are judged each; without rules all urls get the default verdict.
+``block``. Repeated rows are judged each; without rules all urls get the default verdict. Urls of any length are taken whole. Rows without an id are judged
+like others and come back without one. An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,31 +42,45 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+class HostRules:
+    """The rules of one host: by path, and the lengths of the paths, longest first. Looking up costs the number of different lengths."""
+
+    def __init__(self, reversed_name: str):
+        self.reversed_name = reversed_name
+        self.by_path: dict[str, tuple[str, str]] = {}  # rule and verdict; block before allow
+        self.lengths: list[int] = []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if path not in self.by_path or verdict > self.by_path[path][1]:
+            self.by_path[path] = (rule, verdict)
+            if len(path) not in self.lengths:
+                self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        return next((self.by_path[path[:n]] for n in self.lengths if n <= len(path) and path[:n] in self.by_path), None)
+
+
 def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one range in key order, rules before the urls that they may fit; the stack outlives Arrow batches."""
-    stack: list[tuple[str, list[tuple[str, str, str]]]] = []  # reversed host, its rules' (path, rule, verdict)
+    stack: list[HostRules] = []
     for frame in frames:
         ids, rules, verdicts = [], [], []
         hosts, paths = [], []
         for key, is_rule, ident, host, path, rule, verdict in zip(*[frame[c].tolist() for c in ("key", "is_rule", "id", "host", "path", "rule", "verdict")], strict=True):
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].reversed_name):
                 stack.pop()
             if is_rule:
-                if stack and stack[-1][0] == key:
-                    stack[-1][1].append((path, rule, verdict))
-                else:
-                    stack.append((key, [(path, rule, verdict)]))
+                if not stack or stack[-1].reversed_name != key:
+                    stack.append(HostRules(key))
+                stack[-1].add(path, rule, verdict)
                 continue
-            best = None
-            for prefix, active in stack:
-                for start, name, says in active:
-                    if path.startswith(start) and (best is None or (len(name), len(prefix), says) > best[0]):
-                        best = (len(name), len(prefix), says), name
+            fits = [(len(found[0]), len(active.reversed_name), found[1], found[0]) for active in stack if (found := active.longest(path))]
+            best = max(fits, default=None)
             ids.append(ident)
             hosts.append(host)
             paths.append(path)
-            rules.append(best and best[1])
-            verdicts.append(best and best[0][2])
+            rules.append(best and best[3])
+            verdicts.append(best and best[2])
         if ids:
             yield pd.DataFrame({"id": ids, "host": hosts, "path": paths, "rule": rules, "verdict": verdicts})
 
