@@ -8,8 +8,11 @@ column that tells equal rows apart, so one value that fills a third of the table
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Sampled keys for each bucket: they only balance the buckets, any splitters give the same result.
 SAMPLES_PER_BUCKET = 40
@@ -33,12 +36,13 @@ def sampled_splitters(df: DataFrame, key: Column, row_id: Column, buckets: int)
 
 
 def bucket_of(key: Column, splitters: list, df: DataFrame) -> Column:
-    """How many splitters are at or below the key: a binary search, so a row costs the logarithm of their number."""
+    """How many splitters are at or below the key: a binary search, so a row costs the logarithm of their number.
+
+    They stand in the plan as one text, which is read once, when the plan is optimised; as expressions of their own a thousand would take it half a minute."""
     if not splitters:
         return F.lit(0)
     kind = df.select(key.alias("k")).schema["k"].dataType
-    names = kind.names
-    literal = F.array(*[F.struct(*[F.lit(s[n]).cast(kind[n].dataType).alias(n) for n in names]) for s in splitters])
+    literal = F.from_json(F.lit(json.dumps([s.asDict() for s in splitters])), ArrayType(kind))
     n = len(splitters)
     steps = [2**i for i in reversed(range(n.bit_length()))]
 
