@@ -1,5 +1,7 @@
 """Where intermediate tables go."""
 
+import os
+
 import pytest
 
 from tonelake import session
@@ -40,3 +42,12 @@ def test_spread(spark):
     assert session.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100, numPartitions=50)
     assert session.spread(many) is many
+
+
+def test_release(spark):
+    rows = session.stored(spark.range(3), "kept")
+    folder = rows.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert rows.count() == 3 and os.path.isdir(folder)
+    assert session.release(spark) >= 1 and not os.path.exists(folder)
+    assert session.release(spark) == 0
+    assert session.stored(spark.range(2), "again").count() == 2

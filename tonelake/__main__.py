@@ -18,7 +18,7 @@ from tonelake.functions import text as T
 from tonelake.operators import calibration, dedupe, market, report, rubric, scoring, toneindex, validation
 from tonelake.operators import scores as S
 from tonelake.schemas import CLASSIFIER_RUBRIC, ITEM_KEY, ITEMS, LEVELS, METHODS, RUBRIC, conform
-from tonelake.session import build_session, stored
+from tonelake.session import build_session, release, stored
 from tonelake.sources import tables
 
 
@@ -248,12 +248,15 @@ def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(argv: Sequence[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = build_session()
-    if a.command == "migrate":
-        emit(S.migrate_legacy(tables.read_items(spark, a.items)), "migrated", a.out)
-    elif a.command == "pending":
-        emit(tables.pending_media(tables.read_items(spark, a.items), force=a.force, channel=a.channel, limit=a.limit), "pending", a.out)
-    else:
-        {"index": run_index, "dedupe": run_dedupe, "validate": run_validate, "calibration": run_calibration, "market": run_market, "report": run_report, "collect": run_collect, "extract": run_extract, "score": run_score}[a.command](spark, a)
+    try:
+        if a.command == "migrate":
+            emit(S.migrate_legacy(tables.read_items(spark, a.items)), "migrated", a.out)
+        elif a.command == "pending":
+            emit(tables.pending_media(tables.read_items(spark, a.items), force=a.force, channel=a.channel, limit=a.limit), "pending", a.out)
+        else:
+            {"index": run_index, "dedupe": run_dedupe, "validate": run_validate, "calibration": run_calibration, "market": run_market, "report": run_report, "collect": run_collect, "extract": run_extract, "score": run_score}[a.command](spark, a)
+    finally:
+        release(spark)  # results are written or shown by now
 
 
 if __name__ == "__main__":

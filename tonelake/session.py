@@ -18,6 +18,8 @@ def build_session(app: str = "tonelake", master: str | None = None, **conf: str)
 
 
 _local: dict[str, str] = {}
+#: Folders handed out, by application.
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -25,14 +27,27 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
     Where the setting is absent, a local session gets one temporary folder for all; on a cluster that is an error, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
         base = _local.get(app) or tempfile.mkdtemp(prefix="tonelake-")
         _local[app] = base
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(app, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes this application's intermediate tables, and says how many folders were there. For use when results have been written or shown: a frame that has
+    not been computed yet may still read them."""
+    context = spark.sparkContext
+    removed = 0
+    for name in _made.pop(context.applicationId, []):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        removed += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def spread(df: DataFrame) -> DataFrame:
