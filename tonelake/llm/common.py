@@ -19,6 +19,8 @@ from tonelake.session import shared_dir, stored  # noqa: F401  the operators tak
 
 #: Tables of ids up to this many rows are sent to all tasks instead of shuffling the larger side.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of one Arrow batch on its way to a Python worker: the setting, Spark's own value, and the one used instead.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 * 2**20
 #: Texts handled together inside one Arrow batch, in characters; bounds the Python worker's memory.
 SLICE_CHARS = 1_500_000
 
@@ -40,6 +42,12 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes as well as rows: executors and workers each hold some copies of one, outside the heap. A bound set by the user stays."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -108,6 +116,7 @@ def cut_batch(batch: pa.RecordBatch, column: int | str) -> Iterator[pa.RecordBat
 def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, column: str = "text") -> DataFrame:
     """``mapInPandas`` whose frames hold a bounded amount of text each: a batch becomes Python strings a slice at a time."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in run(part.to_pandas() for batch in batches for part in cut_batch(batch, column)):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_batch, give_back, map_texts, sliced
+from .common import cut_batch, give_back, map_texts, sliced, small_batches
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -88,7 +88,7 @@ class Profiles:
         row = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
         codes, at = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.int64), return_inverse=True)
         out = np.zeros((len(texts), self.letters.shape[1]), np.float32)
-        step = 4096  # n-grams in one product, so that its matrices stay small
+        step = 2048  # n-grams in one product, so that its matrices stay small
         for a in range(0, len(codes), step):
             here = (at >= a) & (at < a + step)
             width = min(step, len(codes) - a)
@@ -172,6 +172,7 @@ def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col:
     langs, matrix = stacked(prototypes)
     at, where = docs.columns.index(text_col), docs.columns.index(lang_col)
     arrow = to_arrow_schema(docs.schema)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles()
