@@ -1,6 +1,6 @@
 """Exact deduplication by content sort, in DataFrame operations alone.
 
-Sampled splitters cut the order (leading bytes, content hash, id) into even ranges; one exchange takes each row with its
+Sampled splitters cut the order (leading bytes, SHA-256, id) into even ranges; one exchange takes each row with its
 text to its range, where Spark's external sort places equal texts side by side. A row is then compared in full with the
 row before it. A run of equals that crosses ranges is put together from one small row for each range, so neither a
 second exchange of texts nor a task with all copies of one text is needed.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 from .ranges import bucket_of, sampled_splitters
 
-#: Leading characters in the sort key; the content hash behind them keeps equal texts together, whatever their length. So texts are in the order of their
-#: leading characters, and those that share them in the order of the hash.
+#: Leading characters in the sort key; the SHA-256 behind them keeps equal texts together, whatever their length, and no text of another content comes between
+#: them. So texts are in the order of their leading characters, and those that share them in the order of the digest.
 LEAD = 24
 
 
@@ -36,17 +36,17 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # Ids ascend in the order that puts the row to be kept first; a missing id comes last.
     whole = F.col("id").cast("bigint")
     place = F.coalesce(F.bitwise_not(whole) if keep == "largest" else whole, F.lit(2**63 - 1))
-    rows = rows.withColumn("lead", F.substring("text", 1, LEAD)).withColumn("h", F.xxhash64("text")).withColumn("place", place)
-    key = F.struct("lead", "h", "place")
+    rows = rows.withColumn("lead", F.substring("text", 1, LEAD)).withColumn("sha", F.sha2("text", 256)).withColumn("place", place)
+    key = F.struct("lead", "sha", "place")
     n = buckets or shuffle_partitions(spark)
     splitters = sampled_splitters(rows, key, F.col("id"), n)
     dealt = rows.withColumn("bucket", bucket_of(key, splitters, rows)).repartitionById(len(splitters) + 1, F.col("bucket"))
-    order = Window.partitionBy("bucket").orderBy("lead", "h", "text", "place")
+    order = Window.partitionBy("bucket").orderBy("lead", "sha", "text", "place")
     fresh = F.coalesce(F.col("text") != F.lag("text").over(order), F.lit(True))
-    marked = dealt.withColumn("fresh", fresh).withColumn("sha", F.sha2("text", 256))
-    slim = marked.select("bucket", "lead", "h", "text", "place", "id", "fresh", "sha", *(["row"] if carry else []))
+    marked = dealt.withColumn("fresh", fresh)
+    slim = marked.select("bucket", "lead", "sha", "text", "place", "id", "fresh", *(["row"] if carry else []))
     nth = F.sum(F.col("fresh").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = slim.withColumn("run", nth).withColumn("first", F.row_number().over(order)).drop("text", "lead", "h")
+    runs = slim.withColumn("run", nth).withColumn("first", F.row_number().over(order)).drop("text", "lead")
     in_run = Window.partitionBy("bucket", "run")
     runs = runs.withColumn("size", F.count("*").over(in_run)).withColumn("head", F.min(F.struct("first", "id")).over(in_run))
     # Written once (without texts, unless rows are carried): the ends of the ranges and the rows both come from it.
