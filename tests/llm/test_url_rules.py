@@ -63,3 +63,14 @@ def test_clashing_columns_empty_table_and_long_urls(spark):
     assert out.columns == ["page_id", "host", "path", "rule", "verdict"]
     assert {(r.page_id, r.rule, r.verdict) for r in out.collect()} == {(1, "a.org/p/", "allow"), (2, "org/x", "block"), (None, "a.org/p", "block"), (3, None, "none")}
     assert url_rules.judge(df.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "30"])
+def test_labels_that_sort_last(spark, parts):
+    urls = [f"http://\U0010ffff{mark}{k}.com/de/x" for k in range(20) for mark in ("", "\U0010ffff")] + ["http://com/de/", "http://com.com/de/"]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = run(spark, urls, queries.URL_RULES)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: brute(u, queries.URL_RULES) for i, u in enumerate(urls)} and {v[3] for v in got.values()} == {"block"}

@@ -26,8 +26,6 @@ from .ranges import bucket_of, sampled_splitters
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sorts after every character that a key continues with: the end of the interval of a prefix.
-LAST = "\U0010ffff"
 
 
 def host_of(url: Column) -> Column:
@@ -95,7 +93,8 @@ def judge(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col:
     known = rules.select(F.translate(F.coalesce("host", F.lit("")), CAPITALS, SMALL).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
     known = known.withColumn("rule", F.concat("host", "path")).withColumn("key", reversed_host(F.col("host")))
     least = F.struct(F.col("key").alias("k"), F.lit("").alias("p"), F.lit(-(2**63)).alias("i"))
-    most = F.struct(F.concat("key", F.lit(LAST)).alias("k"), F.lit("").alias("p"), F.lit(-(2**63)).alias("i"))
+    # Keys that begin with the rule's end before the byte after its last full stop, which no host holds.
+    most = F.struct(F.regexp_replace("key", r"\.$", "/").alias("k"), F.lit("").alias("p"), F.lit(-(2**63)).alias("i"))
     ranged = known.withColumn("bucket", F.explode(F.sequence(bucket_of(least, splitters, known), bucket_of(most, splitters, known))))
     columns = ["bucket", "key", "is_rule", "id", "host", "path", "rule", "verdict"]
     kind = urls.schema["id"].dataType
