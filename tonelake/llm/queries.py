@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, pieces, repeats, token_count, topk, url_rules, warc
+from . import exact_dedup, language_id, manifest, mixing, ngram_join, pieces, repeats, token_count, topk, url_rules, warc
 from .common import shared_dir, table
 
 #: Where the public vocabulary files lie; a parameter of the queries, never part of this repository.
@@ -79,6 +79,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, scale=1024)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(picked, manifest.lowered(F.col("text"))).otherwise(F.col("text"))
+    return manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], group_col="lang", changed={"text": tampered}).drop("path")
+
+
 OP1_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -154,10 +161,58 @@ WITH x AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, source, n_chars, text,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents
+), fields AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM rows
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS found FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), up AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lang, level, pos // 8, n
+), subroots AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, lang::BLOB) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), over AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY level, pos // 8, n
+), low_steps AS (
+  SELECT lang, level, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM up WHERE n > 1 WINDOW w AS (PARTITION BY lang, level, pos // 8 ORDER BY pos)
+), high_steps AS (
+  SELECT level, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM over WHERE n > 1 WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)
+), low_walk AS (
+  SELECT doc_id, lang, leaf, pos AS start, 0 AS level, pos, n, found AS node, '' AS seen FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.start, w.level + 1, w.pos // 8, (w.n + 7) // 8, sha256(s.l || w.node || s.r), w.seen || s.l || s.r
+  FROM low_walk w JOIN low_steps s ON w.lang IS NOT DISTINCT FROM s.lang AND w.level = s.level AND w.pos = s.pos
+), high_walk AS (
+  SELECT w.doc_id, w.lang, w.leaf, w.start, s.subroot, 0 AS level, s.pos, s.n, w.node, w.seen FROM low_walk w JOIN subroots s ON w.lang IS NOT DISTINCT FROM s.lang WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.start, w.subroot, w.level + 1, w.pos // 8, (w.n + 7) // 8, sha256(s.l || w.node || s.r), w.seen || s.l || s.r
+  FROM high_walk w JOIN high_steps s ON w.level = s.level AND w.pos = s.pos
+)
+SELECT w.doc_id, w.leaf, w.subroot, o.node AS root, sha256(w.seen) AS proof_sha256, w.node AS folded_root, w.node = o.node AS verified
+FROM high_walk w, over o WHERE w.n = 1 AND o.n = 1
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_ngram_join, op4_url_rules, op5_mixing, op6_language_id, op7_warc, op8_token_counts, op9_sentencepiece, op10_top_k)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_ngram_join, op4_url_rules, op5_mixing, op6_language_id, op7_warc, op8_token_counts, op9_sentencepiece, op10_top_k, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_url_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op7_warc": OP7_SQL, "op10_top_k": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_url_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op7_warc": OP7_SQL, "op10_top_k": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
