@@ -42,7 +42,7 @@ def bucket_of(key: Column, splitters: list, df: DataFrame) -> Column:
     if not splitters:
         return F.lit(0)
     kind = df.select(key.alias("k")).schema["k"].dataType
-    literal = F.from_json(F.lit(json.dumps([s.asDict() for s in splitters])), ArrayType(kind))
+    literal = F.from_json(F.lit(json.dumps([s.asDict(recursive=True) for s in splitters])), ArrayType(kind))
     n = len(splitters)
     steps = [2**i for i in reversed(range(n.bit_length()))]
 
