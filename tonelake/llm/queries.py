@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, manifest, mixing, ngram_join, pieces, repeats, token_count, topk, url_rules, warc
+from . import exact_dedup, language_id, manifest, mixing, ngram_join, pieces, repeats, token_count, topk, toxicity, url_rules, warc
 from .common import shared_dir, table
 
 #: Where the public vocabulary files lie; a parameter of the queries, never part of this repository.
@@ -86,6 +86,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], group_col="lang", changed={"text": tampered}).drop("path")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~language_id.held_out(F.col("id")))
+    scored = toxicity.scores(docs, models)
+    return scored.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP1_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -211,7 +218,7 @@ FROM high_walk w, over o WHERE w.n = 1 AND o.n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_ngram_join, op4_url_rules, op5_mixing, op6_language_id, op7_warc, op8_token_counts, op9_sentencepiece, op10_top_k, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_ngram_join, op4_url_rules, op5_mixing, op6_language_id, op7_warc, op8_token_counts, op9_sentencepiece, op10_top_k, op11_merkle_manifest, op12_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
