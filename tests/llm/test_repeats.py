@@ -121,3 +121,14 @@ def test_length_is_checked(docs):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert result(queries.op2_suffix_dedup(spark, SF_SMALL)) == brute(rows, 200)
+
+
+def test_contexts_whose_polynomial_hashes_fall_together(docs):
+    """Two texts that share no string of 200 bytes lose nothing, whatever sums modulo a power of two say."""
+    a, b = "--fixed-d2boxtjE", "--fixed-w5fOrBMA"
+    middle = "--fixed-................z0OoqTigH6U3CQRUQqzXsBT3D3UB MrIFISFRGoRRVmu4mgF++++++++"
+    first, second = "abbabaab", "baababba"
+    texts = ["".join({"a": a, "b": b}[c] for c in x) + middle + "".join({"a": a, "b": b}[c] for c in y) + "--fixed-========" for x, y in ((first, second), (second, first))]
+    rows = list(enumerate(texts))
+    assert len(texts[0]) == 352 and not {texts[0][i : i + 200] for i in range(153)} & {texts[1][i : i + 200] for i in range(153)}
+    assert result(repeats.remove_repeats(docs(rows), keep_bytes=False)) == brute(rows, 200)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import secrets
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -30,11 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def addressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def spot_of(ident: Column, text: Column, salt: str) -> Column:
+    """Tells rows of different id or text apart; ``salt`` is drawn once a run, so nobody can write two texts that it doesn't."""
+    return F.xxhash64(ident, F.sha2(F.concat(F.lit(salt), text), 256))
+
+
+def addressed(df: DataFrame, id_col: str, text_col: str, salt: str | None = None) -> DataFrame:
     """(doc, known, spot, text): ``doc`` is the id, 0 where there is none, and (doc, spot) tells rows of different id or text apart in every scan."""
     ident = df[id_col].cast("bigint")
     doc = F.coalesce(ident, F.lit(0).cast("bigint"))
-    return df.select(doc.alias("doc"), ident.isNotNull().alias("known"), F.xxhash64(ident, df[text_col]).alias("spot"), df[text_col].alias("text"))
+    spot = spot_of(ident, df[text_col], salt or new_salt())
+    return df.select(doc.alias("doc"), ident.isNotNull().alias("known"), spot.alias("spot"), df[text_col].alias("text"))
+
+
+def new_salt() -> str:
+    return secrets.token_hex(16)
 
 
 def sent(df: DataFrame) -> DataFrame:

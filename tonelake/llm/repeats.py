@@ -7,7 +7,7 @@ Suffixes have to meet to be compared, so each window of ``length`` bytes is file
 ``GRAM``-byte strings in the window the smallest, leftmost on ties. Equal windows have equal anchors. Windows in a row with the same
 anchor form one context, the bytes that they span.
 
-1. One pass over the texts gives a small row for each context: anchor hash, context hash, document, first and last window.
+1. One pass over the texts gives a small row for each context: anchor hash, 128-bit BLAKE2 digest of its bytes, document, first and last window.
 2. Anchors seen once are dropped, which leaves the repeated parts and chance matches.
 3. Contexts equal as a whole are counted, and all their windows are repeated if there are two or more.
 4. Where one anchor has different contexts, one representative of each is fetched, and the contexts of an anchor are put into one suffix array
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import addressed, give_back, map_texts, sent, shuffle_partitions, sliced, stored
-from .shingles import mix, powers
+from .shingles import mix
 from .suffix_sort import repeated, words
 
 GRAM = 48
@@ -46,8 +46,6 @@ ARRAY_BYTES, HOT, DEPTH = 1_500_000, 2000, 6
 #: Contexts cut again together.
 CUT_TOGETHER = 2000
 NONE = np.uint64(2**64 - 1)
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 2**64)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -68,10 +66,11 @@ def sliding_minimum(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - step)], v[width - step :]) if step < width else v
 
 
-def contexts(parts: list[bytes], length: int, used: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """(part, anchor hash, context hash, first window, last window) of all contexts; each part has at least ``length`` bytes. Hashes already ``used`` are no
+def contexts(parts: list[bytes], length: int, used: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(part, anchor hash, digest of the context's bytes, first window, last window) of all contexts; each part has at least ``length`` bytes. Hashes already ``used`` are no
     anchors; a window that has no other gets NONE."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    raw = b"".join(parts)
+    data = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -89,9 +88,8 @@ def contexts(parts: list[bytes], length: int, used: tuple[int, ...] = ()) -> tup
     lo = at[first]
     hi = at[np.r_[np.flatnonzero(first)[1:] - 1, len(at) - 1]]
     part = np.searchsorted(ends, lo, side="right")
-    sums = np.zeros(len(word) + 1, np.uint64)
-    np.cumsum(mix(word ^ _C[2]) * powers(_BASE, len(word)), out=sums[1:])
-    digest = mix((sums[hi + length - 7] - sums[lo]) * powers(_INVERSE, len(word))[lo] + mix((hi - lo).astype(np.uint64)))
+    view = memoryview(raw)
+    digest = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)]
     return part, grams[anchor[first]], digest, lo - starts[part], hi - starts[part]
 
 
@@ -108,7 +106,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
             def flush() -> pd.DataFrame:
                 part, key, digest, lo, hi = contexts(parts, length)
                 row, offset = np.array([o[0] for o in owner]), np.array([o[1] for o in owner])
-                return pd.DataFrame({"doc": doc[row[part]], "spot": spot[row[part]], "key": key.view(np.int64), "digest": digest.view(np.int64), "lo": (lo + offset[part]).astype(np.int32), "hi": (hi + offset[part]).astype(np.int32)})
+                return pd.DataFrame({"doc": doc[row[part]], "spot": spot[row[part]], "key": key.view(np.int64), "digest": digest, "lo": (lo + offset[part]).astype(np.int32), "hi": (hi + offset[part]).astype(np.int32)})
 
             for k, text in enumerate(frame["text"]):
                 raw = (text or "").encode()
@@ -123,7 +121,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
             if parts:
                 yield flush()
 
-    return map_texts(docs, run, "doc bigint, spot bigint, key bigint, digest bigint, lo int, hi int")
+    return map_texts(docs, run, "doc bigint, spot bigint, key bigint, digest binary, lo int, hi int")
 
 
 def sorted_ranges(rows: DataFrame, length: int) -> DataFrame:
@@ -187,10 +185,10 @@ def cut_again(rows: DataFrame, length: int) -> DataFrame:
                     own = group.iloc[a : a + CUT_TOGETHER].iloc[part]
                     pieces = [some[k][x : y + length] for k, x, y in zip(part.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                     first = own["lo"].to_numpy()
-                    yield pd.DataFrame({"path": [[*path, k] for k in key.view(np.int64).tolist()], "digest": digest.view(np.int64), "n": own["n"].to_numpy(), "doc": own["doc"].to_numpy(), "spot": own["spot"].to_numpy(), "lo": (first + lo).astype(np.int32), "hi": (first + hi).astype(np.int32), "context": pieces})
+                    yield pd.DataFrame({"path": [[*path, k] for k in key.view(np.int64).tolist()], "digest": digest, "n": own["n"].to_numpy(), "doc": own["doc"].to_numpy(), "spot": own["spot"].to_numpy(), "lo": (first + lo).astype(np.int32), "hi": (first + hi).astype(np.int32), "context": pieces})
         give_back()
 
-    return rows.mapInPandas(run, "path array<bigint>, digest bigint, n bigint, doc bigint, spot bigint, lo int, hi int, context binary")
+    return rows.mapInPandas(run, "path array<bigint>, digest binary, n bigint, doc bigint, spot bigint, lo int, hi int, context binary")
 
 
 def within_groups(rows: DataFrame, length: int, hot: int, any_hot: bool) -> DataFrame:
