@@ -146,8 +146,8 @@ def test_empty(docs):
 
 def test_shingle_sizes():
     texts = ["", None, "a", "a b", "a b c d", "a b c d e", "A\x0bB\x0cC D", "x" * 100_000, " a  b "]
-    assert [len(s) for s in shingle_sets(texts, 4)] == [len(s) for s in sets_of(list(enumerate(texts)), 4).values()]
-    assert shingle_sets(["A b C d"], 4)[0].tolist() == shingle_sets(["q", "a B c D"], 4)[1].tolist()
+    assert [len(s) for s in shingle_sets(texts, 4, b'k')] == [len(s) for s in sets_of(list(enumerate(texts)), 4).values()]
+    assert shingle_sets(["A b C d"], 4, b"k")[0].tolist() == shingle_sets(["q", "a B c D"], 4, b"k")[1].tolist()
 
 
 def test_numbered_sets():
@@ -232,3 +232,21 @@ def test_very_long_texts(docs):
     words = [f"w{k * k % 9973}" for k in range(60_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-3000])), (3, " ".join(words[:30_000])), (4, "q" * 200_000), (5, "q" * 200_000 + " x")]
     assert result(ngram_join.jaccard_components(docs(rows), width=4, percent=85)) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("pair", [("136489 36e35f c d", "3e9379 561cd0 c d"), ("115e1c 2f3f64 c d", "1d754e 2dd581 c d")])
+def test_shingles_whose_linear_hashes_fall_together(docs, pair):
+    """Different shingles with equal sums of unkeyed word hashes are not linked, and neither document goes."""
+    rows = list(enumerate(pair))
+    assert result(ngram_join.jaccard_components(docs(rows), width=4, percent=85)) == {0: (1, 0), 1: (1, 1)}
+    assert ngram_join.near_deduplicate(docs(rows), width=4).count() == 2
+
+
+def test_rows_without_an_id_pass_through_names_used_inside(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, "a", 1, 2, 3), (None, text, "a", 1, 2, 3), (None, text, "a", 4, 5, 6), (8, "another text of six words here", "b", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row string, __doc int, __spot int, spot int")
+    out = ngram_join.near_deduplicate(df)
+    assert out.columns == df.columns
+    kept = out.collect()
+    assert len(kept) == 2 and {r["__doc"] for r in kept} <= {1, 4, 7} and {r.doc_id for r in kept} == {None, 8}

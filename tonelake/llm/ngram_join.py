@@ -1,6 +1,6 @@
 """N-gram Jaccard join: near-duplicate documents by word shingles, exactly, with a count-vector R-tree.
 
-1. Every text becomes its set of shingle hashes. Equal sets are one class from here on, with its smallest id.
+1. Every text becomes its set of shingle hashes, under a key drawn for the run. Equal sets (128 bits of the whole set under the key) are one class from here on, with its smallest id.
 2. Two sets similar enough share one of the first tokens of each, in any order common to all (here: rare tokens first, as seen
    in a bounded sample, which only affects speed). The classes that share a token are a group. Groups with the same smallest class are one, so a
    family of copies that shares many tokens is dealt out once; only ids and sizes are shuffled until then.
@@ -15,7 +15,7 @@
 6. Components of all links.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing. Texts with fewer words
-than a shingle have one shingle of all their words. Sets are equal where all their 64-bit shingle hashes are; links between different sets go by letters. Very long texts
+than a shingle have one shingle of all their words. Links between different sets go by letters. Very long texts
 are taken whole, a batch holds one at a time. Rows are told apart by id and text, so an id may stand on
 different texts, each with its own links. Rows without an id are left out of the components unless asked for; then they link like others, and a
 component without any id has a null one. An empty table gives an empty result; other columns are ignored.
@@ -23,7 +23,6 @@ component without any id has a null one. An empty table gives an empty result; o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,9 @@ from pyspark.sql import functions as F
 
 from tonelake.operators.components import connected_components
 
-from .common import addressed, give_back, map_texts, sent, shuffle_partitions, sliced, stored, whole_groups
+from .common import addressed, give_back, map_texts, new_salt, sent, shuffle_partitions, sliced, spot_of, stored, whole_groups
 from .rtree import folded, linked, most_shared, packed_counts, unpacked
-from .shingles import mix, numbered_sets, shingle_sets
+from .shingles import hashed_sets, mix, new_key, numbered_sets, shingle_sets
 
 #: Groups that tokens are hashed into: the R-tree's dimensions, a power of two of 64 at most.
 GROUPS = 64
@@ -55,14 +54,14 @@ def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return size - -(-percent * size // 100) + 1
 
 
-def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sampled_frequencies(docs: DataFrame, width: int, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens seen repeatedly in a bounded sample of rows, with their counts, sorted by token; and those that are hot."""
     n = docs.count()
     part = docs if n <= SAMPLE_ROWS else docs.filter(F.pmod(F.xxhash64("spot", F.lit("sample")), F.lit(1_000_000)) < F.lit(1_000_000.0 * SAMPLE_ROWS / n))
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "text"):
-            sets = shingle_sets(frame["text"].tolist(), width)
+            sets = shingle_sets(frame["text"].tolist(), width, key)
             yield pd.DataFrame({"token": np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64)})
 
     seen = map_texts(part.select("text"), tokens, "token bigint").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
@@ -76,13 +75,13 @@ def sampled_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, np.nda
 SKETCH = "doc bigint, known boolean, spot bigint, n_shingles bigint, digest binary, tokens array<bigint>, fine binary"
 
 
-def sketch(docs: DataFrame, width: int, percent: int, known: np.ndarray, seen: np.ndarray) -> DataFrame:
+def sketch(docs: DataFrame, width: int, percent: int, key: bytes, known: np.ndarray, seen: np.ndarray) -> DataFrame:
     """One small row per document: size and digest of its set, first tokens (rare ones first, as ``known`` ones were ``seen``), count vector."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "text"):
             rows = []
-            for s in shingle_sets(frame["text"].tolist(), width):
+            for s, digest in hashed_sets(frame["text"].tolist(), width, key):
                 n = len(s)
                 if not n:
                     rows.append((0, b"", [], b""))
@@ -93,7 +92,7 @@ def sketch(docs: DataFrame, width: int, percent: int, known: np.ndarray, seen: n
                     hit = known[at] == s
                     rank[hit] = seen[at[hit]]
                 first = np.lexsort((s, rank))[: prefix_length(n, percent)]  # rare first
-                rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[first].astype(np.int64), packed_counts(s)))
+                rows.append((n, digest, s[first].astype(np.int64), packed_counts(s)))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "tokens", "fine"])
             for at, name in enumerate(("doc", "known", "spot")):
                 out.insert(at, name, frame[name].to_numpy())
@@ -210,8 +209,9 @@ def numbered_classes(filled: DataFrame) -> tuple[DataFrame, bool]:
 
 def prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool, np.ndarray]:
     """Sketches of all rows, classes of equal sets, where the text of each class is, one sketch of each class, whether any class is numbered, and the hot tokens."""
-    known, seen, hot = sampled_frequencies(docs, width)
-    sketches = stored(sketch(docs, width, percent, known, seen), "sketch")
+    key = new_key()
+    known, seen, hot = sampled_frequencies(docs, width, key)
+    sketches = stored(sketch(docs, width, percent, key, known, seen), "sketch")
     filled = sketches.filter("n_shingles > 0")
     classes, odd = numbered_classes(filled)
     heads = classes.select("id", "doc", "spot")
@@ -370,7 +370,8 @@ def near_deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """The input's rows without near copies: of each component the row with the smallest id stays, in the input's columns.
 
     Where no member has an id, one row stays all the same. Rows that repeat an id and its text stay together."""
-    found, odd = judged(addressed(df, id_col, text_col), width, percent)
+    salt = new_salt()
+    found, odd = judged(addressed(df, id_col, text_col, salt), width, percent)
     again = None
     if odd:
         found = stored(found.filter("n_shingles > 0"), "found")
@@ -380,19 +381,12 @@ def near_deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     else:
         dropped = found.filter(F.col("doc") != F.col("component_id"))
     dropped = stored(dropped.select("doc", "spot").distinct(), "dropped")
-
-    def marked(table: DataFrame, name: str) -> DataFrame:
-        return sent(table.select(F.col("doc").alias(f"__{name}_doc"), F.col("spot").alias(f"__{name}_spot")))
-
+    # The input's row in one column, so that no name can clash.
     ident = df[id_col].cast("bigint")
-    doc, spot = F.coalesce(ident, F.lit(0).cast("bigint")), F.xxhash64(ident, df[text_col])
-    gone = marked(dropped, "gone")
-    kept = df.join(gone, (doc == gone["__gone_doc"]) & (spot == gone["__gone_spot"]), "left_anti")
-    if again is None or again.isEmpty():
-        return kept
-    # Equal texts without an id are one component: one of these rows stays.
-    full = kept.withColumns({"__doc": doc, "__spot": spot})
-    twins = marked(again, "again")
-    same = (full["__doc"] == twins["__again_doc"]) & (full["__spot"] == twins["__again_spot"])
-    one = full.join(twins, same, "left_semi").dropDuplicates(["__doc", "__spot"])
-    return full.join(twins, same, "left_anti").unionByName(one).drop("__doc", "__spot")
+    full = df.select(F.coalesce(ident, F.lit(0).cast("bigint")).alias("doc"), spot_of(ident, df[text_col], salt).alias("spot"), F.struct(*[df[c] for c in df.columns]).alias("row"))
+    kept = full.join(sent(dropped), ["doc", "spot"], "left_anti")
+    if again is not None and not again.isEmpty():
+        # Equal texts without an id are one component: one of these rows stays.
+        one = kept.join(sent(again), ["doc", "spot"], "left_semi").dropDuplicates(["doc", "spot"])
+        kept = kept.join(sent(again), ["doc", "spot"], "left_anti").unionByName(one)
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])

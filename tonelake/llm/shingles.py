@@ -1,20 +1,28 @@
-"""Word shingles of whole texts: as 64-bit hashes, or as exact numbers within one set of texts.
+"""Word shingles of whole texts: as hashes under a key, or as exact numbers within one set of texts.
 
-A word is hashed by the library to 128 bits, once for each distinct word. A shingle's hash is a sum over its words' halves, each
-times an odd number of its place. Numbers come from dictionaries of the words themselves and are exact.
+A word is hashed under the key by the library to 128 bits, once for each distinct word. A shingle's hash is a sum over its words' halves, each
+times an odd number of its place, which follow from the key too. The key is drawn once a run, so nobody can write texts whose hashes fall together. Numbers come from
+dictionaries of the words themselves and are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 import numpy as np
-import xxhash
 
 #: Bytes of text hashed together; longer texts go alone.
 BATCH_BYTES = 1_000_000
 #: Distinct words whose hashes are kept, and the longest that are.
 MEMO_WORDS, MEMO_BYTES = 200_000, 64
-_rng = np.random.default_rng(7)
-_PLACE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Most words in a shingle.
+MOST_WIDTH = 64
+
+
+def new_key() -> bytes:
+    """A key for one run, handed to all its tasks."""
+    return secrets.token_bytes(16)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,27 +34,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    out = np.ones(max(n, 1), np.uint64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 2**64))
-        done += step
-    return out
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text: A-Z count as a-z, words end at space and 0x09-0x0D, as ``bytes`` have it."""
     return (text or "").encode().lower().split()
 
 
-class _Hashes(dict):
-    """Digests by word, filled on demand and emptied when full."""
+class Keyed(dict):
+    """Digests of words under one key, filled on demand and emptied when full, and odd numbers for places."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+        rng = np.random.default_rng(int.from_bytes(key, "little"))
+        self.places = rng.integers(0, 2**63, (2, 4 * MOST_WIDTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __missing__(self, word: bytes) -> bytes:
-        digest = xxhash.xxh3_128_digest(word)
+        digest = hashlib.blake2b(word, digest_size=16, key=self.key).digest()
         if len(word) <= MEMO_BYTES:
             if len(self) >= MEMO_WORDS:
                 self.clear()
@@ -54,44 +57,64 @@ class _Hashes(dict):
         return digest
 
 
-_hashes = _Hashes()
+_last: list[Keyed] = []
+
+
+def keyed(key: bytes) -> Keyed:
+    """The hashes of this worker's last key, which batches and tasks of one run share."""
+    if not _last or _last[0].key != key:
+        _last[:] = [Keyed(key)]
+    return _last[0]
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: ``width`` words, or all words where there are fewer."""
-    out: list[np.ndarray] = []
+def hashed_sets(texts: list[str | None], width: int, key: bytes) -> list[tuple[np.ndarray, bytes]]:
+    """The sorted distinct shingle hashes of each text (``width`` words, or all words where there are fewer), and 128 bits for the whole set, from twice as
+    many bits of each shingle."""
+    hashes = keyed(key)
+    out: list[tuple[np.ndarray, bytes]] = []
     held: list[bytes] = []
     counts: list[int] = []
     size = 0
     for text in texts:
         words = words_of(text)
-        held.append(b"".join(map(_hashes.__getitem__, words)))
+        held.append(b"".join(map(hashes.__getitem__, words)))
         counts.append(len(words))
         size += len(text or "")
         if size >= BATCH_BYTES:
-            out += _batch(b"".join(held), counts, width)
+            out += _batch(b"".join(held), counts, width, hashes)
             held, counts, size = [], [], 0
-    return out + _batch(b"".join(held), counts, width)
+    return out + _batch(b"".join(held), counts, width, hashes)
+
+
+def shingle_sets(texts: list[str | None], width: int, key: bytes) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return [s for s, _ in hashed_sets(texts, width, key)]
 
 
-def _batch(digests: bytes, counts: list[int], width: int) -> list[np.ndarray]:
+def _batch(digests: bytes, counts: list[int], width: int, hashes: Keyed) -> list[tuple[np.ndarray, bytes]]:
+    if width > MOST_WIDTH:
+        raise ValueError(f"a shingle has at most {MOST_WIDTH} words")
     halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
     low, high = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
     n = max(len(low) - width + 1, 0)
-    full = np.zeros(n, np.uint64)
-    for k in range(width if n else 0):
-        full += low[k : k + n] * _PLACE[2 * k] + high[k : k + n] * _PLACE[2 * k + 1]
-    full = mix(full)
+    full = np.zeros((2, n), np.uint64)
+    for which, place in enumerate(hashes.places):
+        for k in range(width if n else 0):
+            full[which] += low[k : k + n] * place[2 * k] + high[k : k + n] * place[2 * k + 1]
+        full[which] = mix(full[which])
     out, start = [], 0
     for count in counts:
         if count >= width:
-            out.append(np.unique(full[start : start + count - width + 1]))
+            end = start + count - width + 1
+            tokens, at = np.unique(full[0, start:end], return_index=True)
+            more = full[1, start:end][at]
         elif count:
             k = np.arange(count) * 2 + 2 * width
-            short = (low[start : start + count] * _PLACE[k] + high[start : start + count] * _PLACE[k + 1]).sum(dtype=np.uint64)
-            out.append(mix(np.array([short + np.uint64(count)], np.uint64)))
+            both = [(low[start : start + count] * place[k] + high[start : start + count] * place[k + 1]).sum(dtype=np.uint64) + np.uint64(count) for place in hashes.places]
+            tokens, more = mix(np.array(both[:1], np.uint64)), mix(np.array(both[1:], np.uint64))
         else:
-            out.append(np.zeros(0, np.uint64))
+            tokens = more = np.zeros(0, np.uint64)
+        out.append((tokens, hashlib.blake2b(tokens.tobytes() + more.tobytes(), digest_size=16).digest()))
         start += count
     return out
 
