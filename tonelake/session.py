@@ -22,8 +22,8 @@ _local: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which every executor can reach.
+def shared_dir(spark: SparkSession, label: str, *, keep: bool = False) -> str:
+    """A fresh path below ``spark.checkpoint.dir``, which every executor can reach. With ``keep`` it is left alone by ``release``.
 
     Where the setting is absent, a local session gets one temporary folder for all; on a cluster that is an error, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = _local.get(app) or tempfile.mkdtemp(prefix="tonelake-")
         _local[app] = base
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _made.setdefault(app, []).append(path)
+    if not keep:
+        _made.setdefault(app, []).append(path)
     return path
 
 

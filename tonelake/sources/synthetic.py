@@ -90,9 +90,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_items(documents: DataFrame, *, near: bool = False) -> DataFrame:
+    """Documents as items; ``near`` spreads them over five days only."""
+    return _frame(documents, ITEM_COLUMNS | ({"date": NEAR_DATE} if near else {}), ITEMS)
+
+
 def items(spark: SparkSession, sf_dir: str, *, near: bool = False) -> DataFrame:
-    """Items; ``near`` spreads them over five days only."""
-    return _frame(_read(spark, sf_dir, "documents"), ITEM_COLUMNS | ({"date": NEAR_DATE} if near else {}), ITEMS)
+    return as_items(_read(spark, sf_dir, "documents"), near=near)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
