@@ -20,6 +20,7 @@ from tonelake.operators import scores as S
 from tonelake.schemas import CLASSIFIER_RUBRIC, ITEM_KEY, ITEMS, LEVELS, METHODS, RUBRIC, conform
 from tonelake.session import build_session, release, stored
 from tonelake.sources import tables
+from tonelake.streaming import durable
 
 
 def parser() -> argparse.ArgumentParser:
@@ -91,6 +92,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--channel")
     p.add_argument("--limit", type=int)
     p.add_argument("--force", "--redo", action="store_true", help="also what has been scored before")
+    p.add_argument("--answers", help="folder where every answer is kept as it comes; a run goes on where the last one ended")
+    p.add_argument("--at-once", type=int, default=1, help="calls under way at the same time, with --answers")
+    p.add_argument("--pause", type=float, default=0.0, help="seconds between two calls of a task")
     return out
 
 
@@ -222,6 +226,16 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
     emit_table(tables.update_extractions(items, done), "items", a.out)
 
 
+def answered(spark: SparkSession, a: argparse.Namespace, requests: DataFrame, scorer: Callable[[str], str]) -> DataFrame:
+    """Answers to the requests; with ``--answers`` each is kept there as it comes, and what is there already is not asked again."""
+    if not a.answers:
+        return scoring.ask(requests, scorer, a.pause)
+    requests = stored(durable.named(requests), "requests")
+    durable.add_requests(requests, a.answers)
+    durable.answer_waiting(spark, a.answers, scorer, at_once=a.at_once, pause=a.pause)
+    return durable.answers(spark, a.answers).join(requests.select("request_id"), "request_id", "left_semi")
+
+
 def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
     """Items not scored yet go to the scorer; the scores (for ``legacy`` the items) with the new ones taken in come out."""
     items, scorer = tables.read_items(spark, a.items), named_function(a.scorer)
@@ -231,7 +245,7 @@ def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
         old = tables.reset_summaries(items, a.date) if a.force else items
         days = S.unscored_days(old).filter(F.col("day") == a.date) if a.date else S.unscored_days(old)
         waiting = old.filter("text is not null").join(days, F.substring("date", 1, 10) == F.col("day"), "left_semi")
-        new = stored(scoring.legacy_scores(waiting, scoring.parse_legacy(scoring.ask(scoring.prompts(waiting), scorer))), "scored")
+        new = stored(scoring.legacy_scores(waiting, scoring.parse_legacy(answered(spark, a, scoring.prompts(waiting, rubric.legacy_instruction(), scoring.LEGACY_CHARS), scorer))), "scored")
         emit(new.groupBy("scope").agg(F.count("*").alias("n")).orderBy("scope"), "scored", None)
         emit_table(tables.update_summaries(old, new), "items", a.out)
         return
@@ -239,7 +253,7 @@ def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.kind == "classifier":
         new = scoring.classify(waiting, scorer, version, a.model)
     else:
-        new = scoring.parse_responses(scoring.ask(scoring.prompts(waiting, rubric.instruction()), scorer), version, a.model)
+        new = scoring.parse_responses(answered(spark, a, scoring.prompts(waiting, rubric.instruction()), scorer), version, a.model)
     new = stored(new, "scored")
     emit(new.groupBy("direction").agg(F.count("*").alias("n")).orderBy("direction"), "scored", None)
     emit_table(tables.upsert_scores(scores, new), "scores", a.out)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tonelake.functions.text import item_key, scoring_input
 from tonelake.operators.scores import day
-from tonelake.schemas import CLASSIFIER_RUBRIC, DRIVERS, HORIZONS, ITEM_KEY, LEVELS, NOVELTY, RESPONSE, RUBRIC, SCORES, SECTOR_CODES, conform
+from tonelake.schemas import CLASSIFIER_RUBRIC, DRIVERS, HORIZONS, ITEM_KEY, LEVELS, NOVELTY, RESPONSE, RUBRIC, SCORES, SECTOR_CODES, conform, layout
 
-PROMPT_CHARS, SUMMARY_CHARS, CHUNK_ROWS, CALL_ITEMS = 4000, 200, 200, 500
+PROMPT_CHARS, LEGACY_CHARS, SUMMARY_CHARS, CHUNK_ROWS, CALL_ITEMS = 4000, 3000, 200, 200, 500
 ENTRY = RESPONSE.removeprefix("items array<").removesuffix(">")
 LEGACY_ENTRY = "struct<item_id: string, summary: string, sentiment_score: double, scope: string, topic: string>"
 STRICT = {"level": LEVELS, "driver": DRIVERS, "novelty": NOVELTY, "horizon": HORIZONS}
@@ -31,11 +33,11 @@ def label_to_direction(label: Column) -> Column:
     return F.when(label == "positive", 1).when(label == "neutral", 0).when(label == "negative", -1)
 
 
-def prompts(items: DataFrame, instruction: str = "") -> DataFrame:
-    """(day, prompt, item_ids): a listing of each day's items, oldest first, each text cut to the prompt's limit, behind the ``instruction``.
+def prompts(items: DataFrame, instruction: str = "", chars: int = PROMPT_CHARS) -> DataFrame:
+    """(day, prompt, item_ids): a listing of each day's items, oldest first, each text cut to ``chars``, behind the ``instruction``.
 
     One call a day; a day with more than ``CALL_ITEMS`` items is dealt to several calls by a hash of the item."""
-    text = F.substring(scoring_input(F.col("text"), F.col("extracted_text")), 1, PROMPT_CHARS)
+    text = F.substring(scoring_input(F.col("text"), F.col("extracted_text")), 1, chars)
     key = item_key(F.col("chat_id"), F.col("message_id"))
     rows = items.select(day().alias("day"), F.struct("date", "chat_id", "message_id", key.alias("id"), F.concat(F.lit("["), key, F.lit("] ("), "chat_name", F.lit(")\n"), text).alias("line")).alias("x"))
     calls = rows.groupBy("day").agg(F.ceil(F.count("*") / CALL_ITEMS).alias("calls"))
@@ -44,8 +46,10 @@ def prompts(items: DataFrame, instruction: str = "") -> DataFrame:
     return listed.select("day", (F.concat(F.lit(instruction + "\n\n"), listing) if instruction else listing).alias("prompt"), F.col("xs.id").alias("item_ids"))
 
 
-def ask(requests: DataFrame, scorer: Callable[[str], str]) -> DataFrame:
-    """(day, item_ids, response, error): the scorer's answer to each prompt; an exception's text instead, if it fails."""
+def ask(requests: DataFrame, scorer: Callable[[str], str], pause: float = 0.0) -> DataFrame:
+    """The requests' columns without the prompt, and response and error: the scorer's answer to each prompt; an exception's text instead, if it fails. A task
+    rests ``pause`` seconds after each call."""
+    kept = requests.drop("prompt")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -57,24 +61,25 @@ def ask(requests: DataFrame, scorer: Callable[[str], str]) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  a failed call becomes rows that say so
                     answers.append(None)
                     errors.append(f"REQUEST_ERROR: {e}")
-            yield frame[["day", "item_ids"]].assign(response=answers, error=errors)
+                time.sleep(pause)
+            yield frame.drop(columns="prompt").assign(response=answers, error=errors)
 
-    return requests.mapInPandas(run, "day string, item_ids array<string>, response string, error string")
+    return requests.select(*kept.columns, "prompt").mapInPandas(run, StructType([*kept.schema.fields, *layout("response string, error string").fields]))
 
 
 def parse_responses(answers: DataFrame, rubric: str = RUBRIC, model: str = "external") -> DataFrame:
     """A score row for every item asked about. An entry that doesn't fit the layout, or a missing one, leaves only ``raw_response``.
 
-    Entries are read one by one, so a bad one does not spoil the others; of several for one item the last holds."""
+    Entries are read one by one, so a bad one does not spoil the others; of several for one item the last of its list holds."""
     asked = answers.select(F.posexplode("item_ids").alias("n", "item_id"), "day", "response", "error")
-    listed = answers.withColumn("entry", F.explode(F.from_json(F.get_json_object("response", "$.items"), "array<string>")))
-    read = listed.select("day", F.from_json("entry", ENTRY.replace("direction: int", "direction: double").replace("magnitude: int", "magnitude: double")).alias("e"), "entry")
+    listed = answers.select("day", F.posexplode(F.from_json(F.get_json_object("response", "$.items"), "array<string>")).alias("n", "entry"))
+    read = listed.select("day", "n", F.from_json("entry", ENTRY.replace("direction: int", "direction: double").replace("magnitude: int", "magnitude: double")).alias("e"), "entry")
     valid = F.col("e.item_id").isNotNull()
     for name, allowed in STRICT.items():
         valid &= F.col(f"e.{name}").isNull() | F.col(f"e.{name}").isin(*allowed)
     for name in ("direction", "magnitude", "confidence"):  # present, but not a number
         valid &= F.col(f"e.{name}").isNotNull() | F.get_json_object("entry", f"$.{name}").isNull()
-    entries = read.filter(valid).select("day", "e.*", "entry").groupBy("day", "item_id").agg(F.last(F.struct("direction", "magnitude", "confidence", "level", "sector_code", "ticker", "driver", "novelty", "horizon", "summary")).alias("s"))
+    entries = read.filter(valid).select("day", "n", "e.*", "entry").groupBy("day", "item_id").agg(F.max_by(F.struct("direction", "magnitude", "confidence", "level", "sector_code", "ticker", "driver", "novelty", "horizon", "summary"), F.struct("n", "entry")).alias("s"))
     joined = asked.join(entries, ["day", "item_id"], "left")
     number = lambda name, low, high: clamp(F.bround(F.col(f"s.{name}")).cast("int"), low, high)
     ids = F.split("item_id", "_")

@@ -38,11 +38,12 @@ def write_scores(scores: DataFrame, path: str) -> None:
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: tuple[str, ...], order: Column | None = None) -> DataFrame:
-    """The table with rows replaced or added by key; of several changes to a key the last by ``order`` holds.
+    """The table with rows replaced or added by key; of several changes to a key the last by ``order`` holds, and of those the last in the order of the changes' columns.
 
     One shuffle on the key. Columns that the changes don't have keep their values, so taking in an item again does not lose what
     was derived from it."""
-    latest = Window.partitionBy(*key).orderBy((order if order is not None else F.lit(0)).desc())
+    rest = F.struct(*[c for c in changes.columns if c not in key] or [F.lit(0)])
+    latest = Window.partitionBy(*key).orderBy(*([order.desc()] if order is not None else []), rest.desc())
     new = changes.withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n").withColumn("__changed", F.lit(True))
     joined = table.alias("old").join(new.alias("new"), list(key), "full")
     out = []
