@@ -1,8 +1,11 @@
 import random
 
+import pytest
 from oracle import SF
+from pyspark.sql import functions as F
+
 from tonelake.functions.text import longest_common
-from tonelake.operators import dedupe
+from tonelake.operators import components, dedupe
 from tonelake.operators.components import connected_components
 from tonelake.schemas import ITEMS, conform
 from tonelake.sources import synthetic
@@ -62,3 +65,48 @@ def test_clusters_like_all_pairs(spark):
         assert {r.mention_channels for r in group} == {len({r.chat_id for r in group})}
         head = min(group, key=lambda r: (dates[r.item_key], r.message_id, r.chat_id))
         assert [r.item_key for r in group if r.is_cluster_head] == [head.item_key]
+
+
+@pytest.mark.parametrize("blocks, limit, square", [(0, 10, 8000), (0, 10, 7), (1, 10, 8000), (2, 10, 8000), (2, 10, 5), (3, 6, 8000), (2, 0, 9), (None, 64, 8000)])
+def test_every_index_gives_the_same_candidates(spark, monkeypatch, blocks, limit, square):
+    monkeypatch.setattr(dedupe, "SQUARE_ROWS", square)
+    rng = random.Random(4)
+    rows = []
+    for n in range(90):
+        h = rng.getrandbits(64) if n % 3 == 0 or not rows else rows[-1][3] % 2**64
+        for bit in rng.sample(range(64), rng.choice([0, 3, 9, 12])):
+            h ^= 1 << bit
+        rows.append((f"k{n:03}", f"text {n}" * (1 + n % 4), n % 4, h - (h >> 63 << 64)))
+    made = spark.createDataFrame(rows, "item_key string, norm_text string, d int, simhash bigint")
+    prints = made.withColumn("day", F.date_add(F.lit("2024-02-27").cast("date"), F.col("d")))
+    got = [(r.a, r.b, r.n_a, r.n_b) for r in dedupe.candidate_pairs(prints, limit, 60, blocks=blocks).collect()]
+    want = set()
+    for a in rows:
+        for b in rows:
+            n, m = len(a[1]), len(b[1])
+            if (a[2], a[0]) < (b[2], b[0]) and b[2] - a[2] <= 1 and ((a[3] ^ b[3]) & 2**64 - 1).bit_count() <= limit and 200 * min(n, m) >= 60 * (n + m):
+                want.add((a[0], b[0], n, m))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_follow_the_fullest_day():
+    assert [dedupe.blocks_kept(n) for n in (0, 50_000, 50_001, 5_000_001)] == [0, 0, 2, 3]
+
+
+def test_a_star_is_settled_without_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 1000)
+    edges = spark.range(1, 60_001).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(60_000, 70_000)], "a bigint, b bigint"))
+    got = connected_components(edges, "a", "b")
+    assert got.count() == 60_002 and got.filter("component <> 0").count() == 0
+
+
+@pytest.mark.parametrize("hub, kind", [(10**6, "int"), (5, "bigint"), (3, "string")])
+def test_components_of_chains_and_rings(spark, monkeypatch, hub, kind):
+    monkeypatch.setattr(components, "HUB_EDGES", hub)
+    rng = random.Random(6)
+    chain = list(range(1000, 1400))
+    rng.shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((2000 + i, 2000 + (i + 1) % 50) for i in range(50)), *((3000, 3001 + i) for i in range(30)), *((3001 + i, 4000 + i) for i in range(30))]
+    rows = spark.createDataFrame(edges, "a int, b int").repartition(7).select(F.col("a").cast(kind), F.col("b").cast(kind))
+    got = {int(r.node): int(r.component) for r in connected_components(rows, "a", "b").collect()}
+    assert got == roots({x for e in edges for x in e}, edges)
