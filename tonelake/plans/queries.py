@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import text as T
 from tonelake.operators import calibration, dedupe, market, report, scoring, toneindex, validation
 from tonelake.operators import scores as S
-from tonelake.session import shared_dir
+from tonelake.session import shared_dir, stored
 from tonelake.sources import synthetic as data
 from tonelake.sources import tables
 
@@ -325,6 +325,49 @@ def a14_copy_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.cluster_summary(_copies(spark, sf_dir))
 
 
+# The limits of the operator, over posts short enough for 128-bit integers: candidates are compared by their longest common subsequence, and clusters take the
+# smallest name among their neighbours round by round.
+CATALOGUE = f""", {NORMAL}, reps AS (SELECT norm_text, day, min(item_key) AS rep, min(simhash) AS simhash FROM signed WHERE norm_text <> '' GROUP BY norm_text, day),
+pairs AS (SELECT a.rep AS p, b.rep AS q, a.norm_text AS a, b.norm_text AS b, (CAST(1 AS HUGEINT) << length(a.norm_text)) - 1 AS ones FROM reps a JOIN reps b
+  ON a.rep < b.rep AND abs(a.day - b.day) <= 1 AND bit_count(xor(a.simhash, b.simhash)) <= 10),
+steps AS (SELECT *, list_transform(range(1, length(b) + 1), lambda j: list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END))) AS masks FROM pairs),
+folded AS (SELECT *, list_reduce(masks, lambda row_, mask: ((row_ + (row_ & CAST(mask AS HUGEINT))) | xor(row_, row_ & CAST(mask AS HUGEINT))) & ones, ones) AS final FROM steps),
+found AS (
+  SELECT p, q FROM folded WHERE 200 * (length(a) - bit_count(final)) >= 85 * (length(a) + length(b))
+  UNION SELECT r.rep, s.item_key FROM reps r JOIN signed s USING (norm_text, day)
+), links AS (SELECT p AS a, q AS b FROM found UNION SELECT q, p FROM found),
+rounds AS (
+  SELECT 0 AS k, item_key, item_key AS label FROM signed
+  UNION ALL
+  SELECT r.k + 1, l.a, min(r.label) FROM rounds r JOIN links l ON l.b = r.item_key WHERE r.k < 60 GROUP BY r.k + 1, l.a
+), named AS (SELECT item_key, label AS dup_cluster_id FROM rounds WHERE k = 60),
+sized AS (SELECT dup_cluster_id, CAST(count(DISTINCT chat_id) AS INT) AS mention_channels, arg_min(item_key, (date, message_id, chat_id)) AS head FROM named JOIN signed USING (item_key) GROUP BY dup_cluster_id),
+clusters AS (SELECT s.chat_id, s.message_id, item_key, dup_cluster_id, CAST(item_key = head AS INT) AS is_cluster_head, mention_channels FROM signed s JOIN named USING (item_key) JOIN sized USING (dup_cluster_id))"""
+CATALOGUE_VIEW = "RECURSIVE " + data.catalogue_view()
+
+
+@query(CATALOGUE + " SELECT * FROM clusters", CATALOGUE_VIEW)
+def t_catalogue_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.cluster_items(data.catalogue(spark, sf_dir))
+
+
+@query(CATALOGUE + " SELECT mention_channels, count(*) AS n_clusters FROM clusters WHERE is_cluster_head = 1 GROUP BY mention_channels", CATALOGUE_VIEW)
+def a13_catalogue_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.size_histogram(dedupe.cluster_items(data.catalogue(spark, sf_dir)))
+
+
+@query(CATALOGUE + """ SELECT count(*) AS n_items, count(*) FILTER (is_cluster_head = 1) AS n_clusters, count(*) FILTER (is_cluster_head = 1 AND mention_channels > 1) AS n_cross_channel FROM clusters""", CATALOGUE_VIEW)
+def a14_catalogue_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.cluster_summary(dedupe.cluster_items(data.catalogue(spark, sf_dir)))
+
+
+@query(CATALOGUE + " SELECT p AS a, q AS b FROM folded WHERE 200 * (length(a) - bit_count(final)) >= 85 * (length(a) + length(b))", CATALOGUE_VIEW)
+def j11_similar_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stored(dedupe.fingerprints(data.catalogue(spark, sf_dir)), "prints")
+    found = dedupe.similar_pairs(dedupe.candidate_pairs(prints, ratio=dedupe.RATIO), prints)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 # The same bit-parallel table, in 128-bit integers: names are shorter than that.
 @query("""WITH pairs AS (SELECT a.p_partkey, a.p_name AS a, b.p_name AS b, (CAST(1 AS HUGEINT) << length(a.p_name)) - 1 AS ones FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
 steps AS (SELECT *, list_transform(range(1, length(b) + 1), lambda j: list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN substr(a, i, 1) = substr(b, j, 1) THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END))) AS masks FROM pairs),

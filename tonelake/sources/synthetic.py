@@ -43,6 +43,15 @@ ITEM_COLUMNS = {
 }
 #: Items whose dates lie close together, so that copies fall inside and outside the duplicate window.
 NEAR_DATE = "concat(CAST(DATE '1998-01-01' + CAST(doc_id % 5 AS INT) AS STRING), 'T00:00:00+00:00')"
+#: Short posts about parts: many differ in a word or a number only.
+CATALOGUE_COLUMNS = {
+    "chat_id": "p_partkey % 7",
+    "chat_name": "concat('c', CAST(p_partkey % 7 AS STRING))",
+    "message_id": "p_partkey",
+    "date": "concat(CAST(DATE '1998-01-01' + CAST(p_partkey % 5 AS INT) AS STRING), 'T00:00:00+00:00')",
+    "type": "'text'",
+    "text": "concat(p_name, ' ', p_brand, ' ', p_type, ' ', p_name, ' size ', CAST(p_size AS STRING), ' ', p_type, ' ', p_name)",
+}
 SCORE_COLUMNS = {
     "chat_id": CHANNEL,
     "message_id": "doc_id",
@@ -99,6 +108,11 @@ def items(spark: SparkSession, sf_dir: str, *, near: bool = False) -> DataFrame:
     return as_items(_read(spark, sf_dir, "documents"), near=near)
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as short posts within five days."""
+    return _frame(_read(spark, sf_dir, "part"), CATALOGUE_COLUMNS, ITEMS)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores under both rubrics; the classifier's for labelled documents."""
     docs = _read(spark, sf_dir, "documents")
@@ -128,6 +142,10 @@ def _view(name: str, table: str, columns: dict[str, str], layout: str | None = N
     return f"{name} AS (SELECT {', '.join(out)} FROM {table})"
 
 
+def catalogue_view() -> str:
+    return _view("items", "part", CATALOGUE_COLUMNS, ITEMS)
+
+
 def sql_views(*, near: bool = False) -> str:
     """The same tables as common table expressions, for use behind WITH."""
     item_columns = ITEM_COLUMNS | ({"date": NEAR_DATE} if near else {})
