@@ -32,3 +32,19 @@ def test_plan_stays_small_with_many_splitters(spark):
     began = time.perf_counter()
     assert df.select(F.max(ranges.bucket_of(F.struct("id"), splitters, df))).first()[0] == 500
     assert time.perf_counter() - began < 60
+
+
+def test_weights_even_out_bytes(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") < 100, 191).otherwise(1).alias("w"))
+    even = [r.id for r in ranges.sampled_splitters(df, F.struct("id"), F.col("id"), 10, F.col("w"))]
+    assert len(even) == 9 and sum(i < 100 for i in even) == 9 and even == sorted(set(even))
+    assert [r.id for r in ranges.sampled_splitters(df, F.struct("id"), F.col("id"), 10)] == list(range(40, 400, 40))
+
+
+def test_keys_within_keys(spark):
+    df = spark.range(400).select("id", F.struct((F.col("id") % 7).alias("a"), F.col("id").alias("b")).alias("place"))
+    key = F.struct(F.lit("x").alias("lead"), "place")
+    splitters = ranges.sampled_splitters(df, key, F.col("id"), 8)
+    got = {r.id: r.b for r in df.select("id", ranges.bucket_of(key, splitters, df).alias("b")).collect()}
+    order = sorted(range(400), key=lambda i: (i % 7, i))
+    assert len(set(got.values())) == 8 and [got[i] for i in order] == sorted(got.values())

@@ -22,6 +22,8 @@ from .ranges import bucket_of, sampled_splitters
 #: Leading characters in the sort key; the SHA-256 behind them keeps equal texts together, whatever their length, and no text of another content comes between
 #: them. So texts are in the order of their leading characters, and those that share them in the order of the digest.
 LEAD = 24
+#: Bytes that a row counts besides its text.
+ROW_BYTES = 100
 
 
 def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, keep: str = "largest", buckets: int | None = None, carry: bool = False) -> DataFrame:
@@ -39,7 +41,8 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("lead", F.substring("text", 1, LEAD)).withColumn("sha", F.sha2("text", 256)).withColumn("place", place)
     key = F.struct("lead", "sha", "place")
     n = buckets or shuffle_partitions(spark)
-    splitters = sampled_splitters(rows, key, F.col("id"), n)
+    # Ranges are even in bytes: copies of a long text stand side by side and would be many bytes for few rows.
+    splitters = sampled_splitters(rows, key, F.col("id"), n, F.octet_length("text") + ROW_BYTES)
     dealt = rows.withColumn("bucket", bucket_of(key, splitters, rows)).repartitionById(len(splitters) + 1, F.col("bucket"))
     order = Window.partitionBy("bucket").orderBy("lead", "sha", "text", "place")
     fresh = F.coalesce(F.col("text") != F.lag("text").over(order), F.lit(True))

@@ -9,6 +9,8 @@ column that tells equal rows apart, so one value that fills a third of the table
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +22,21 @@ SAMPLES_PER_BUCKET = 40
 MOST_SAMPLES, MOST_BUCKETS = 100_000, 20_000
 
 
-def sampled_splitters(df: DataFrame, key: Column, row_id: Column, buckets: int) -> list:
-    """At most ``buckets`` - 1 ascending keys that cut the table into even runs. ``key`` must be a struct of small columns."""
+def sampled_splitters(df: DataFrame, key: Column, row_id: Column, buckets: int, weight: Column | None = None) -> list:
+    """At most ``buckets`` - 1 ascending keys that cut the table into even runs, by rows or by what ``weight`` says of them. ``key`` must be a struct of
+    small columns."""
     buckets = min(buckets, MOST_BUCKETS)
     rows = df.count()
     wanted = min(MOST_SAMPLES, SAMPLES_PER_BUCKET * buckets)
     if buckets < 2 or rows < 2:
         return []
-    drawn = df.select(row_id.alias("r"), key.alias("k"))
+    drawn = df.select(row_id.alias("r"), key.alias("k"), (F.lit(1) if weight is None else weight).cast("double").alias("w"))
     if rows > wanted:
         drawn = drawn.filter(F.pmod(F.xxhash64("r", F.lit("splitters")), F.lit(1_000_000)) < F.lit(1_000_000.0 * wanted / rows))
-    keys = [r["k"] for r in drawn.select("k").orderBy("k").limit(2 * MOST_SAMPLES).collect()]
-    picked = [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
+    sample = drawn.select("k", "w").orderBy("k").limit(2 * MOST_SAMPLES).collect()
+    # The first key behind each share of the whole weight.
+    ends = list(accumulate(r["w"] for r in sample))
+    picked = [sample[min(bisect_right(ends, ends[-1] * i / buckets), len(sample) - 1)]["k"] for i in range(1, buckets)] if sample else []
     return [k for i, k in enumerate(picked) if i == 0 or k != picked[i - 1]]
 
 
