@@ -33,6 +33,26 @@ def test_spearman_ranks(spark):
     assert got == sorted(pd.Series(x).rank())
 
 
+@pytest.mark.parametrize("values, parts", [(7, 4), (2000, 9), (1, 4)])
+def test_rank_correlation_like_pandas(spark, values, parts):
+    rng = np.random.default_rng(values)
+    frame = pd.DataFrame({"x": rng.integers(0, values, 3000) / 2, "y": rng.integers(0, values, 3000) - 0.0})
+    frame["y"] += frame["x"]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(frame)
+        got = stats.rank_correlation(df, "x", "y").first()
+        ranks = {r.x: r["rank"] for r in stats.value_ranks(df.withColumn("c", F.lit(1)), "x", "c").collect()}
+        plan = stats.rank_correlation(df, "x", "y")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert ranks == dict(zip(frame["x"], frame["x"].rank()))
+    want = frame["x"].rank().corr(frame["y"].rank())
+    assert got.n == 3000 and (got.rho is None if values == 1 else got.rho == pytest.approx(want, abs=1e-12))
+    assert "rank(" not in plan
+    assert stats.rank_correlation(df.limit(0), "x", "y").first() == (0, None)
+
+
 def test_fisher(spark):
     df = spark.createDataFrame([(0.5, 20), (1.0, 20), (0.5, 3), (None, 9)], "r double, n bigint")
     lo, hi = stats.fisher_interval(F.col("r"), F.col("n"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tonelake.session import stored
+
 #: Groups smaller than this are flagged.
 SMALL_SAMPLE = 30
 
@@ -29,6 +31,32 @@ def average_rank(value: str, within: list[str] | None = None) -> Column:
     return F.rank().over(order) + (F.count("*").over(same) - 1) / F.lit(2.0)
 
 
+def value_ranks(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """(value, rank): the mean rank, from 1, that rows of each value share where a row stands for ``weight`` ones. Values are counted first and then cut into ranges; a
+    range adds what lies before it, so no task sees them all."""
+    counts = df.groupBy(value).agg(F.sum(weight).alias("n"))
+    # Stored, as the ranges come from a sample and must be the same for both uses.
+    dealt = stored(counts.repartitionByRange(F.col(value)).withColumn("part", F.spark_partition_id()), "ranks")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))  # a row for each range
+    inside = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "part")
+    return placed.select(value, (F.col("before") + F.col("within") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+
+
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n and the correlation of the ranks of two columns without nulls, ties sharing their mean; null if a side is constant or there is no row."""
+    cells = stored(df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c")), "cells")
+    for side in ("x", "y"):
+        cells = cells.join(value_ranks(cells.select(side, "c"), side, "c").withColumnRenamed("rank", f"r{side}"), side)
+    products = {"xy": ("rx", "ry"), "xx": ("rx", "rx"), "yy": ("ry", "ry")}
+    sums = cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[F.sum(F.col("c") * F.col(p) * F.col(q)).alias(name) for name, (p, q) in products.items()])
+    middle = F.col("n") * ((F.col("n") + 1) / 2.0) * ((F.col("n") + 1) / 2.0)  # the mean rank is known
+    spread = [F.sqrt(F.greatest(F.col(name) - middle, F.lit(0.0))) for name in ("xx", "yy")]
+    return sums.select("n", F.try_divide(F.col("xy") - middle, spread[0] * spread[1]).alias("rho"))
+
+
 def fisher_interval(r: Column, n: Column) -> tuple[Column, Column]:
     """95 % confidence interval of a correlation; null below four rows and for a perfect one."""
     usable = (n >= 4) & r.isNotNull() & (F.abs(r) < 1)

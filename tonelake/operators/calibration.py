@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.functions.stats import average_rank, correlation
+from tonelake.functions.stats import rank_correlation, correlation
 from tonelake.schemas import ITEM_KEY, LEVELS
 
 
@@ -35,8 +35,7 @@ def confusion(pairs: DataFrame, wide: bool = False) -> DataFrame:
 def spearman(pairs: DataFrame) -> DataFrame:
     """One row: n and rank correlation of direction times magnitude; null below three rows."""
     rows = pairs.select((F.col("direction_gold") * F.col("magnitude_gold")).cast("double").alias("x"), (F.col("direction_llm") * F.col("magnitude_llm")).cast("double").alias("y")).dropna()
-    ranked = rows.select(average_rank("x").alias("rx"), average_rank("y").alias("ry"))
-    return ranked.agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho")).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
+    return rank_correlation(rows, "x", "y").withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
 
 def rubric_agreement(pairs: DataFrame) -> DataFrame:
