@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonelake.schemas import GOLD, ITEM_KEY, ITEMS, PRICES, SCORE_KEY, SCORES, check_values, conform, layout
+from tonelake.session import stored
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +58,18 @@ def upsert(table: DataFrame, changes: DataFrame, key: tuple[str, ...], order: Co
     return joined.select(*out)
 
 
+def upsert_partitions(path: str, table_layout: str, changes: DataFrame, key: tuple[str, ...], by: str, order: Column | None = None) -> None:
+    """Takes changes into a table stored by the partitions of ``by``: only partitions that a change falls into are read, shuffled and written anew, others keep
+    their files. A row must stay in its partition; columns that the changes lack keep their values."""
+    spark = changes.sparkSession
+    changes = stored(changes, "changes")
+    touched = F.broadcast(changes.select(by).distinct())  # a row for each partition
+    old = spark.read.schema(layout(table_layout)).parquet(path).join(touched, by, "left_semi")
+    # Written beside the table first, as it is read from there.
+    merged = stored(upsert(old, changes, (*key, by), order), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def upsert_items(items: DataFrame, collected: DataFrame, order: Column | None = None) -> DataFrame:
     return upsert(items, collected, ITEM_KEY, order)
 
