@@ -48,3 +48,11 @@ def test_keys_within_keys(spark):
     got = {r.id: r.b for r in df.select("id", ranges.bucket_of(key, splitters, df).alias("b")).collect()}
     order = sorted(range(400), key=lambda i: (i % 7, i))
     assert len(set(got.values())) == 8 and [got[i] for i in order] == sorted(got.values())
+
+
+def test_few_heavy_rows_in_a_sample(spark):
+    """One row in a hundred holds half of the weight: no range has more than twice its share."""
+    df = spark.range(20_000).select("id", F.xxhash64("id").alias("k"), F.when(F.col("id") % 100 == 0, 99.0).otherwise(1.0).alias("w"))
+    splitters = ranges.sampled_splitters(df, F.struct("k"), F.col("id"), 20, F.col("w"))
+    sums = [r.w for r in df.groupBy(ranges.bucket_of(F.struct("k"), splitters, df).alias("b")).agg(F.sum("w").alias("w")).collect()]
+    assert len(sums) == 20 and max(sums) < 2 * sum(sums) / 20

@@ -20,19 +20,23 @@ from pyspark.sql.types import ArrayType
 SAMPLES_PER_BUCKET = 40
 #: Bounds of the sample that reaches the driver and of the number of buckets.
 MOST_SAMPLES, MOST_BUCKETS = 100_000, 20_000
+#: Steps of the hash that draws the sample: fine enough for the smallest row of a very large table.
+DRAWS = 2**40
 
 
 def sampled_splitters(df: DataFrame, key: Column, row_id: Column, buckets: int, weight: Column | None = None) -> list:
     """At most ``buckets`` - 1 ascending keys that cut the table into even runs, by rows or by what ``weight`` says of them. ``key`` must be a struct of
     small columns."""
     buckets = min(buckets, MOST_BUCKETS)
-    rows = df.count()
     wanted = min(MOST_SAMPLES, SAMPLES_PER_BUCKET * buckets)
+    drawn = df.select(row_id.alias("r"), key.alias("k"), (F.lit(1) if weight is None else weight).cast("double").alias("w"))
+    rows, total = (df.count(),) * 2 if weight is None else drawn.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0.0))).first()
     if buckets < 2 or rows < 2:
         return []
-    drawn = df.select(row_id.alias("r"), key.alias("k"), (F.lit(1) if weight is None else weight).cast("double").alias("w"))
     if rows > wanted:
-        drawn = drawn.filter(F.pmod(F.xxhash64("r", F.lit("splitters")), F.lit(1_000_000)) < F.lit(1_000_000.0 * wanted / rows))
+        # Heavy rows are drawn more often and count for less, else a few of them would stand for many bytes that aren't there.
+        one = total / wanted
+        drawn = drawn.filter(F.pmod(F.xxhash64("r", F.lit("splitters")), F.lit(DRAWS)) < F.col("w") * F.lit(DRAWS / one)).withColumn("w", F.greatest("w", F.lit(one)))
     sample = drawn.select("k", "w").orderBy("k").limit(2 * MOST_SAMPLES).collect()
     # The first key behind each share of the whole weight.
     ends = list(accumulate(r["w"] for r in sample))
