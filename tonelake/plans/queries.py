@@ -74,6 +74,11 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return data.items(spark, sf_dir), data.scores(spark, sf_dir)
 
 
+def kept_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as a stored table, for plans that read them several times (calendar, returns, proxy)."""
+    return stored(data.prices(spark, sf_dir), "prices")
+
+
 # Sources, sinks and changes of tables
 
 
@@ -242,7 +247,7 @@ def j4_rubric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f", {EVENTS} SELECT DISTINCT event_date, (SELECT min(p.date) FROM prices p WHERE p.date >= event_date) AS session FROM events")
 def j9_next_trading_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = S.tagged_events(*both(spark, sf_dir)).select("event_date").distinct()
-    return market.next_trading_day(events, data.prices(spark, sf_dir), "event_date")
+    return market.next_trading_day(events, kept_prices(spark, sf_dir), "event_date")
 
 
 BOILERPLATE_SQL = "x"
@@ -456,7 +461,7 @@ def a8_weighted_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f", {PROXY} SELECT date, {cut('market_return')} AS market_return, {cut('vol')} AS cross_sectional_vol, n_tickers FROM proxy")
 def m1_market_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.market_proxy(data.prices(spark, sf_dir)), "market_return", "cross_sectional_vol")
+    return rounded(market.market_proxy(kept_prices(spark, sf_dir)), "market_return", "cross_sectional_vol")
 
 
 @query(f", {PROXY} SELECT date, pos, ticker, {cut('ret')} AS ret FROM returns")
@@ -477,12 +482,12 @@ def w9_trading_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f""", {PROXY} SELECT (SELECT count(*) FROM proxy) AS proxy_days, (SELECT arg_max(n_tickers, date) FROM proxy) AS last_tickers,
   min(date) AS first_session, max(date) AS last_session, count(*) AS n_sessions FROM calendar""")
 def a35_proxy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.proxy_summary(data.prices(spark, sf_dir))
+    return market.proxy_summary(kept_prices(spark, sf_dir))
 
 
 @query(f", {PROXY} SELECT date, {cut('market_return')} AS market_return, n_tickers FROM proxy ORDER BY date DESC LIMIT 10")
 def o7_last_proxy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.last_rows(market.market_proxy(data.prices(spark, sf_dir))), "market_return").select("date", "market_return", "n_tickers")
+    return rounded(market.last_rows(market.market_proxy(kept_prices(spark, sf_dir))), "market_return").select("date", "market_return", "n_tickers")
 
 
 @query("SELECT date, ticker, n FROM (SELECT date, ticker, count(*) AS n FROM prices GROUP BY ALL UNION ALL SELECT DATE '2000-01-01', 'x', 2) WHERE n > 1")
@@ -496,7 +501,7 @@ def t20_duplicate_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     items, scores = both(spark, sf_dir)
-    return toneindex.daily_index(items, scores), toneindex.daily_index(items, scores, include_recap=True), market.market_proxy(data.prices(spark, sf_dir))
+    return toneindex.daily_index(items, scores), toneindex.daily_index(items, scores, include_recap=True), market.market_proxy(kept_prices(spark, sf_dir))
 
 
 @query(f""", {ROWS}, {PROXY}{SHRUNK.format(rows="eligible")}, recap AS (SELECT CAST(day AS DATE) AS date, count(*) / (count(*) + 5e0) * (coalesce(sum(CAST(score AS DOUBLE)), 0) / count(*)) AS index_value FROM confident GROUP BY day),
@@ -553,7 +558,7 @@ paths AS (SELECT chat_id, message_id, rubric_version, ticker, direction, event_d
 
 @query(f", {EVENTS}, {PROXY}{PATHS} SELECT chat_id, message_id, rubric_version, ticker, direction, event_date, t0, k, {cut('car')} AS car FROM paths")
 def m5_event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(validation.event_paths(S.tagged_events(*both(spark, sf_dir)), data.prices(spark, sf_dir)), "car")
+    return rounded(validation.event_paths(S.tagged_events(*both(spark, sf_dir)), kept_prices(spark, sf_dir)), "car")
 
 
 # Student's distribution for whole degrees of freedom v: finite sums over powers of the cosine of the angle atan(t / sqrt(v)).
@@ -566,13 +571,13 @@ STUDENT_P = """1 - CASE WHEN v % 2 = 0
   FROM paths WHERE k IN (0, 1, 3, 5, 10) GROUP BY direction, k HAVING count(*) >= 2), angles AS (SELECT *, n - 1 AS v, atan(t / sqrt(n - 1)) AS a FROM tested)
 SELECT direction, k, n, {cut("mean_car")} AS mean_car, {cut("t")} AS t, {cut(STUDENT_P)} AS p, n < 30 AS small_sample FROM angles""")
 def a20_event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = validation.event_paths(S.tagged_events(*both(spark, sf_dir)), data.prices(spark, sf_dir))
+    paths = validation.event_paths(S.tagged_events(*both(spark, sf_dir)), kept_prices(spark, sf_dir))
     return rounded(validation.event_summary(paths), "mean_car", "t", "p")
 
 
 @query(f", {EVENTS}, {PROXY}{PATHS} SELECT direction, k, {cut('avg(car)')} AS mean_car, count(*) AS n FROM paths GROUP BY direction, k")
 def a21_mean_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(validation.mean_paths(validation.event_paths(S.tagged_events(*both(spark, sf_dir)), data.prices(spark, sf_dir))), "mean_car")
+    return rounded(validation.mean_paths(validation.event_paths(S.tagged_events(*both(spark, sf_dir)), kept_prices(spark, sf_dir))), "mean_car")
 
 
 @query(f""", {ROWS}, {PROXY}{SHRUNK.format(rows="eligible")}, numbered AS (SELECT *, row_number() OVER (ORDER BY date) AS pos FROM shrunk),
