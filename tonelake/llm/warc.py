@@ -9,7 +9,7 @@ them by segment number, verifies the total length, and decodes the chunked frami
 Defined results: null html is an empty payload. Of equal payloads of at least ``min_bytes`` the largest page id is the response; rows
 that repeat that id with the same payload are responses too, and a revisit names one of them. Every record has an identifier of its own, and
 what a revisit refers to is the identifier of a response. Null urls are left out of the record; line breaks in urls become
-spaces. A page without an id is written and comes back without one and is never referred to if another has one. Records with a missing segment, a
+spaces, and blanks and control characters at both ends of a url don't come back. An archive is one gzip member, so it is read from its beginning. A page without an id is written and comes back without one and is never referred to if another has one. Records with a missing segment, a
 wrong length, a broken framing or a wrong digest come back with ``complete`` false and no payload. Very long pages are taken whole: a task holds one archive, or
 one page where that is longer. Empty tables give no archives and no rows; other columns are ignored, whatever their names.
 """
