@@ -110,3 +110,30 @@ def test_components_of_chains_and_rings(spark, monkeypatch, hub, kind):
     rows = spark.createDataFrame(edges, "a int, b int").repartition(7).select(F.col("a").cast(kind), F.col("b").cast(kind))
     got = {int(r.node): int(r.component) for r in connected_components(rows, "a", "b").collect()}
     assert got == roots({x for e in edges for x in e}, edges)
+
+
+@pytest.mark.parametrize("square, short", [(24_000, 128), (3, 128), (24_000, 30), (24_000, 0)])
+def test_short_texts_are_compared_where_they_meet(spark, monkeypatch, square, short):
+    """All similar pairs, and the same components from links, of which there are fewer than rows."""
+    monkeypatch.setattr(dedupe, "SQUARE_ROWS", square)
+    monkeypatch.setattr(dedupe, "SHORT", short)
+    rng = random.Random(3)
+    words = "red blue green ring rod plate hot cold".split()
+    rows = [(f"k{n:03}", " ".join([*rng.choices(words, k=2), "large", "size", str(rng.randrange(50))]), n % 2, rng.choice([0, 1, 3, 2**20 - 1])) for n in range(80)]
+    rows = list({(r[1], r[2]): r for r in rows}.values())
+    prints = spark.createDataFrame(rows, "item_key string, norm_text string, d int, simhash bigint").withColumn("day", F.date_add(F.lit("2024-02-27").cast("date"), F.col("d")))
+    want = {tuple(sorted((a[0], b[0]))) for a in rows for b in rows if a[0] < b[0] and (a[3] ^ b[3]).bit_count() <= 10 and 200 * longest_common(a[1], b[1]) >= 85 * (len(a[1]) + len(b[1]))}
+    pairs = [tuple(sorted(r)) for r in dedupe.similar_pairs(dedupe.candidate_pairs(prints, ratio=85, confirm="pairs"), prints).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    found = dedupe.candidate_pairs(prints, ratio=85, confirm="links")
+    links = [tuple(r) for r in dedupe.similar_pairs(found, prints).collect()]
+    names = [r[0] for r in rows]
+    assert roots(names, links) == roots(names, want)
+    if square > len(rows) and short > 60:
+        assert found.filter("not sure").count() == 0 and len(links) < 3 * len(rows) < len(want)
+
+
+def test_tasks_make_forests_of_names(spark):
+    edges = spark.createDataFrame([(f"é{i}", f"é{j}") for i in range(30) for j in range(i)], "u string, v string").coalesce(1)
+    got = components._forests(edges).collect()
+    assert len(got) == 29 and {r.v for r in got} == {"é0"}

@@ -1,5 +1,8 @@
 import hashlib
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +129,18 @@ def test_longest_common(a, b):
 @settings(max_examples=50, deadline=None)
 def test_simhash_ignores_order(pair):
     assert python_simhash(pair[0]) == python_simhash(pair[1])
+
+
+@pytest.mark.parametrize("ratio", [50, 85, 100])
+def test_short_texts_like_one_by_one(monkeypatch, ratio):
+    monkeypatch.setattr(T, "PLACES_BYTES", 4000)
+    monkeypatch.setattr(T, "PAIRS_AT_ONCE", 70)
+    rng = random.Random(7)
+    texts = ["", "x" * 64, "x" * 65] + ["".join(rng.choice("abc é한😀") for _ in range(rng.randrange(1, 129))) for _ in range(40)]
+    texts += ["".join(c for c in t if rng.random() < 0.9) + "z" for t in texts]
+    held = T.ShortTexts(pa.chunked_array([pa.array([*texts, None])]))
+    assert held.held.tolist() == [True] * len(texts) + [False]
+    for some in (range(len(texts)), [0, 1, 5]):  # of the second ones all texts are shorter than the longest that is held
+        pairs = [(i, j) for i in some for j in range(len(texts)) if texts[i] or texts[j]]
+        got = held.similar(*np.array(pairs).T, ratio).tolist()
+        assert got == [200 * T.longest_common(texts[i], texts[j]) >= ratio * (len(texts[i]) + len(texts[j])) for i, j in pairs]
