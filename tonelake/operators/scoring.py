@@ -6,13 +6,16 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tonelake.functions.text import item_key, scoring_input
 from tonelake.operators.scores import day
 from tonelake.schemas import CLASSIFIER_RUBRIC, DRIVERS, HORIZONS, ITEM_KEY, LEVELS, NOVELTY, RESPONSE, RUBRIC, SCORES, SECTOR_CODES, conform, layout
+from tonelake.session import small_batches
 
 PROMPT_CHARS, LEGACY_CHARS, SUMMARY_CHARS, CHUNK_ROWS, CALL_ITEMS = 4000, 3000, 200, 200, 500
 ENTRY = RESPONSE.removeprefix("items array<").removesuffix(">")
@@ -50,21 +53,24 @@ def ask(requests: DataFrame, scorer: Callable[[str], str], pause: float = 0.0) -
     """The requests' columns without the prompt, and response and error: the scorer's answer to each prompt; an exception's text instead, if it fails. A task
     rests ``pause`` seconds after each call."""
     kept = requests.drop("prompt")
+    small_batches(requests.sparkSession)  # a prompt lists up to CALL_ITEMS texts
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers, errors = [], []
-            for prompt in frame["prompt"]:
+    schema = StructType([*kept.schema.fields, *layout("response string, error string").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one prompt and its answer at a time are Python's
+                answer = error = None
                 try:
-                    answers.append(scorer(prompt))
-                    errors.append(None)
+                    answer = scorer(batch.column(batch.num_columns - 1)[k].as_py())
                 except Exception as e:  # noqa: BLE001  a failed call becomes rows that say so
-                    answers.append(None)
-                    errors.append(f"REQUEST_ERROR: {e}")
+                    error = f"REQUEST_ERROR: {e}"
                 time.sleep(pause)
-            yield frame.drop(columns="prompt").assign(response=answers, error=errors)
+                columns = [c.slice(k, 1).cast(f.type) for c, f in zip(batch.columns[:-1], arrow, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([answer], pa.string()), pa.array([error], pa.string())], schema=arrow)
 
-    return requests.select(*kept.columns, "prompt").mapInPandas(run, StructType([*kept.schema.fields, *layout("response string, error string").fields]))
+    return requests.select(*kept.columns, "prompt").mapInArrow(run, schema)
 
 
 def parse_responses(answers: DataFrame, rubric: str = RUBRIC, model: str = "external") -> DataFrame:
@@ -99,10 +105,14 @@ def classify(items: DataFrame, model: Callable[[list[str]], list[tuple[str, floa
     text = scoring_input(F.col("text"), F.col("extracted_text"))
     rows = items.select(*ITEM_KEY, text.alias("input")).filter(F.length("input") > 0)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), CHUNK_ROWS):
-                part = frame.iloc[a : a + CHUNK_ROWS]
+    schema = "chat_id bigint, message_id bigint, input string, label string, confidence double, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, CHUNK_ROWS):  # the texts of one chunk at a time are Python's
+                part = batch.slice(a, CHUNK_ROWS).to_pandas()
                 try:
                     found = [(label, float(p), None) for label, p in model(part["input"].tolist())]
                     if len(found) != len(part):
@@ -110,10 +120,10 @@ def classify(items: DataFrame, model: Callable[[list[str]], list[tuple[str, floa
                 except Exception as e:  # noqa: BLE001  a failed chunk becomes rows that say so
                     found = [(None, None, f"REQUEST_ERROR: {e}")] * len(part)
                 labels, confidences, errors = zip(*found, strict=True)
-                yield part.assign(label=list(labels), confidence=pd.Series(confidences, index=part.index, dtype="float64"), error=list(errors))
+                part = part.assign(label=list(labels), confidence=pd.Series(confidences, index=part.index, dtype="float64"), error=list(errors))
+                yield pa.RecordBatch.from_pandas(part, schema=arrow, preserve_index=False)
 
-    out = rows.mapInPandas(run, "chat_id bigint, message_id bigint, input string, label string, confidence double, error string")
-    return classifier_rows(out, rubric, name)
+    return classifier_rows(rows.mapInArrow(run, schema), rubric, name)
 
 
 def no_scores(spark: SparkSession) -> DataFrame:

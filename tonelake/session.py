@@ -57,6 +57,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Bytes of one Arrow batch on its way to a Python worker: the setting, Spark's own value, and the one used instead.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 * 2**20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes as well as rows, as workers hold several copies of one. A bound set by the user stays."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared folder and read back: lineage ends there, lost executors don't matter."""
     spark = df.sparkSession
