@@ -151,3 +151,21 @@ def test_equal_texts_are_keyed_by_length(spark, monkeypatch):
     got = {tuple(sorted(r)) for r in dedupe.similar_pairs(dedupe.candidate_pairs(prints, 3, 100.0, confirm="links"), prints, 100.0).collect()}
     assert got == {tuple(sorted((a[0], b[0]))) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2]}
     assert seen[0].groupBy(*dedupe.GROUP).agg(F.countDistinct("n").alias("k")).filter("k > 1").count() == 0
+
+
+@pytest.mark.parametrize("spread_out", [True, False])
+def test_keys_are_dropped_where_hashes_crowd(spark, monkeypatch, spread_out):
+    """Hashes that lie close together share nearly all keys: whole days are compared then, in squares, with the same pairs."""
+    monkeypatch.setattr(dedupe, "KEY_STEPS", (10, 10, 10**6))
+    monkeypatch.setattr(dedupe, "SIDE_ROWS", 20)
+    seen, near = [], dedupe.near_in_groups
+    monkeypatch.setattr(dedupe, "near_in_groups", lambda rows, limit, r, *more: seen.append((r, rows)) or near(rows, limit, r, *more))
+    rng = random.Random(9)
+    rows = [(f"k{n:03}", f"text {n}", n % 2, rng.getrandbits(63) if spread_out else sum(1 << b for b in rng.sample(range(60), rng.choice([1, 4, 6])))) for n in range(120)]
+    prints = spark.createDataFrame(rows, "item_key string, norm_text string, d int, simhash bigint").withColumn("day", F.date_add(F.lit("2024-02-27").cast("date"), F.col("d")))
+    got = [(r.a, r.b) for r in dedupe.candidate_pairs(prints).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if (a[2], a[0]) < (b[2], b[0]) and (a[3] ^ b[3]).bit_count() <= 10}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert seen[0][0] == (2 if spread_out else 0)
+    if not spread_out:
+        assert seen[0][1].select("day", "i", "j").distinct().count() > 20
