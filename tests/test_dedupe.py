@@ -169,3 +169,26 @@ def test_keys_are_dropped_where_hashes_crowd(spark, monkeypatch, spread_out):
     assert seen[0][0] == (2 if spread_out else 0)
     if not spread_out:
         assert seen[0][1].select("day", "i", "j").distinct().count() > 20
+
+
+@pytest.mark.parametrize("work, least", [(6e11, 1e10), (2e6, 1)])
+def test_pairs_are_dealt_by_length(spark, monkeypatch, work, least):
+    """Every similar pair is found, also where its texts lie on both sides of a class; pairs of a square are like in length."""
+    monkeypatch.setattr(dedupe, "SQUARE_WORK", work)
+    monkeypatch.setattr(dedupe, "SMALL_SQUARE", least)
+    monkeypatch.setattr(dedupe, "LEAST_WORK", 1)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("etaoin shrdlu", k=n)) for n in (1, 2, 20, 30, 31, 45, 100, 150, 225, 226, 338, 339, 500)]
+    texts += [t + t[: len(t) // 5] for t in texts] + [t[:-1] + "x" for t in texts]
+    rows = [(f"k{n:02}", t) for n, t in enumerate(sorted(set(texts) - {""}))]
+    prints = spark.createDataFrame(rows, "item_key string, norm_text string")
+    pairs = [(a[0], b[0], len(a[1]), len(b[1])) for a in rows for b in rows if a[0] < b[0]]
+    given = spark.createDataFrame(pairs, "a string, b string, n_a int, n_b int")
+    of = dict(rows)
+    want = {(a, b) for a, b, n, m in pairs if 200 * longest_common(of[a], of[b]) >= 85 * (n + m)}
+    got = [tuple(r) for r in dedupe.similar_pairs(given, prints).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 15
+    sides = dedupe.sides_of_classes(given)
+    assert len(sides) > 8 and (max(sides.values()) > 1) == (work < 1e7)
+    none = dedupe.similar_pairs(given.limit(0), prints)
+    assert none.count() == 0

@@ -144,3 +144,49 @@ def test_short_texts_like_one_by_one(monkeypatch, ratio):
         pairs = [(i, j) for i in some for j in range(len(texts)) if texts[i] or texts[j]]
         got = held.similar(*np.array(pairs).T, ratio).tolist()
         assert got == [200 * T.longest_common(texts[i], texts[j]) >= ratio * (len(texts[i]) + len(texts[j])) for i, j in pairs]
+
+
+def changed(rng, t, n):
+    """The text with n letters left out and n put in."""
+    t = list(t)
+    for _ in range(n):
+        del t[rng.randrange(len(t))]
+        t.insert(rng.randrange(len(t) + 1), rng.choice("etaoin shrdlu"))
+    return "".join(t)
+
+
+@pytest.mark.parametrize("fewest, at_work, most", [(1, 16_384, 60), (1, 40, 60), (30, 500, 2), (10**9, 16_384, 60)])
+def test_pairs_of_like_lengths_are_compared_at_once(monkeypatch, fewest, at_work, most):
+    """The same pairs as one by one, close to the ratio on both sides; unrelated texts are not compared one by one."""
+    monkeypatch.setattr(T, "FEWEST_PAIRS", fewest)
+    monkeypatch.setattr(T, "AT_WORK", at_work)
+    monkeypatch.setattr(T, "MOST_WORDS", most)
+    rng = random.Random(11)
+    words = ["".join(rng.choices("eeeettaaooiinn shrdlucmfwypvbgkéß한", k=rng.randrange(2, 9))) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(40, 130))) for _ in range(24)]
+    texts += [changed(rng, texts[k], int(len(texts[k]) * share)) for k, share in enumerate((0.02, 0.1, 0.14, 0.15, 0.16, 0.17, 0.18, 0.2, 0.25))] + [texts[0], "", "ab", "e" * 300]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i < j and (i + j) % 5 or i > j and (i + j) % 5 == 0]
+    full = {(i, j): T.longest_common(texts[i], texts[j]) for i, j in pairs}
+    want = {(i, j) for i, j in pairs if texts[i] == texts[j] or 200.0 * full[i, j] / (len(texts[i]) + len(texts[j])) >= 85}
+    assert 5 < len(want) < 12
+    calls = []
+    one = T.longest_common
+    monkeypatch.setattr(T, "longest_common", lambda *a: calls.append(a) or one(*a))
+    got = T.similar_texts(texts, pairs, 85)
+    assert len(got) == len(set(got)) and set(got) == want
+    if (fewest, at_work) == (1, 16_384):
+        assert len(calls) < len(pairs) / 10
+
+
+def test_a_subsequence_is_looked_for_near_the_diagonal():
+    """With a least length the result is exact from there on and -1 below, whatever part of the table is left out; and only that part's places are held."""
+    rng = random.Random(2)
+    for _ in range(150):
+        a = "".join(rng.choices("abcde", k=rng.randrange(1, 400)))
+        b = changed(rng, a, rng.randrange(0, 1 + len(a) // 3)) + "x" * rng.randrange(40)
+        if rng.random() < 0.5:
+            a, b = b, a
+        full = T.longest_common(a, b)
+        for least in {1, full - 20, full - 1, full, full + 1}:
+            if least > 0:
+                assert T.longest_common(a, b, least) == (full if full >= least else -1)
