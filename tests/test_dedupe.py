@@ -192,3 +192,41 @@ def test_pairs_are_dealt_by_length(spark, monkeypatch, work, least):
     assert len(sides) > 8 and (max(sides.values()) > 1) == (work < 1e7)
     none = dedupe.similar_pairs(given.limit(0), prints)
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("chars, most, work, at_once", [(2_000_000, 2_000, 1e12, 50_000), (1_500, 4, 1, 7), (10**9, 1, 1e6, 50_000)])
+def test_long_texts_meet_in_blocks(spark, monkeypatch, chars, most, work, at_once):
+    """The same pairs and components however texts are dealt to blocks and tasks; candidates, whose number grows with the square of the texts, are not written."""
+    for name, value in (("BLOCK_CHARS", chars), ("BLOCK_ROWS", most), ("TASK_WORK", work), ("TASK_SIDES", 3), ("AT_ONCE", at_once), ("SHORT", 60)):
+        monkeypatch.setattr(dedupe, name, value)
+    written = []
+    keep = dedupe.stored
+
+    def stored(df, label):
+        out = keep(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(dedupe, "stored", stored)
+    rng = random.Random(12)
+    base = ["".join(rng.choices("etaoin shrdlu", k=n)) for n in (30, 44, 50, 58, 61, 70, 80, 90, 150, 224, 226, 300, 330, 380)]
+    texts = [t[:k] + "x" * m + t[k + m :] for t in base for k in (3, 20) for m in (0, 2, 6, 12)] + [t + t[: len(t) // 4] for t in base]
+    rows = [(f"k{n:03}", n % 4, t, rng.choice([0, 1, 3, 2**20 - 1, 2**63 - 1])) for n, t in enumerate(dict.fromkeys(texts))]
+    rows += [(f"l{n:03}", (n + 1) % 4, t, h) for n, (_, _, t, h) in enumerate(rows[::9])]
+    rows = list({(r[1], r[2]): r for r in rows}.values())
+    reps = spark.createDataFrame(rows, "rep string, d int, norm_text string, simhash bigint").withColumns({"day": F.date_add(F.lit("1969-12-30").cast("date"), F.col("d")), "n": F.length("norm_text")})
+    reps = reps.withColumn("at", F.unix_date("day"))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[1] - b[1]) <= 1 and (a[3] ^ b[3]).bit_count() <= 10 and 200 * longest_common(a[2], b[2]) >= 85 * (len(a[2]) + len(b[2]))}
+    pairs = [tuple(sorted(r)) for r in dedupe.similar_links(reps, confirm="pairs").collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 60
+    links = [tuple(r) for r in dedupe.similar_links(reps).collect()]
+    names = [r[0] for r in rows]
+    assert roots(names, links) == roots(names, want)
+    if most == 2_000:
+        assert len(links) < len(want)
+    prints = reps.withColumns({"chat_id": F.lit(1), "item_key": F.col("rep"), "document_fp": F.lit(None).cast("string")})
+    written.clear()
+    edges = [tuple(r) for r in dedupe.duplicate_edges(prints).collect()]
+    assert roots(names, edges) == roots(names, want)
+    assert max(n for _, n in written) <= len(rows) and "candidates" not in dict(written)
+    assert dedupe.similar_links(reps.limit(0)).count() == 0
