@@ -226,7 +226,32 @@ def test_long_texts_meet_in_blocks(spark, monkeypatch, chars, most, work, at_onc
         assert len(links) < len(want)
     prints = reps.withColumns({"chat_id": F.lit(1), "item_key": F.col("rep"), "document_fp": F.lit(None).cast("string")})
     written.clear()
-    edges = [tuple(r) for r in dedupe.duplicate_edges(prints).collect()]
+    edges = [tuple(r) for r in dedupe.duplicate_edges(prints, reps.withColumn("copies", F.lit(1))).collect()]
     assert roots(names, edges) == roots(names, want)
     assert max(n for _, n in written) <= len(rows) and "candidates" not in dict(written)
     assert dedupe.similar_links(reps.limit(0)).count() == 0
+
+
+def test_copies_are_one_node(spark, monkeypatch):
+    """Copies of a text on a day are linked as one item, whatever links them to others: same document, no text at all, no day."""
+    seen, settle = [], dedupe.connected_components
+    monkeypatch.setattr(dedupe, "connected_components", lambda edges, *names: seen.append(edges.count()) or settle(edges, *names))
+    texts = ["red plate of one size", "blue ring for ten rods", "cold bolts and hot ones", "red plate of one size x"]
+    rows = [(n % 3, n, "1998-01-01", "text", texts[n % 3], None) for n in range(60)] + [(1, 100 + n, f"1998-01-0{2 + n}", "text", texts[3], None) for n in range(3)]
+    rows += [(2, 200, "1998-01-01", "document", None, texts[0]), (2, 201, "1998-03-01", "document", "with a caption", texts[0])]
+    rows += [(3, 210 + n, "1998-01-01", "document", None, "!?") for n in range(3)] + [(4, 220, None, "document", None, "!?"), (4, 221, None, "text", texts[0], None), (4, 222, None, "text", texts[0], None)]
+    made = spark.createDataFrame(rows, "chat_id bigint, message_id bigint, date string, type string, text string, extracted_text string")
+    items = conform(made.withColumn("extract_chars", F.length("extracted_text")), ITEMS)
+    of = {r.item_key: r for r in dedupe.fingerprints(items).collect()}
+    edges = []
+    for a in of.values():
+        for b in of.values():
+            x, y = a.norm_text, b.norm_text
+            near = a.day and b.day and x and y and abs((a.day - b.day).days) <= 1 and ((a.simhash ^ b.simhash) & 2**64 - 1).bit_count() <= 10
+            if a.document_fp is not None and a.document_fp == b.document_fp or near and 200 * longest_common(x, y) >= 85 * (len(x) + len(y)):
+                edges.append((a.item_key, b.item_key))
+    got = dedupe.cluster_items(items).collect()
+    assert len(got) == len(rows) and {r.item_key: r.dup_cluster_id for r in got} == roots(list(of), edges)
+    assert len({r.dup_cluster_id for r in got}) == 6 and max(seen) < 10
+    only = {r.item_key: r.dup_cluster_id for r in dedupe.cluster_items(items, 3, 100.0).collect()}
+    assert only["3_211"] == only["4_220"] == "3_210" and only["4_221"] == "4_221" and only["1_1"] == "1_1" and only["1_4"] == "1_1"
