@@ -255,3 +255,12 @@ def test_copies_are_one_node(spark, monkeypatch):
     assert len({r.dup_cluster_id for r in got}) == 6 and max(seen) < 10
     only = {r.item_key: r.dup_cluster_id for r in dedupe.cluster_items(items, 3, 100.0).collect()}
     assert only["3_211"] == only["4_220"] == "3_210" and only["4_221"] == "4_221" and only["1_1"] == "1_1" and only["1_4"] == "1_1"
+
+
+def test_candidate_pairs_read_stored_prints(spark, monkeypatch):
+    """Texts are normalised once, not again for each condition on them."""
+    from tonelake.plans import queries
+
+    labels, keep = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, label: labels.append(label) or keep(df, label))
+    assert queries.j10_candidate_pairs(spark, SF).columns == ["a", "b"] and labels == ["prints"]
